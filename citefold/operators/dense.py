@@ -82,95 +82,128 @@ def _best(scores: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return np.take_along_axis(scores, order, axis=1), rows[order]
 
 
-def _rank_block(vectors: np.ndarray, rows: np.ndarray, queries: np.ndarray, k: int):
-    scores = np.round(np.clip(queries @ _unit_rows(vectors, "document").T, -1.0, 1.0), SCORE_DIGITS)
-    return _best(scores, rows, k)
+class _TopK:
+    """Running best k rows per query."""
 
+    def __init__(self, k: int):
+        self.k, self.scores, self.rows = k, None, None
 
-def _hits(schema: pa.Schema, query_ids, scores: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-    flat_ids = pa.array(np.repeat(np.asarray(query_ids), rows.shape[1]), schema.field(0).type)
-    return pa.RecordBatch.from_arrays(
-        [flat_ids, pa.array(rows.ravel(), schema.field(1).type), pa.array(scores.ravel(), pa.float64())],
-        schema=schema)
+    def add(self, rows: np.ndarray, scores: np.ndarray) -> None:
+        scores, rows = _best(scores, rows, self.k)
+        if self.rows is not None:
+            scores, rows = np.hstack([self.scores, scores]), np.hstack([self.rows, rows])
+            order = np.lexsort((rows, -scores), axis=1)[:, : self.k]
+            scores, rows = np.take_along_axis(scores, order, 1), np.take_along_axis(rows, order, 1)
+        self.scores, self.rows = scores, rows
 
+    def columns(self, ids: np.ndarray) -> list:
+        if self.rows is None:
+            return [ids[:0], np.empty(0, np.int64), np.empty(0)]
+        return [np.repeat(ids, self.rows.shape[1]), self.rows.ravel(), self.scores.ravel()]
 
-def cosine_search(vectors: DataFrame, queries: DataFrame, k: int,
-                  broadcast_limit: int = BROADCAST_LIMIT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(query_id, row_id, score, rank) of the exact k nearest rows per query.
 
-    ``vectors``: (row_id, vector); ``queries``: (query_id, vector). A query set that measures
-    below ``broadcast_limit`` is shipped to every task and the vectors are scanned once, without
-    a shuffle. A larger one takes the block form, which sends nothing through the driver.
-    """
-    check_limit(k)
-    types = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["row_id"]
-    if k == 0:
-        return (vectors.select(F.lit(None).cast(types[0]).alias("query_id"), "row_id",
-                               F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0))
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    dim = size["d"] or 0
-    schema = _HIT_TYPE.format(*types)
-    if size["n"] * max(dim, 1) * 8 <= broadcast_limit:
-        partial = _broadcast_form(vectors, queries, k, dim, schema)
-    else:
-        partial = _block_form(vectors, queries, k, dim, size["n"], schema, block_bytes)
-    return top_k_per_key(partial, ["query_id"], [F.desc("score"), F.asc("row_id")], k, spread=["row_id"])
+class _CountAbove:
+    """Rows per query that reach a score."""
+
+    def __init__(self, minimum: float):
+        self.minimum, self.counts = minimum, 0
+
+    def add(self, _rows: np.ndarray, scores: np.ndarray) -> None:
+        self.counts = self.counts + (scores >= self.minimum).sum(axis=1)
+
+    def columns(self, ids: np.ndarray) -> list:
+        return [ids, np.broadcast_to(self.counts, ids.shape).astype(np.int64)]
+
+
+def _scores(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+    rows = _unit_rows(vectors, "document")
+    if metric == "dot":
+        rows = vectors
+    raw = queries @ rows.T
+    return np.round(raw if metric == "dot" else np.clip(raw, -1.0, 1.0), SCORE_DIGITS)
+
 
+def _scan(vectors: DataFrame, queries: DataFrame, make, schema: str, metric: str,
+          broadcast_limit: int, block_bytes: int) -> DataFrame:
+    """Score every query against every row and reduce the scores of each task with ``make()``.
 
-def _broadcast_form(vectors, queries, k, dim, schema):
-    spark = vectors.sparkSession
-    held = queries.select("query_id", "vector").toArrow()  # measured by the caller
-    matrix = _unit_rows(_matrix(held.column("vector"), dim), "query") if held.num_rows else np.empty((0, dim))
-    ids = held.column("query_id").to_pylist()
-    shared = spark.sparkContext.broadcast((ids, matrix))
-    arrow_schema = _arrow_schema(spark, schema)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
-        if not ids:
-            return
-        best = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = batch.column("row_id").to_numpy(zero_copy_only=False)
-            scores, kept = _rank_block(_matrix(batch.column("vector"), dim), rows, matrix, k)
-            if best is not None:
-                scores, kept = np.hstack([best[0], scores]), np.hstack([best[1], kept])
-                order = np.lexsort((kept, -scores), axis=1)[:, :k]
-                scores, kept = np.take_along_axis(scores, order, 1), np.take_along_axis(kept, order, 1)
-            best = scores, kept
-        if best is not None:
-            yield _hits(arrow_schema, ids, *best)
-
-    return vectors.select("row_id", "vector").mapInArrow(scan, schema)
-
-
-def _block_form(vectors, queries, k, dim, query_count, schema, block_bytes):
-    """Fragment both sides into memory-sized blocks and meet each pair of blocks once."""
-    per_block = max(1, block_bytes // (8 * max(dim, 1)))
+    A query set that measures below ``broadcast_limit`` is shipped to every task and the vectors
+    are scanned once, without a shuffle. A larger one takes the block form: both sides are cut
+    into memory-sized blocks and each pair of blocks meets once; nothing passes the driver.
+    """
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    dim, count = size["d"] or 1, size["n"]
+    prepare = (lambda m: _unit_rows(m, "query")) if metric == "cosine" else (lambda m: m)
+    if count * dim * 8 <= broadcast_limit:
+        arrow_schema = _arrow_schema(vectors.sparkSession, schema)
+        held = queries.select("query_id", "vector").toArrow()
+        ids = np.asarray(held.column("query_id").to_pylist())
+        matrix = prepare(_matrix(held.column("vector"), dim)) if count else None
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, matrix = shared.value
+            state = make()
+            if matrix is None:
+                return
+            for batch in batches:
+                if batch.num_rows:
+                    rows = batch.column("row_id").to_numpy(zero_copy_only=False)
+                    state.add(rows, _scores(_matrix(batch.column("vector"), dim), matrix, metric))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(state.columns(ids), arrow_schema)], schema=arrow_schema)
+
+        return vectors.select("row_id", "vector").mapInArrow(scan, schema)
+
+    per_block = max(1, block_bytes // (8 * dim))
     row_blocks = max(1, -(-vectors.count() // per_block))
-    query_blocks = max(1, -(-query_count // per_block))
+    query_blocks = max(1, -(-count // per_block))
     left = (vectors.select("row_id", "vector")
             .withColumn("rb", F.pmod(F.xxhash64("row_id"), F.lit(row_blocks)).cast("int"))
             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))))
     right = (queries.select("query_id", "vector")
              .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
              .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)))))
+    names = [part.split()[0] for part in schema.split(", ")]
 
-    def meet(left_part: pd.DataFrame, right_part: pd.DataFrame) -> pd.DataFrame:
-        if left_part.empty or right_part.empty:
-            return pd.DataFrame({"query_id": [], "row_id": [], "score": []})
-        matrix = _unit_rows(np.stack(right_part["vector"].to_numpy()).astype(np.float64), "query")
-        scores, rows = _rank_block(np.stack(left_part["vector"].to_numpy()).astype(np.float64),
-                                   left_part["row_id"].to_numpy(), matrix, k)
-        return pd.DataFrame({
-            "query_id": np.repeat(right_part["query_id"].to_numpy(), rows.shape[1]),
-            "row_id": rows.ravel(), "score": scores.ravel()})
+    def meet(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        state = make()
+        if asked.empty:
+            return pd.DataFrame({n: [] for n in names})
+        if not rows.empty:
+            stacked = lambda part: np.stack(part["vector"].to_numpy()).astype(np.float64)
+            state.add(rows["row_id"].to_numpy(), _scores(stacked(rows), prepare(stacked(asked)), metric))
+        return pd.DataFrame(dict(zip(names, state.columns(asked["query_id"].to_numpy()))))
 
     return left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(meet, schema)
 
 
+def cosine_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
+                  broadcast_limit: int = BROADCAST_LIMIT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, row_id, score, rank) of the exact k best rows per query; lower row first on ties.
+
+    ``vectors``: (row_id, vector); ``queries``: (query_id, vector).
+    """
+    check_limit(k)
+    if metric not in ("cosine", "dot"):
+        raise ValueError("unknown metric")
+    types = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["row_id"]
+    if k == 0:
+        return (vectors.select(F.lit(None).cast(types[0]).alias("query_id"), "row_id",
+                               F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0))
+    partial = _scan(vectors, queries, lambda: _TopK(k), _HIT_TYPE.format(*types), metric, broadcast_limit, block_bytes)
+    return top_k_per_key(partial, ["query_id"], [F.desc("score"), F.asc("row_id")], k, spread=["row_id"])
+
+
+def count_above(vectors: DataFrame, queries: DataFrame, minimum: float,
+                broadcast_limit: int = BROADCAST_LIMIT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, above): rows whose cosine reaches a threshold."""
+    key = dict(queries.dtypes)["query_id"]
+    partial = _scan(vectors, queries, lambda: _CountAbove(minimum), f"query_id {key}, above bigint", "cosine",
+                    broadcast_limit, block_bytes)
+    return partial.groupBy("query_id").agg(F.sum("above").alias("above"))
+
+
 def _arrow_schema(spark, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
