@@ -7,11 +7,12 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citefold.functions.text import evidence_route
+from citefold.operators.dense import _arrow_schema
 
 # What may be retried, which finish reasons are known, which counters are kept.
 TRANSIENT_HTTP = (429, 500, 502, 503, 504)
@@ -126,25 +127,22 @@ def generate(prompts: DataFrame, settings: RequestSettings, sender: Callable[[],
     """
     key = dict(prompts.dtypes)["question_id"]
     routed = prompts.withColumn("route", evidence_route(F.col("evidence_count")))
-    columns = ["question_id", "status", "content", "partial_content", "error_code", "retryable", "request_sent",
-               "attempts", "http_status", "finish_reason", "usage", "elapsed_seconds", "attempt_history"]
+    arrow = _arrow_schema(prompts.sparkSession, RESULT_SCHEMA.format(key))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         send = sender()
         for batch in batches:
             rows = []
-            for row in batch.itertuples(index=False):
-                if row.route == "local_no_evidence":
+            for row in batch.to_pylist():
+                if row["route"] == "local_no_evidence":
                     made = {"status": "no_evidence", "content": NO_EVIDENCE_ANSWER, "retryable": False,
                             "request_sent": False, "attempts": 0, "elapsed_seconds": 0.0, "attempt_history": []}
                 else:
-                    made = generate_one(row.prompt, settings, send, sleep)
-                rows.append({"question_id": row.question_id, "usage": {}, **made})
-            frame = pd.DataFrame(rows).reindex(columns=columns)
-            frame["http_status"] = frame["http_status"].astype("Int32")
-            yield frame
+                    made = generate_one(row["prompt"], settings, send, sleep)
+                rows.append({"question_id": row["question_id"], **made, "usage": list(made.get("usage", {}).items())})
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return routed.select("question_id", "prompt", "route").mapInPandas(run, RESULT_SCHEMA.format(key))
+    return routed.select("question_id", "prompt", "route").mapInArrow(run, RESULT_SCHEMA.format(key))
 
 
 def guard(results: DataFrame, audit_status: DataFrame) -> DataFrame:

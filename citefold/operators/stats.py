@@ -36,12 +36,12 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probabilities:
         F.percentile_approx("_v", [float(c) for c in cuts], accuracy).alias("_cut"),
         F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     place = {c: i for i, c in enumerate(cuts)}
-    bracket = lambda i, c: F.when(F.lit(c <= 0), F.col("_min")).when(F.lit(c >= 1), F.col("_max")).otherwise(F.get("_cut", F.lit(i)))
+    small = F.col("_n") <= 20 * accuracy  # a group this size is ordered whole
+    low = lambda c: F.when(small | F.lit(c <= 0), F.col("_min")).otherwise(F.get("_cut", F.lit(place[c])))
+    high = lambda c: F.when(small | F.lit(c >= 1), F.col("_max")).otherwise(F.get("_cut", F.lit(place[c])))
     brackets = sketch.select(*by, "_n", F.explode(F.array(*[
-        F.struct(F.lit(float(p)).alias("probability"),
-                 bracket(place[max(0.0, p - margin)], max(0.0, p - margin)).alias("lo"),
-                 bracket(place[min(1.0, p + margin)], min(1.0, p + margin)).alias("hi"))
-        for p in probabilities])).alias("b")).select(*by, "_n", "b.*")
+        F.struct(F.lit(float(p)).alias("probability"), low(max(0.0, p - margin)).alias("lo"),
+                 high(min(1.0, p + margin)).alias("hi")) for p in probabilities])).alias("b")).select(*by, "_n", "b.*")
     distinct_values = rows.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
     met = measured_join(distinct_values, stage(brackets, "percentile-brackets"), by)
     below = met.groupBy(*by, "probability").agg(
@@ -54,8 +54,12 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probabilities:
     at = lambda rank: F.min(F.when(F.col("_last") > rank, F.col("_v")))
     lower, upper = at(F.floor("_pos")), at(F.ceil("_pos"))
     fraction = F.max(F.col("_pos") - F.floor("_pos"))
-    out = ranked.groupBy(*by, "probability").agg((lower + fraction * (upper - lower)).alias("quantile"))
-    return out.select(*keys, "probability", "quantile")
+    out = ranked.groupBy(*by, "probability").agg(
+        (lower + fraction * (upper - lower)).alias("_q"),
+        ((F.min("_below") <= F.min(F.floor("_pos"))) & upper.isNotNull()).alias("_held"))
+    held = F.when(F.col("_held"), F.col("_q")).otherwise(
+        F.raise_error(F.lit("a percentile bracket missed its rank; raise the accuracy")).cast("double"))
+    return out.select(*keys, "probability", held.alias("quantile"))
 
 
 def hierarchical_mean(df: DataFrame, levels: list[str], value: str) -> DataFrame:

@@ -136,10 +136,10 @@ line_rows AS (
   FROM (SELECT doc_key, doc_id, string_split(text, chr(10)) AS lines FROM corpus)),
 page_lengths AS (
   SELECT doc_key, doc_id, i // {LINES_PER_PAGE} + 1 AS page_number,
-         sum(length(line) + CASE WHEN i < n - 1 THEN 1 ELSE 0 END) AS len
+         sum(length(line) + CASE WHEN i < n - 1 THEN 1 ELSE 0 END)::BIGINT AS len
   FROM line_rows GROUP BY ALL),
 pages_at AS (
-  SELECT doc_key, doc_id, page_number, sum(len) OVER w - len AS page_start, sum(len) OVER w AS page_end
+  SELECT doc_key, doc_id, page_number, (sum(len) OVER w)::BIGINT - len AS page_start, (sum(len) OVER w)::BIGINT AS page_end
   FROM page_lengths WINDOW w AS (PARTITION BY doc_key ORDER BY page_number))
 """
 
@@ -149,7 +149,7 @@ pieces AS (
   FROM (SELECT doc_key, regexp_extract_all(text, '[{SPACE}]*{_NOT_SPACE}+') AS p FROM corpus)),
 tokens AS (
   SELECT doc_key, i, regexp_replace(piece, '^[{SPACE}]+', '') AS token,
-         sum(length(piece)) OVER (PARTITION BY doc_key ORDER BY i) AS stop FROM pieces),
+         (sum(length(piece)) OVER (PARTITION BY doc_key ORDER BY i))::BIGINT AS stop FROM pieces),
 kept AS (
   SELECT doc_key, regexp_replace(token, '{DROPPED_SYMBOL}', '', 'g') AS word, stop - length(token) AS start, stop,
          row_number() OVER (PARTITION BY doc_key ORDER BY i) - 1 AS at

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citefold.functions.identity import basename, document_id
+from citefold.operators.dense import _arrow_schema
 
 SCHEMA = ("doc_id string, source string, title string, text string, total_pages int, "
           "page_lengths array<int>, error string")
@@ -30,15 +31,17 @@ def read_documents(spark: SparkSession, folder: str, extractor: Callable[[], Cal
         document_id(F.col("content")).alias("doc_id"), F.col("path").alias("source"),
         basename(F.col("path")).alias("title"), "content")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow = _arrow_schema(spark, SCHEMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extract = extractor()
         for batch in batches:
             rows = []
-            for row in batch.itertuples(index=False):
-                found = {"doc_id": row.doc_id, "source": row.source, "title": row.title, "text": "",
-                         "total_pages": None, "page_lengths": None, "error": None}
+            for row in batch.to_pylist():
+                content = row.pop("content")
+                found = {**row, "text": "", "total_pages": None, "page_lengths": None, "error": None}
                 try:
-                    pages = extract(row.content)
+                    pages = extract(content)
                     text = "".join(pages)
                     if text.strip():
                         found.update(text=text, total_pages=len(pages), page_lengths=[len(p) for p in pages])
@@ -47,11 +50,9 @@ def read_documents(spark: SparkSession, folder: str, extractor: Callable[[], Cal
                 except Exception as error:  # one unreadable file must not stop the corpus
                     found["error"] = type(error).__name__
                 rows.append(found)
-            frame = pd.DataFrame(rows)
-            frame["total_pages"] = frame["total_pages"].astype("Int32")
-            yield frame
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return files.mapInPandas(run, SCHEMA)
+    return files.mapInArrow(run, SCHEMA)
 
 
 def pymupdf_extractor():
