@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from citefold.functions.analyzer import nfkc
 from citefold.functions.text import SPACE
 from citefold.operators.citations import resolve
+from citefold.session import stage
 
 # Question words that ask for a kind of quantity.
 SCOPES = {
@@ -34,10 +35,11 @@ UNIT_SCOPES = [
 # Quantity grammar and claim patterns.
 _S = f"[{SPACE}]"
 QUANTITY = (
-    "(?<![A-Za-z0-9_.+−-])([+−-]?\\p{Nd}+(?:\\.\\p{Nd}+)?(?:[eE][+-]?\\p{Nd}+)?)" + _S + "*"
+    "(?=[+−\\p{Nd}-])(?<![A-Za-z0-9_.+−-])([+−-]?\\p{Nd}+(?:\\.\\p{Nd}+)?(?:[eE][+-]?\\p{Nd}+)?)" + _S + "*"
     "(mol%|(?:μmol|mmol|mA|A)(?:(?:" + _S + "*cm" + _S + "*\\^?" + _S + "*-?2)|(?:" + _S + "*/" + _S + "*cm\\^?2))?"
     "(?:" + _S + "*h" + _S + "*\\^?" + _S + "*-1)?|equiv|mM|mV|min|°" + _S + "*C|V|M|mol|%|K|h|s)(?![A-Za-z])"
 )
+NUMBER = "^[+−-]?\\p{Nd}+(?:\\.\\p{Nd}+)?(?:[eE][+-]?\\p{Nd}+)?"
 ABSENCE = (
     "(?i)(?:全文|整篇论文|整个语料).{0,16}(?:没有|不存在|未报告|未提供)"
     "|(?:原文|论文).{0,8}(?:没有|不存在).{0,8}(?:对照|证据)"
@@ -61,15 +63,15 @@ def comparable(text: Column) -> Column:
 
 def quantities(normalized: Column) -> Column:
     """array<struct<value decimal, shown string, unit>> of an already comparable text."""
-    values = F.regexp_extract_all(normalized, F.lit(QUANTITY), 1)
-    units = F.regexp_extract_all(normalized, F.lit(QUANTITY), 2)
+    whole = F.regexp_extract_all(normalized, F.lit(QUANTITY), 0)
 
-    def entry(v, u):
-        shown = F.replace(v, F.lit("−"), F.lit("-"))
-        unit = F.replace(F.replace(F.regexp_replace(u, f"{_S}+", ""), F.lit("^"), F.lit("")), F.lit("/cm2"), F.lit("cm-2"))
+    def entry(found):
+        shown = F.replace(F.regexp_extract(found, NUMBER, 0), F.lit("−"), F.lit("-"))
+        unit = F.regexp_replace(F.regexp_replace(found, NUMBER, ""), f"{_S}+", "")
+        unit = F.replace(F.replace(unit, F.lit("^"), F.lit("")), F.lit("/cm2"), F.lit("cm-2"))
         return F.struct(shown.try_cast("decimal(38,18)").alias("value"), shown.alias("shown"), unit.alias("unit"))
 
-    return F.zip_with(values, units, entry)
+    return F.transform(whole, entry)
 
 
 def unit_scope(unit: Column) -> Column:
@@ -88,51 +90,57 @@ def audit(answers: DataFrame, context: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, code, value, unit, text): one row per finding.
 
     ``answers``: keys, question, answer. ``context``: keys, chunk_id, chunk_index, sources, text.
-    Every rule works on exploded paragraphs, sentences or lines joined to the chunks cited in the
-    same paragraph; chunk quantities are extracted once per chunk and shared by all answers.
+    Paragraphs are cut and their quantities extracted once, into a staged table that also says which
+    rules can apply to them at all; the rules then read only the paragraphs that concern them.
+    Chunk quantities are extracted once per chunk and joined to the paragraphs citing it.
     """
     empty = lambda kind="string": F.lit(None).cast(kind)
     unresolved = resolve(answers, context, keys).filter("reason is not null").select(
         *keys, F.lit("unresolved_citation").alias("code"), F.col("reason").alias("value"),
         empty().alias("unit"), F.col("marker").alias("text"))
 
-    paragraphs = answers.select(
+    cut = answers.select(
         *keys, requested_scopes(F.col("question")).alias("scopes"),
         F.col("question").rlike(ASKS_EQUATION).alias("asked"),
         F.posexplode(F.split("answer", f"\\n{_S}*\\n", -1)).alias("p", "paragraph"))
+    whole = F.col("paragraph")
+    paragraphs = stage(
+        cut.withColumn("q", quantities(comparable(whole)))
+        .withColumn("negative", F.exists("q", lambda q: (q.value < 0) & (q.unit == "%")) & whole.rlike(PERCENT_TOPIC))
+        .withColumn("absent", whole.rlike(ABSENCE)).withColumn("reaction", whole.rlike(ARROW)), "paragraphs")
     at = [*keys, "p"]
-    quoted = context.select(*keys, "chunk_id", "text").distinct()
-    cited = (
-        paragraphs.select(*at, F.explode(F.array_distinct(F.regexp_extract_all(
-            "paragraph", F.lit(CANONICAL_MARKER), 1))).alias("chunk_id"))
-        .join(quoted, [*keys, "chunk_id"]))
-    supported = cited.select(*at, F.explode(quantities(comparable(F.col("text")))).alias("q")).select(
-        *at, F.col("q.value").alias("amount"), F.col("q.unit").alias("unit")).distinct()
-    claimed = (paragraphs.select(*at, "scopes", F.explode(quantities(comparable(F.col("paragraph")))).alias("q"))
-               .select(*at, "scopes", F.col("q.value").alias("amount"), F.col("q.shown").alias("value"),
-                       F.col("q.unit").alias("unit")))
+    named = paragraphs.filter((F.size("q") > 0) | F.col("reaction")).select(*at, "reaction", F.explode(
+        F.array_distinct(F.regexp_extract_all("paragraph", F.lit(CANONICAL_MARKER), 1))).alias("chunk_id"))
+    quoted = context.select(*keys, "chunk_id", "text").dropDuplicates([*keys, "chunk_id"])
+    amounts = quoted.select(*keys, "chunk_id", F.explode(quantities(comparable(F.col("text")))).alias("q")).select(
+        *keys, "chunk_id", F.col("q.value").alias("amount"), F.col("q.unit").alias("unit"))
+    supported = named.join(amounts, [*keys, "chunk_id"]).select(*at, "amount", "unit").distinct()
+    claimed = paragraphs.select(*at, "scopes", F.inline("q")).withColumnsRenamed({"value": "amount", "shown": "value"})
     finding = lambda df, code: df.select(*keys, F.lit(code).alias("code"), "value", "unit", empty().alias("text"))
     unrequested = finding(claimed.filter(~F.array_contains("scopes", unit_scope(F.col("unit")))), "unrequested_quantity")
     unsupported = finding(claimed.join(supported, [*at, "amount", "unit"], "left_anti"), "quantity_not_in_cited_excerpt")
 
-    sentences = paragraphs.select(*keys, F.explode(F.split("paragraph", SENTENCE_END, -1)).alias("sentence"))
+    sentences = lambda flag: paragraphs.filter(flag).select(
+        *keys, F.explode(F.split("paragraph", SENTENCE_END, -1)).alias("sentence"))
     prose = lambda df, code: df.select(*keys, F.lit(code).alias("code"), empty().alias("value"), empty().alias("unit"),
                                        F.trim("sentence").alias("text"))
     s = F.col("sentence")
     negative = prose(
-        sentences.filter(s.rlike(PERCENT_TOPIC) & ~s.rlike(CHANGE_WORDS) & ~s.rlike(ANOMALY))
+        sentences("negative").filter(s.rlike(PERCENT_TOPIC) & ~s.rlike(CHANGE_WORDS) & ~s.rlike(ANOMALY))
         .filter(F.exists(quantities(comparable(s)), lambda q: (q.value < 0) & (q.unit == "%"))),
         "unflagged_negative_percentage")
-    absence = prose(sentences.filter(s.rlike(ABSENCE) & ~s.rlike(SCOPED_ABSENCE)), "unbounded_evidence_absence")
+    absence = prose(sentences("absent").filter(s.rlike(ABSENCE) & ~s.rlike(SCOPED_ABSENCE)), "unbounded_evidence_absence")
 
     bare = F.trim(F.regexp_replace("line", "\\[Ref [^\\]]+\\]", ""))
     bare = F.regexp_replace(F.regexp_replace(bare, "^[`$]+|[`$]+$", ""), f"^{_S}*(?:[-*]|[0-9]+\\.){_S}+", "")
     equations = (
-        paragraphs.select(*at, "asked", F.posexplode(F.split("paragraph", "\\r\\n|\\r|\\n", -1)).alias("l", "line"))
+        paragraphs.filter("reaction")
+        .select(*at, "asked", F.posexplode(F.split("paragraph", "\\r\\n|\\r|\\n", -1)).alias("l", "line"))
         .filter(F.col("line").rlike(ARROW) & F.col("line").rlike(PLUS))
         .withColumn("compact", F.regexp_replace(bare, f"{_S}+", "")))
     shown = (equations.filter(F.col("asked") & (F.col("compact") != ""))
-             .join(cited.select(*at, F.regexp_replace("text", f"{_S}+", "").alias("_t")), at)
+             .join(named.filter("reaction").join(quoted, [*keys, "chunk_id"])
+                   .select(*at, F.regexp_replace("text", f"{_S}+", "").alias("_t")), at)
              .filter(F.contains("_t", F.col("compact"))).select(*at, "l").distinct())
     unverified = equations.join(shown, [*at, "l"], "left_anti").select(
         *keys, F.lit("unverified_reaction_equation").alias("code"), empty().alias("value"),
