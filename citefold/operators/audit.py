@@ -102,20 +102,20 @@ def audit(answers: DataFrame, context: DataFrame, keys: list[str]) -> DataFrame:
     cut = answers.select(
         *keys, requested_scopes(F.col("question")).alias("scopes"),
         F.col("question").rlike(ASKS_EQUATION).alias("asked"),
-        F.posexplode(F.split("answer", f"\\n{_S}*\\n", -1)).alias("p", "paragraph"))
+        F.posexplode(F.split("answer", f"\\n{_S}*\\n", -1)).alias("_p", "paragraph"))
     whole = F.col("paragraph")
     paragraphs = stage(
-        cut.withColumn("q", quantities(comparable(whole)))
-        .withColumn("negative", F.exists("q", lambda q: (q.value < 0) & (q.unit == "%")) & whole.rlike(PERCENT_TOPIC))
+        cut.withColumn("_quantities", quantities(comparable(whole)))
+        .withColumn("negative", F.exists("_quantities", lambda q: (q.value < 0) & (q.unit == "%")) & whole.rlike(PERCENT_TOPIC))
         .withColumn("absent", whole.rlike(ABSENCE)).withColumn("reaction", whole.rlike(ARROW)), "paragraphs")
-    at = [*keys, "p"]
-    named = paragraphs.filter((F.size("q") > 0) | F.col("reaction")).select(*at, "reaction", F.explode(
+    at = [*keys, "_p"]
+    named = paragraphs.filter((F.size("_quantities") > 0) | F.col("reaction")).select(*at, "reaction", F.explode(
         F.array_distinct(F.regexp_extract_all("paragraph", F.lit(CANONICAL_MARKER), 1))).alias("chunk_id"))
     quoted = context.select(*keys, "chunk_id", "text").dropDuplicates([*keys, "chunk_id"])
-    amounts = quoted.select(*keys, "chunk_id", F.explode(quantities(comparable(F.col("text")))).alias("q")).select(
-        *keys, "chunk_id", F.col("q.value").alias("amount"), F.col("q.unit").alias("unit"))
+    amounts = quoted.select(*keys, "chunk_id", F.explode(quantities(comparable(F.col("text")))).alias("_quantity")).select(
+        *keys, "chunk_id", F.col("_quantity.value").alias("amount"), F.col("_quantity.unit").alias("unit"))
     supported = named.join(amounts, [*keys, "chunk_id"]).select(*at, "amount", "unit").distinct()
-    claimed = paragraphs.select(*at, "scopes", F.inline("q")).withColumnsRenamed({"value": "amount", "shown": "value"})
+    claimed = paragraphs.select(*at, "scopes", F.inline("_quantities")).withColumnsRenamed({"value": "amount", "shown": "value"})
     finding = lambda df, code: df.select(*keys, F.lit(code).alias("code"), "value", "unit", empty().alias("text"))
     unrequested = finding(claimed.filter(~F.array_contains("scopes", unit_scope(F.col("unit")))), "unrequested_quantity")
     unsupported = finding(claimed.join(supported, [*at, "amount", "unit"], "left_anti"), "quantity_not_in_cited_excerpt")
@@ -135,14 +135,14 @@ def audit(answers: DataFrame, context: DataFrame, keys: list[str]) -> DataFrame:
     bare = F.regexp_replace(F.regexp_replace(bare, "^[`$]+|[`$]+$", ""), f"^{_S}*(?:[-*]|[0-9]+\\.){_S}+", "")
     equations = (
         paragraphs.filter("reaction")
-        .select(*at, "asked", F.posexplode(F.split("paragraph", "\\r\\n|\\r|\\n", -1)).alias("l", "line"))
+        .select(*at, "asked", F.posexplode(F.split("paragraph", "\\r\\n|\\r|\\n", -1)).alias("_l", "line"))
         .filter(F.col("line").rlike(ARROW) & F.col("line").rlike(PLUS))
         .withColumn("compact", F.regexp_replace(bare, f"{_S}+", "")))
     shown = (equations.filter(F.col("asked") & (F.col("compact") != ""))
              .join(named.filter("reaction").join(quoted, [*keys, "chunk_id"])
                    .select(*at, F.regexp_replace("text", f"{_S}+", "").alias("_t")), at)
-             .filter(F.contains("_t", F.col("compact"))).select(*at, "l").distinct())
-    unverified = equations.join(shown, [*at, "l"], "left_anti").select(
+             .filter(F.contains("_t", F.col("compact"))).select(*at, "_l").distinct())
+    unverified = equations.join(shown, [*at, "_l"], "left_anti").select(
         *keys, F.lit("unverified_reaction_equation").alias("code"), empty().alias("value"),
         empty().alias("unit"), F.trim("line").alias("text"))
     return reduce(DataFrame.unionByName, [unresolved, unrequested, unsupported, negative, absence, unverified])
