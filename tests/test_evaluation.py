@@ -135,14 +135,16 @@ def selection_case(spark):
 
 
 def test_selection_matches_brute_force_with_full_rendering(selection_case):
-    data, questions, policy, _, _, chosen = selection_case
+    data, questions, tight, hits, asked, chosen = selection_case
+    roomy = selection.Policy(max_chunks=7, max_chunks_per_document=3, input_estimate_limit=8_000)
     reasons = set()
-    for q in data:
-        log, taken = brute_force(questions[q], data[q], policy)
-        got = chosen.filter(F.col("question_id") == q).orderBy("rank").collect()
-        assert [(r["rank"], r["chunk_id"], r["selected"], r["reason"], round(r["overlap"], 9)) for r in got] == log
-        assert got[0]["input_estimate"] == render(questions[q], taken)[1]
-        reasons |= {x[3] for x in log}
+    for policy, result in ((tight, chosen), (roomy, selection.select_evidence(hits, asked, roomy, BODY).cache())):
+        for q in data:
+            log, taken = brute_force(questions[q], data[q], policy)
+            got = result.filter(F.col("question_id") == q).orderBy("rank").collect()
+            assert [(r["rank"], r["chunk_id"], r["selected"], r["reason"], round(r["overlap"], 9)) for r in got] == log
+            assert got[0]["input_estimate"] == render(questions[q], taken)[1]
+            reasons |= {x[3] for x in log}
     assert reasons == {None, "duplicate_chunk_id", "duplicate_text", "source_span_overlap", "chunk_limit", "document_limit", "input_budget"}
 
 
