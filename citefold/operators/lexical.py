@@ -60,7 +60,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """(query_id, row_id, score) for every row sharing at least one term with the query."""
     terms = stage(query_terms(queries), "query-terms")
-    matched = measured_join(index.postings, terms.select("term").distinct(), ["term"], "left_semi")
+    matched = measured_join(index.postings, terms.select("term"), ["term"], "left_semi")
     frequency = matched.groupBy("term").agg(F.count("*").alias("df"))
     n = F.lit(float(index.row_count))
     weighted_terms = stage(

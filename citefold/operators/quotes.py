@@ -42,7 +42,8 @@ def find_quotes(texts: DataFrame, quotes: DataFrame) -> DataFrame:
     if not short.isEmpty():
         candidates.append(_scan(texts, short))
     if not candidates:
-        candidates.append(texts.limit(0).join(split.select("quote_id").limit(0)).select("quote_id", "text_id"))
+        none = F.lit(None).cast(dict(texts.dtypes)["text_id"])
+        candidates.append(split.limit(0).select("quote_id", none.alias("text_id")))
     pairs = candidates[0] if len(candidates) == 1 else candidates[0].unionByName(candidates[1])
     pairs = stage(pairs, "quote-candidates")
     met = measured_join(texts, pairs, ["text_id"])

@@ -56,20 +56,18 @@ def top_k_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int,
                   spread: list[str], rank: str = "rank", salts: int = SALTS) -> DataFrame:
     """Exact top-k rows per key in two levels, so no single task sorts a whole hot key.
 
-    The first level ranks within (key, salt); at most ``salts * k`` rows per key reach the
+    ``salts=1`` skips the first level for groups that are bounded already. The first level ranks within (key, salt); at most ``salts * k`` rows per key reach the
     second level. Both rank filters are pushed below their exchanges by Spark.
     """
     check_limit(k)
     if k == 0:
         return df.withColumn(rank, F.lit(1)).limit(0)
-    first = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    if salts > 1:
+        first = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = (df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
+              .withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k).drop("_salt", "_r"))
     final = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-        .withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k)
-        .drop("_salt", "_r")
-        .withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= k)
-    )
+    return df.withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= k)
 
 
 def dense_row_ids(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:

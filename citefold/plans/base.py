@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from citefold.functions.analyzer import ELEMENTS, STOP_WORDS
 from citefold.functions.identity import IDENTITY_VERSION
 from citefold.functions.text import DEFAULT_TOKEN, DROPPED_SYMBOL, SPACE
 from citefold.operators import chunking, corpus, dense, encoding, fusion, lexical, quotes
+from citefold.operators.scale import measured_join
 from citefold.session import spread, stage, table
 
 SIZE, OVERLAP = 120, 20
@@ -66,7 +68,7 @@ def annotate(spark: SparkSession, sf_dir: str, documents: DataFrame) -> Annotate
                   "aggregate(slice(page_lengths, 1, i), 0, (a, x) -> a + x) as start))")
     pages = documents.select("doc_key", "doc_id", F.inline(ends))
     anchors = stage(
-        placed.join(pages, "doc_key").filter("start < char_end and start + length > char_start")
+        measured_join(pages, placed, ["doc_key"]).filter("start < char_end and start + length > char_start")
         .select("question_id", F.concat_ws("-", "doc_key", "page").alias("evidence_id"), "doc_key", "doc_id",
                 F.col("page").alias("page_number"),
                 (F.greatest("char_start", "start") - F.col("start")).cast("int").alias("char_start"),
@@ -90,9 +92,14 @@ class Search:
 
     def hits(self, mode: str, k: int = WINDOW) -> DataFrame:
         """Hits of one mode with the metadata of their chunks, fetched only for ranked rows."""
-        ranked = self.routes[mode].filter(F.col("rank") <= k).select(
-            F.col("query_id").alias("question_id"), "row_id", "rank", "score")
-        return self.chunks.drop("page_lengths", "block_lengths").join(ranked, "row_id")
+        return self.hits_of([mode], k).drop("mode")
+
+    def hits_of(self, modes: list[str], k: int = WINDOW) -> DataFrame:
+        """Hits of several modes from one pass over the chunk table."""
+        ranked = reduce(DataFrame.unionByName, [
+            self.routes[m].filter(F.col("rank") <= k).select(
+                F.lit(m).alias("mode"), F.col("query_id").alias("question_id"), "row_id", "rank", "score") for m in modes])
+        return measured_join(self.chunks.drop("page_lengths", "block_lengths"), ranked, ["row_id"])
 
 
 def search_benchmark(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None,

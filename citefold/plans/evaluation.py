@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citefold.operators import audit, citations, fusion, generation, metrics, selection
+from citefold.operators.scale import measured_join
 from citefold.plans.base import ANCHORS, SEARCH, annotate, frozen_documents, search_benchmark
 from citefold.plans.registry import query
 from citefold.session import spread, stage, table
@@ -19,11 +20,7 @@ def _evaluated(spark, sf_dir, k=10):
     documents = stage(frozen_documents(spark, sf_dir), "documents")
     notes = annotate(spark, sf_dir, documents)
     found = search_benchmark(spark, sf_dir, documents)
-    hits = None
-    for mode in MODES:
-        part = found.hits(mode, k).select(F.lit(mode).alias("mode"), "question_id", "rank", "doc_id",
-                                          "location_status", "source_spans")
-        hits = part if hits is None else hits.unionByName(part)
+    hits = found.hits_of(MODES, k).select("mode", "question_id", "rank", "doc_id", "location_status", "source_spans")
     return notes, found, stage(hits, "mode-hits")
 
 
@@ -211,7 +208,7 @@ def dataset_rules(spark, sf_dir):
         "doc_id", "page_number", F.substring(F.col("text"), F.col("at") + 1, F.col("len")).alias("text"))
     # the quote of an anchor is its part of the passage, located through the document text
     starts = documents.select("doc_key", F.inline(offsets)).select("doc_key", "page_number", "at")
-    whole = documents.select("doc_key", "text").join(notes.anchors.select("doc_key").distinct(), "doc_key", "left_semi")
+    whole = measured_join(documents.select("doc_key", "text"), notes.anchors.select("doc_key"), ["doc_key"], "left_semi")
     quoted = (notes.anchors.join(starts, ["doc_key", "page_number"]).join(whole, "doc_key")
               .join(questions.select("question_id", "question"), "question_id")
               .withColumn("p", F.call_function("locate", F.col("question"), F.col("text")) - 1)

@@ -9,6 +9,7 @@ from citefold.functions.text import (
     DROPPED_SYMBOL, SPACE, ascii_json_length, clean_text, clean_text_dropping_symbols, execution_status, token_count,
     word_count)
 from citefold.operators import chunking, corpus, encoding, intervals, quotes, stats
+from citefold.operators.scale import measured_join
 from citefold.plans.base import (
     ANCHORS, CHUNKS, CORPUS, PAGES, SPANS, TOKEN_PATTERN_SQL, benchmark_questions, chunk_table,
     frozen_documents, raw_documents, with_pages)
@@ -223,7 +224,7 @@ def source_coverage_gaps(spark, sf_dir):
         F.col("gap_start").cast("int").alias("a"), size.cast("int").alias("n"))).alias("g"))
     symbols = F.aggregate("g", F.lit(0).cast("long"), lambda t, x: t + F.length(F.regexp_replace(
         F.substring(F.col("text"), x.a + 1, x.n), f"[{SPACE}]+", "")))
-    return listed.join(documents.select("doc_key", "text"), "doc_key").select(
+    return measured_join(documents.select("doc_key", "text"), stage(listed, "gaps"), ["doc_key"]).select(
         "doc_key", "uncovered", symbols.alias("uncovered_symbols"))
 
 

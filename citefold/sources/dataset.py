@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citefold.operators.scale import measured_join
+
 # Allowed categories and states.
 CATEGORIES = ["single_fact", "conditions", "mechanism", "numeric", "system_boundary", "comparison", "insufficient_evidence"]
 ANSWERABILITY = ["answerable", "scoped_insufficient"]
@@ -61,7 +63,9 @@ def question_violations(questions: DataFrame, anchors: DataFrame, points: DataFr
               .groupBy("doc_id").agg(F.count_distinct("split").alias("_s")).filter("_s > 1"), "document_in_two_splits"),
     ]
     if pages is not None:
-        placed = anchors.join(pages, ["doc_id", "page_number"], "left")
+        wanted = ["doc_id", "page_number"]
+        quoted_pages = measured_join(pages, anchors.select(*wanted), wanted, "left_semi")
+        placed = anchors.join(quoted_pages, wanted, "left")
         at = F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
         out.append(count(placed.filter(F.coalesce(at != F.col("quote"), F.lit(True))), "quote_not_at_interval"))
     return reduce(DataFrame.unionByName, out)
