@@ -221,7 +221,7 @@ def test_marker_scan_reads_a_section(spark):
     assert citations.marker_scan(answer(spark, "no section"), ["q"], ("## Body\n", "\n\n## End")).isEmpty()
 
 
-@pytest.mark.parametrize("question, said, evidence, codes", [
+AUDIT_CASES = [
     ("Which potential?", "It ran at −0.5 V {a}.", "at -0.50 V", set()),
     ("Which potential?", "It ran at 0.5 V {a}.", "at -0.5 V", {"quantity_not_in_cited_excerpt"}),
     ("Which potential?", "It lasted 5 h {a}.", "5 h", {"unrequested_quantity"}),
@@ -238,10 +238,17 @@ def test_marker_scan_reads_a_section(spark):
     ("Why?", "A + B → C {a}", "A + B → C", {"unverified_reaction_equation"}),
     ("Why?", "See [1].", "t", {"unresolved_citation"}),
     ("Which performance?", "Sample A10 and x5 V {a}", "t", set()),
-])
-def test_audit_rules(spark, question, said, evidence, codes):
-    context = spark.createDataFrame([(0, 1, IDS[0], "d", 0, "s", ["s"], evidence)], CONTEXT)
-    answers = answer(spark, said.replace("{a}", f"[Ref {IDS[0]}]"), question)
-    found = audit.audit(answers, context, ["q"])
-    assert {r["code"] for r in found.collect()} == codes
-    assert audit.audit_status(answers, found, ["q"]).first()["status"] == ("blocked" if codes else "passed_lexical_checks")
+]
+
+
+def test_audit_rules(spark):
+    context = spark.createDataFrame([(i, 1, IDS[0], "d", 0, "s", ["s"], case[2]) for i, case in enumerate(AUDIT_CASES)], CONTEXT)
+    answers = spark.createDataFrame([(i, case[0], case[1].replace("{a}", f"[Ref {IDS[0]}]")) for i, case in enumerate(AUDIT_CASES)],
+                                    "q int, question string, answer string")
+    found = audit.audit(answers, context, ["q"]).cache()
+    codes = {i: set() for i in range(len(AUDIT_CASES))}
+    for r in found.collect():
+        codes[r["q"]].add(r["code"])
+    assert codes == {i: case[3] for i, case in enumerate(AUDIT_CASES)}
+    status = {r["q"]: r["status"] for r in audit.audit_status(answers, found, ["q"]).collect()}
+    assert status == {i: "blocked" if case[3] else "passed_lexical_checks" for i, case in enumerate(AUDIT_CASES)}
