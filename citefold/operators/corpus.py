@@ -108,3 +108,18 @@ def set_difference_report(expected: DataFrame, actual: DataFrame, keys: list[str
     problem = (F.when(F.col("_a") == 0, "missing").when(F.col("_e") == 0, "unexpected")
                .when(F.col("_a") > 1, "repeated"))
     return counted.select(problem.alias("problem"), *keys).filter("problem is not null")
+
+
+def pilot_documents(documents: DataFrame, required: DataFrame, key: str, extra: int) -> DataFrame:
+    """Every required document plus the ``extra`` smallest other keys as distractors."""
+    needed = required.select(key).distinct()
+    others = documents.select(key).join(needed, key, "left_anti").distinct().orderBy(key).limit(extra)
+    return needed.unionByName(others)
+
+
+def migrate_locations(stored: DataFrame, replayed: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored chunks with the location of the replayed chunk at the same position, where the text agrees."""
+    fresh = replayed.select(*keys, F.col("text").alias("_t"), F.col("source_spans").alias("_s"))
+    place = matching_location(F.col("text"), F.col("_t"), F.col("_s"))
+    return (stored.drop("location_status", "location_reason", "source_spans").join(fresh, keys, "left")
+            .withColumn("_l", place).drop("_t", "_s").select("*", "_l.*").drop("_l"))

@@ -192,3 +192,13 @@ def review_template(questions: DataFrame, points: DataFrame) -> DataFrame:
     return questions.select("question_id").join(points.select("question_id", "point_id"), "question_id").select(
         "question_id", "point_id", blank("score"), blank("reason", "string"),
         blank("evidence_support_score"), blank("citation_correspondence_score"), blank("notes", "string"))
+
+
+def ranking_differences(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """(keys, positions, same_rows, same_scores): agreement of two rankings position by position."""
+    both = left.select(*keys, "rank", F.col("row_id").alias("_a"), F.col("score").alias("_x")).join(
+        right.select(*keys, "rank", F.col("row_id").alias("_b"), F.col("score").alias("_y")), [*keys, "rank"], "full_outer")
+    same = F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))
+    return both.groupBy(*keys).agg(
+        F.count("*").alias("positions"), F.count_if(same).alias("same_rows"),
+        F.count_if(same & (F.abs(F.col("_x") - F.col("_y")) <= tolerance)).alias("same_scores"))

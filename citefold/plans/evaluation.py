@@ -218,6 +218,13 @@ def dataset_rules(spark, sf_dir):
     return dataset.question_violations(questions, quoted, notes.points, pages)
 
 
+@query(f"""WITH {SEARCH}, {ANCHORS} SELECT DISTINCT question_id, doc_key::VARCHAR AS point_id, NULL::DOUBLE AS score FROM anchors""")
+def review_template(spark, sf_dir):
+    """Blank manual-review sheet: one row per item and answer point."""
+    notes = annotate(spark, sf_dir, frozen_documents(spark, sf_dir))
+    return metrics.review_template(notes.questions, notes.points).select("question_id", "point_id", "score")
+
+
 # ---- evidence selection ---------------------------------------------------------------------
 
 def _selected(spark, sf_dir, policy=selection.Policy(maximum_existing_span_overlap=0.1, max_chunks_per_document=3, input_estimate_limit=12_000)):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from citefold.operators import dense, fusion, lexical, rerank, stats
+from citefold.operators import dense, fusion, lexical, metrics, rerank, stats
 from citefold.plans.base import SEARCH, benchmark_questions, bm25_sql, raw_documents, search_benchmark, term_sql
 from citefold.plans.registry import query
 from citefold.session import spread, stage, table
@@ -186,6 +186,19 @@ def vector_guards(spark, sf_dir):
     return faults.groupBy("fault").agg(F.count("*").alias("vectors"))
 
 
+@query(f"""WITH {_STORED}, by_dot AS (
+  SELECT query_id, vec_id, round(dot, 12) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(dot, 12) DESC, vec_id) AS rank FROM scored)
+SELECT query_id, count(*)::BIGINT AS positions, count(*) FILTER (r.vec_id = d.vec_id)::BIGINT AS same_rows,
+  count(*) FILTER (r.vec_id = d.vec_id AND abs(r.score - d.score) <= 0.4)::BIGINT AS same_scores
+FROM (SELECT * FROM ranked WHERE rank <= 10) r FULL JOIN (SELECT * FROM by_dot WHERE rank <= 10) d USING (query_id, rank) GROUP BY query_id""")
+def ranking_equivalence(spark, sf_dir):
+    """Two rankings compared position by position, rows and scores."""
+    vectors = _stored_vectors(spark, sf_dir)
+    queries = stage(_centroids(vectors), "centroids")
+    return metrics.ranking_differences(dense.cosine_search(vectors, queries, 10),
+                                       dense.cosine_search(vectors, queries, 10, metric="dot"), ["query_id"], 0.4)
+
+
 # ---- fused search over chunks ---------------------------------------------------------------
 
 @query(f"""WITH {SEARCH}

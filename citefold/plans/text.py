@@ -281,3 +281,22 @@ def chunk_index_rules(spark, sf_dir):
 
     chunks = chunk_table(frozen_documents(spark, sf_dir)).withColumnRenamed("row_id", "order_key")
     return chunk_violations(stage(dense_row_ids(chunks, ["order_key"]), "numbered-chunks"))
+
+
+@query("""SELECT doc_id FROM labels UNION SELECT doc_id FROM (
+  SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 9)""")
+def pilot_documents(spark, sf_dir):
+    """All labelled documents plus the nine smallest other ids as distractors."""
+    return corpus.pilot_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", 9)
+
+
+@query(f"""WITH {CORPUS}, {CHUNKS}
+SELECT CASE WHEN c.lang = 'de' THEN 'unavailable' ELSE 'located' END AS location_status,
+  CASE WHEN c.lang = 'de' THEN 'chunk_text_differs_from_current_pdf_extraction' END AS location_reason, count(*)::BIGINT AS chunks
+FROM chunks k JOIN corpus c USING (doc_key) GROUP BY ALL""")
+def location_migration(spark, sf_dir):
+    """Locations replayed onto stored chunks; the texts of one language were altered since."""
+    chunks = stage(chunk_table(frozen_documents(spark, sf_dir)), "chunks")
+    altered = F.when(F.col("lang") == "de", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    moved = corpus.migrate_locations(chunks.withColumn("text", altered), chunks, ["doc_id", "chunk_index"])
+    return moved.groupBy("location_status", "location_reason").agg(F.count("*").alias("chunks"))
