@@ -111,7 +111,7 @@ def audit(answers: DataFrame, context: DataFrame, keys: list[str]) -> DataFrame:
     at = [*keys, "_p"]
     named = paragraphs.filter((F.size("_quantities") > 0) | F.col("reaction")).select(*at, "reaction", F.explode(
         F.array_distinct(F.regexp_extract_all("paragraph", F.lit(CANONICAL_MARKER), 1))).alias("chunk_id"))
-    quoted = context.select(*keys, "chunk_id", "text").dropDuplicates([*keys, "chunk_id"])
+    quoted = context.select(*keys, "chunk_id", "text")  # repeated chunks only repeat what is made distinct below
     amounts = quoted.select(*keys, "chunk_id", F.explode(quantities(comparable(F.col("text")))).alias("_quantity")).select(
         *keys, "chunk_id", F.col("_quantity.value").alias("amount"), F.col("_quantity.unit").alias("unit"))
     supported = named.join(amounts, [*keys, "chunk_id"]).select(*at, "amount", "unit").distinct()

@@ -68,11 +68,12 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
             "query_id", "term", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")),
         "query-weights")
     norm = index.k1 * (1 - index.b + index.b * F.col("length") / F.lit(index.average_length))
+    grid = F.lit(10.0**SCORE_DIGITS)  # whole grid steps add up to the same sum in any order
     part = F.col("idf") * F.col("tf") * (index.k1 + 1) / (F.col("tf") + norm)
     return (
         measured_join(index.postings, weighted_terms, ["term"])
         .groupBy("query_id", "row_id")
-        .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+        .agg((F.sum(F.round(part * grid).cast("long")) / grid).alias("score"))
     )
 
 

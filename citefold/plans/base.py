@@ -207,9 +207,9 @@ def bm25_sql(rows: str, tf: str, asked: str, out: str, k: int, k1: float = 1.2,
 {out}_lengths AS (
   SELECT r.row_id, coalesce(sum(t.tf), 0)::DOUBLE AS len FROM {rows} r LEFT JOIN {tf} t USING (row_id) GROUP BY r.row_id),
 {out}_scored AS (
-  SELECT q.query_id, t.row_id, round(sum(ln(1 + ((SELECT count(*) FROM {rows}) - d.df + 0.5::DOUBLE) / (d.df + 0.5::DOUBLE))
+  SELECT q.query_id, t.row_id, sum(round(1e12 * (ln(1 + ((SELECT count(*) FROM {rows}) - d.df + 0.5::DOUBLE) / (d.df + 0.5::DOUBLE))
       * t.tf * {k1 + 1}::DOUBLE / (t.tf + {k1}::DOUBLE * (1 - {b}::DOUBLE + {b}::DOUBLE * l.len
-      / (SELECT avg(len) FROM {out}_lengths)))), 12) AS score
+      / (SELECT avg(len) FROM {out}_lengths)))))::BIGINT)::DOUBLE / 1e12 AS score
   FROM {asked} q JOIN {tf} t USING (term) JOIN (SELECT term, count(*) AS df FROM {tf} GROUP BY term) d USING (term)
   JOIN {out}_lengths l USING (row_id) GROUP BY ALL),
 {out} AS (
