@@ -2,8 +2,8 @@
 
 The grammar needs Unicode normalisation, which Spark SQL does not offer, so texts cross to
 Python in Arrow batches. A text is reduced to its distinct words with their counts first and
-each distinct word is expanded to terms once per task, which measured about twenty times faster
-than the same rules written as array expressions.
+each distinct word is expanded to terms once per task, which took roughly a quarter of the CPU
+time of the same rules written as array expressions.
 """
 
 from __future__ import annotations
