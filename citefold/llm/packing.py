@@ -9,7 +9,6 @@ whose lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citefold.llm.batches import slices
-from citefold.llm.tokens import Encoder
+from citefold.llm.tokens import encoder
 
 WINDOW = 2048
 POOL_TOKENS = 8 << 20  # ids packed together: bounds the memory of a task; a pool holds thousands of windows
@@ -126,8 +125,7 @@ def close_up(made: list[list[int]], sizes: list[int], size: int) -> list[list[tu
 
 def _packer(path: str, end_id: int, size: int, pool: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
-        encoder = Encoder(path)
+        tokens = encoder(path)
         part = TaskContext.get().partitionId() << 40
         sequence = 0
         items: list[tuple] = []  # (doc_id, start, doc_tokens, ids)
@@ -158,7 +156,7 @@ def _packer(path: str, end_id: int, size: int, pool: int, with_ids: bool):
             return sequences
 
         for batch in slices(batches):
-            ids, bounds = encoder.encode(batch.column("text"))
+            ids, bounds = tokens.encode(batch.column("text"))
             full = []
             for row, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 own = np.append(ids[bounds[row]:bounds[row + 1]], np.uint32(end_id))

@@ -13,7 +13,6 @@ starts at a byte, so any run of ids is unpacked from the blocks that it touches.
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 import zlib
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citefold.llm.batches import slices
-from citefold.llm.tokens import Encoder
+from citefold.llm.tokens import encoder
 from citefold.session import stage
 
 MAGIC, HEADER = b"BPK1", "<4sIIQQI"
@@ -100,8 +99,7 @@ class Shard:
 
 def _writer(tokenizer: str, end_id: int, bits: int, block: int, folder: str, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(tokenizer)
+        tokens = encoder(tokenizer)
         system, root = pafs.FileSystem.from_uri(folder)
         part, shards = TaskContext.get().partitionId(), 0
         doc_ids: list[np.ndarray] = []
@@ -127,7 +125,7 @@ def _writer(tokenizer: str, end_id: int, bits: int, block: int, folder: str, sha
             return row
 
         for batch in slices(batches):
-            got, bounds = encoder.encode(batch.column("text"))
+            got, bounds = tokens.encode(batch.column("text"))
             stops = bounds[1:] + np.arange(1, batch.num_rows + 1)
             full = np.full(int(stops[-1]), end_id, np.uint32)
             keep = np.ones(len(full), bool)

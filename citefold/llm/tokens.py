@@ -8,6 +8,9 @@ only makes a longer piece.
 
 from __future__ import annotations
 
+import os
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
@@ -20,7 +23,7 @@ _UNSURE_LAST = byte_class(lambda i: i <= 0x20 or i == 0x7F)
 _UNSURE_BEFORE = byte_class(lambda i: i in (0xC2, 0x9A, 0x80, 0x81))
 _PUNCTUATION = byte_class(lambda i: chr(i) in ".,;:!?")
 _LETTER = byte_class(lambda i: i < 0x80 and chr(i).isalpha())
-MEMORY = 500_000  # pieces a worker remembers; others are encoded in each slice anew, with the same result
+MEMORY = 800_000  # pieces a worker remembers; others are encoded in each slice anew, with the same result
 
 
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -83,3 +86,10 @@ class Encoder:
         ends = np.cumsum(counts)
         ids = table[np.repeat(first - (ends - counts), counts) + np.arange(int(ends[-1]))]
         return ids, np.r_[0, ends][np.searchsorted(starts, offsets)]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder per Python worker, kept from task to task with the pieces it remembers."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
+    return Encoder(path)
