@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +55,7 @@ def _levels(matrix: np.ndarray) -> np.ndarray:
 
 def _index(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = 0
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
@@ -68,8 +70,7 @@ def _index(size: int):
                         slots = np.flatnonzero(level[:, d] == l)
                         if len(slots):
                             rows.append((l, d, slots.astype(np.uint32).tobytes(), matrix[slots, d].tobytes()))
-                name = int(ids.min()) ^ (len(ids) << 48) ^ hash((int(ids.max()), at))
-                name &= (1 << 62) - 1
+                name, made = (TaskContext.get().partitionId() << 32) + made, made + 1
                 yield pa.RecordBatch.from_arrays([
                     pa.array([name] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()),
                     pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()),
@@ -79,9 +80,8 @@ def _index(size: int):
 
 
 def build_index(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Posting segments of ``vectors`` (vec_id, x); every vector is in one block."""
-    numbered = vectors.mapInArrow(_index(block), INDEX)
-    return numbered
+    """Posting segments of ``vectors`` (vec_id, x); every vector is in one block. Blocks are named by task: write it once."""
+    return vectors.mapInArrow(_index(block), INDEX)
 
 
 def _search_block(segments: list[dict], queries: np.ndarray, query_ids: np.ndarray, k: int,
