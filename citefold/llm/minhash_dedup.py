@@ -2,7 +2,7 @@
 
 1. Every text becomes its set of word shingles; texts with equal sets are one node.
 2. A node's signature has M coordinates; coordinate and value together are a token, and a document is posted under its
-   tokens. Two sets of the asked similarity share at least ``need`` tokens but for a chance below one in a million, so a
+   tokens. Two sets of the asked similarity share at least ``need`` tokens but for a chance of about one in a hundred thousand at the threshold, so a
    node with fewer than ``need`` tokens that anyone shares is done (most texts end here).
 3. Prefix: two token sets that share ``need`` of M tokens share one among the M - need + 1 rarest of each. Only those
    are posted, rarest first; tokens of a common line or passage stay outside.
@@ -27,8 +27,8 @@ from citefold.llm.batches import WHITE, mix, slices, windows_of, words
 from citefold.llm.components import components
 from citefold.session import stage
 
-M = 64           # signature coordinates
-NEED = 36        # coordinates that must agree: 4.7 standard deviations below the mean at similarity 0.8
+M = 48           # signature coordinates
+NEED = 24        # coordinates that must agree: 5.2 standard deviations below the mean at similarity 0.8
 LONG_LIST = 64   # postings from which a list is compared in blocks
 BLOCK = 256      # nodes of a block: two blocks of sets and one matrix of counts are all that a task holds
 SHINGLE = 4
@@ -237,10 +237,12 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = 80) ->
     # sets of the nodes that are left, computed again from one text each rather than stored for all
     left = stage(posts.join(nodes.select("node", "least", "signature", "digest"), "node"), "candidates")
     wanted = left.select(F.col("least").alias("doc_id"), F.col("digest").alias("of"), "node")
-    found = (source.join(wanted.select("doc_id").distinct(), source.doc_id.eqNullSafe(wanted.doc_id), "left_semi")
+    # both sides grow with the table, so the plan is a merge join at every size
+    ids = wanted.select("doc_id").distinct().hint("merge")
+    found = (source.join(ids, source.doc_id.eqNullSafe(ids.doc_id), "left_semi")
              .select("text").mapInArrow(_sets(width), "digest binary, members array<long>")
              .filter("digest is not null"))
-    sets = stage(found.join(wanted.select(F.col("of").alias("digest"), "node"), "digest")
+    sets = stage(found.join(wanted.select(F.col("of").alias("digest"), "node").hint("merge"), "digest")
                  .dropDuplicates(["node"]).select("node", "members"), "sets")
 
     # groups that long lists connect; each list hangs on the next one of the same node
