@@ -12,13 +12,12 @@ from citefold.functions.analyzer import ELEMENTS, STOP_WORDS
 from citefold.functions.identity import IDENTITY_VERSION
 from citefold.functions.text import DEFAULT_TOKEN, DROPPED_SYMBOL, SPACE
 from citefold.operators import chunking, corpus, dense, encoding, fusion, lexical, quotes
-from citefold.operators.scale import measured_join
+from citefold.operators.scale import dense_row_ids, measured_join
 from citefold.session import spread, stage, table
 
 SIZE, OVERLAP = 120, 20
 LINES_PER_PAGE = 8
 WINDOW = 50
-ROW_BITS = 20  # chunk positions per document in a row id
 
 
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,9 +36,9 @@ def frozen_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_table(documents: DataFrame) -> DataFrame:
-    """Identified word-window chunks; the row id keeps document order, then chunk order."""
+    """Identified word-window chunks, numbered from 0 in document order, then chunk order."""
     made = chunking.identify(chunking.word_windows(documents, SIZE, OVERLAP))
-    return made.withColumn("row_id", F.shiftleft("doc_key", ROW_BITS) + F.col("chunk_index")).withColumn(
+    return dense_row_ids(made, ["doc_key", "chunk_index"]).withColumn(
         "title", F.concat(F.lit("document "), F.col("doc_key").cast("string")))
 
 
@@ -168,7 +167,7 @@ windows AS (
          min(k.start) AS raw_start, max(k.stop) AS raw_end, count(*) AS word_count
   FROM starts s JOIN kept k ON k.doc_key = s.doc_key AND k.at >= s.first AND k.at < s.first + {SIZE} GROUP BY ALL),
 chunks AS (
-  SELECT w.*, c.doc_id, c.sources, c.source, (w.doc_key * {1 << ROW_BITS} + w.chunk_index)::BIGINT AS row_id,
+  SELECT w.*, c.doc_id, c.sources, c.source, (row_number() OVER (ORDER BY w.doc_key, w.chunk_index) - 1)::BIGINT AS row_id,
          'chunk_' || sha256('["{IDENTITY_VERSION}", "' || c.doc_id || '", ' || w.chunk_index || ', '
            || to_json(w.text)::VARCHAR || ']') AS chunk_id
   FROM windows w JOIN corpus c USING (doc_key))

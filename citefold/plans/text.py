@@ -238,14 +238,15 @@ def span_overlap_pairs(spark, sf_dir):
     return pairs.select("doc_key", F.col("left").alias("left_row"), F.col("right").alias("right_row"))
 
 
-@query("""SELECT conv_id, turn, list_sum(list_transform(string_split(text, ''), lambda c: CASE
+@query("""SELECT conv_id, turn, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE list_sum(list_transform(string_split(text, ''), lambda c: CASE
   WHEN c IN ('"', chr(92), chr(10), chr(13), chr(9), chr(8), chr(12)) THEN 2
-  WHEN unicode(c) < 32 OR unicode(c) = 127 THEN 6 WHEN unicode(c) < 127 THEN 1 WHEN unicode(c) < 65536 THEN 6 ELSE 12 END))::INT AS json_bytes
-FROM conversations WHERE text <> ''""")
+  WHEN unicode(c) < 32 OR unicode(c) = 127 THEN 6 WHEN unicode(c) < 127 THEN 1 WHEN unicode(c) < 65536 THEN 6 ELSE 12 END)) END::INT AS json_bytes
+FROM conversations""")
 def request_bytes(spark, sf_dir):
-    """Bytes of every conversation turn inside an ASCII-only JSON request."""
-    turns = spread(table(spark, sf_dir, "conversations")).filter("text <> ''")
-    return turns.select("conv_id", "turn", ascii_json_length(F.col("text")).alias("json_bytes"))
+    """Bytes of every conversation turn inside an ASCII-only JSON request; none for an empty or missing one."""
+    turns = spread(table(spark, sf_dir, "conversations"))
+    said = F.coalesce("text", F.lit(""))
+    return turns.select("conv_id", "turn", F.when(said == "", 0).otherwise(ascii_json_length(said)).cast("int").alias("json_bytes"))
 
 
 @query("""SELECT CASE WHEN event_type IN ('success', 'no_evidence', 'failed', 'truncated', 'pending') THEN event_type

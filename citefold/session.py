@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,10 +33,15 @@ def build_session(app: str = "citefold", master: str | None = None, **conf) -> S
 
 
 def staging_root(spark: SparkSession) -> str:
-    """Shared folder named by the session; a private one only where none is set (tests)."""
+    """Shared folder named by the session; a local session without one gets a folder of its own.
+
+    On a cluster a local folder would hold a part of the rows on each machine, so there it has to be named.
+    """
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         return configured.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         folder = tempfile.mkdtemp(prefix="citefold-stage-")
