@@ -23,8 +23,10 @@ from citefold.llm.batches import NOT_WORD, Words, slices, words
 from citefold.session import stage
 
 EXAMPLES = 4000   # labelled rows per label that are learned from
-TERMS = 2048      # terms of the vocabulary
+TERMS = 1024      # terms of the vocabulary
 MIN_Z = 4.0       # association with the label that a term needs, in standard deviations of the log odds
+MIN_ODDS = 4.0    # odds ratio that a term needs: longer texts alone do not make a term
+AT_ONCE = 8       # blocks that a search scores together
 STEMS = (3, 4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64
@@ -65,7 +67,7 @@ class Model:
     doc_ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int8))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of a label in the votes, by example
-    postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    postings: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, BLOCK), np.float32))  # term x block x place
     maxima: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # term x block
     blank: float = 0.0                                                  # score of a text without any term
     curve: np.ndarray = field(default_factory=lambda: np.linspace(0, 1, BINS))
@@ -80,34 +82,27 @@ class Model:
         return terms, raw / math.sqrt(float(raw @ raw))
 
     def index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Weights by (term, block, place in block), and the greatest weight of a term in a block."""
         blocks = -(-len(vectors) // BLOCK)
-        self.maxima = np.zeros((len(self.idf), blocks))
-        held: dict[tuple[int, int], tuple[list, list]] = {}
+        self.postings = np.zeros((len(self.idf), blocks, BLOCK), np.float32)
         for example, (terms, values) in enumerate(vectors):
-            for t, v in zip(terms.tolist(), values.tolist()):
-                at = held.setdefault((t, example // BLOCK), ([], []))
-                at[0].append(example % BLOCK)
-                at[1].append(v)
-                self.maxima[t, example // BLOCK] = max(v, self.maxima[t, example // BLOCK])
-        self.postings = {k: (np.array(a, np.int64), np.array(b)) for k, (a, b) in held.items()}
+            self.postings[terms, example // BLOCK, example % BLOCK] = values
+        self.maxima = self.postings.max(2, initial=0).astype(float)
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, without: int = -1):
         """The k examples of highest positive cosine, ties to the earlier one: (numbers, cosines)."""
         bounds = values @ self.maxima[terms]
+        order = np.argsort(-bounds, kind="stable")
         best_id, best = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < best[-1] - 1e-12:
-                break  # no example of this or a later block can be nearer
-            scores = np.zeros(BLOCK)
-            for t, v in zip(terms.tolist(), values.tolist()):
-                if (t, block) in self.postings:
-                    at, held = self.postings[t, block]
-                    scores[at] += v * held
-            scores = np.round(scores, 12)
-            if 0 <= without - block * BLOCK < BLOCK:
-                scores[without - block * BLOCK] = 0
-            hit = np.flatnonzero(scores)
-            best_id, best = np.r_[best_id, block * BLOCK + hit], np.r_[best, scores[hit]]
+        for at in range(0, len(order), AT_ONCE):
+            top = bounds[order[at]]
+            if top <= 0 or len(best) == k and top < best[-1] - 1e-9:
+                break  # no example of these or later blocks can be nearer
+            some = order[at:at + AT_ONCE]
+            scores = np.round(np.tensordot(values, self.postings[terms[:, None], some[None, :]].astype(float), 1), 9).reshape(-1)
+            ids = (some[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
+            hit = (scores > 0) & (ids != without)
+            best_id, best = np.r_[best_id, ids[hit]], np.r_[best, scores[hit]]
             keep = np.lexsort((best_id, -best))[:k]
             best_id, best = best_id[keep], best[keep]
         return best_id, best
@@ -169,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary
         1 / a + 1 / b + 1 / (n1 - F.col("toxic") + 0.5) + 1 / (n0 - F.col("clean") + 0.5))
     found = (texts.mapInArrow(count, "term string, clean long, toxic long").groupBy("term")
              .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-             .withColumn("z", z).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(vocabulary_size).collect())
+             .withColumn("z", z).filter((F.col("z") >= MIN_Z) & (a / (n1 - F.col("toxic") + 0.5) >= MIN_ODDS * b / (n0 - F.col("clean") + 0.5))).orderBy(F.desc("z"), "term").limit(vocabulary_size).collect())
     terms = sorted(found, key=lambda r: r.term)
     model = Model({r.term: i for i, r in enumerate(terms)},
                   np.array([math.log((n0 + n1 + 1) / (r.clean + r.toxic + 1)) + 1 for r in terms]))
