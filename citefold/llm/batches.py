@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 4 << 20  # text held at once by a Python worker, besides a single longer text
+SLICE_BYTES = 2 << 20  # text held at once by a Python worker, besides a single longer text
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
@@ -74,10 +74,10 @@ def words(texts: pa.Array, separators: np.ndarray, fold: np.ndarray | None = LOW
     at = offsets[:-1][offsets[:-1] < len(data)]
     start[at] = inside[at]  # a word never spans two rows
     first = np.flatnonzero(start)
-    number = np.r_[0, np.cumsum(inside)]  # kept bytes before each position
+    upto = np.cumsum(inside, dtype=np.int32 if len(data) < 1 << 31 else np.int64)  # kept bytes up to each position
     kept = np.ascontiguousarray(data[inside])
     bounds = np.searchsorted(first, offsets).astype(np.int64)
-    edges = np.r_[number[first], len(kept)].astype(np.int64)
+    edges = np.r_[upto[first].astype(np.int64) - 1, len(kept)]
     flat = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(edges), pa.py_buffer(kept)])
     coded = flat.dictionary_encode()
     return Words(coded.indices.to_numpy(zero_copy_only=False), bounds, coded.dictionary)

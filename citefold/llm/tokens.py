@@ -23,7 +23,7 @@ _UNSURE_LAST = byte_class(lambda i: i <= 0x20 or i == 0x7F)
 _UNSURE_BEFORE = byte_class(lambda i: i in (0xC2, 0x9A, 0x80, 0x81))
 _PUNCTUATION = byte_class(lambda i: chr(i) in ".,;:!?")
 _LETTER = byte_class(lambda i: i < 0x80 and chr(i).isalpha())
-MEMORY = 800_000  # pieces a worker remembers; others are encoded in each slice anew, with the same result
+MEMORY = 400_000  # pieces a worker remembers; others are encoded in each slice anew, with the same result
 
 
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

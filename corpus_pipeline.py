@@ -19,20 +19,24 @@ MIN_LANGUAGE_SCORE = 0.05  # a margin of 0.26 %: narrower ones are hardly more t
 
 
 def _carried(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, row): the whole row travels apart from what operators add, whatever its columns are called."""
-    return docs.select("doc_id", "text", F.struct("*").alias("row"))
+    """(text, row): the other columns travel apart from what operators add, whatever they are called; the text once."""
+    return docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
+
+
+def _restored(carried: DataFrame, docs: DataFrame) -> DataFrame:
+    return carried.select(*["text" if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.filter(fold("doc_id", 3) != 1).select("doc_id", "text", "lang"))
     known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return language_id.predict(_carried(docs), model).filter(known).select("row.*")
+    return _restored(language_id.predict(_carried(docs), model).filter(known), docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(fold("doc_id", 5) != 0)
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
-    return toxicity.score(_carried(docs), model).filter("predicted = 0").select("row.*")
+    return _restored(toxicity.score(_carried(docs), model).filter("predicted = 0"), docs)
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
