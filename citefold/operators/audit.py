@@ -51,6 +51,7 @@ ANOMALY = "(?i)原文异常|需(?:要)?核查|疑似错误|不能按有效|sourc
 PERCENT_TOPIC = "(?i)\\bFE\\b|efficiency|selectivity|选择性|收率|效率"
 CHANGE_WORDS = "(?i)变化|下降|降低|change|decreas|relative|delta|百分点"
 SENTENCE_END = "[。！？;；\\n]|(?<![0-9])\\.(?![0-9])"
+LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
 ARROW = "→|⟶|->|\\\\(?:long)?rightarrow"
 PLUS = "[+•·]|\\\\(?:bullet|cdot)"
 ASKS_EQUATION = "(?i)方程|反应式|equation|reaction scheme"
@@ -61,17 +62,44 @@ def comparable(text: Column) -> Column:
     return F.replace(nfkc(text), F.lit("−"), F.lit("-"))
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{_S}+|{_S}+$", "")
+
+
 def quantities(normalized: Column) -> Column:
-    """array<struct<value decimal, shown string, unit>> of an already comparable text."""
+    """array<struct<value, shown, unit>> of an already comparable text, all of them strings.
+
+    ``value`` is sign, digits without outer zeros and exponent: equal for equal numbers of any size and precision, and
+    it starts with "-" only where the number is below zero.
+    """
     whole = F.regexp_extract_all(normalized, F.lit(QUANTITY), 0)
 
     def entry(found):
         shown = F.replace(F.regexp_extract(found, NUMBER, 0), F.lit("−"), F.lit("-"))
         unit = F.regexp_replace(F.regexp_replace(found, NUMBER, ""), f"{_S}+", "")
         unit = F.replace(F.replace(unit, F.lit("^"), F.lit("")), F.lit("/cm2"), F.lit("cm-2"))
-        return F.struct(shown.try_cast("decimal(38,18)").alias("value"), shown.alias("shown"), unit.alias("unit"))
+        return F.struct(shown.alias("shown"), unit.alias("unit"))
+
+    def parts(q):
+        part = lambda pattern: F.regexp_extract(q["shown"], pattern, 1)
+        fraction = part("\\.(\\p{Nd}+)")
+        return F.struct(q["shown"].alias("shown"), q["unit"].alias("unit"), F.length(fraction).alias("places"),
+                        F.ltrim(F.concat(part("^[+-]?(\\p{Nd}+)"), fraction), F.lit("0")).alias("digits"),
+                        part("[eE]([+-]?\\p{Nd}+)$").alias("power"))
+
+    def valued(q):
+        digits = F.rtrim(q["digits"], F.lit("0"))
+        power = F.when(q["power"] == "", F.lit("0")).otherwise(q["power"]).try_cast("decimal(28,0)")
+        exponent = power + (F.length(q["digits"]) - F.length(digits) - q["places"])
+        value = F.when(digits == "", F.lit("0")).otherwise(F.concat(
+            F.when(F.startswith(q["shown"], F.lit("-")), "-").otherwise(""), digits, F.lit("E"), exponent.cast("string")))
+        return F.struct(F.coalesce(value, q["shown"]).alias("value"), q["shown"].alias("shown"), q["unit"].alias("unit"))
+
+    return F.transform(F.transform(F.transform(whole, entry), parts), valued)
+
 
-    return F.transform(whole, entry)
+def negative_percentage(found: Column) -> Column:
+    return F.exists(found, lambda q: F.startswith(q["value"], F.lit("-")) & (q["unit"] == "%"))
 
 
 def unit_scope(unit: Column) -> Column:
@@ -106,7 +134,7 @@ def audit(answers: DataFrame, context: DataFrame, keys: list[str]) -> DataFrame:
     whole = F.col("paragraph")
     paragraphs = stage(
         cut.withColumn("_quantities", quantities(comparable(whole)))
-        .withColumn("negative", F.exists("_quantities", lambda q: (q.value < 0) & (q.unit == "%")) & whole.rlike(PERCENT_TOPIC))
+        .withColumn("negative", negative_percentage(F.col("_quantities")) & whole.rlike(PERCENT_TOPIC))
         .withColumn("absent", whole.rlike(ABSENCE)).withColumn("reaction", whole.rlike(ARROW)), "paragraphs")
     at = [*keys, "_p"]
     named = paragraphs.filter((F.size("_quantities") > 0) | F.col("reaction")).select(*at, "reaction", F.explode(
@@ -123,19 +151,19 @@ def audit(answers: DataFrame, context: DataFrame, keys: list[str]) -> DataFrame:
     sentences = lambda flag: paragraphs.filter(flag).select(
         *keys, F.explode(F.split("paragraph", SENTENCE_END, -1)).alias("sentence"))
     prose = lambda df, code: df.select(*keys, F.lit(code).alias("code"), empty().alias("value"), empty().alias("unit"),
-                                       F.trim("sentence").alias("text"))
+                                       stripped(F.col("sentence")).alias("text"))
     s = F.col("sentence")
     negative = prose(
         sentences("negative").filter(s.rlike(PERCENT_TOPIC) & ~s.rlike(CHANGE_WORDS) & ~s.rlike(ANOMALY))
-        .filter(F.exists(quantities(comparable(s)), lambda q: (q.value < 0) & (q.unit == "%"))),
+        .filter(negative_percentage(quantities(comparable(s)))),
         "unflagged_negative_percentage")
     absence = prose(sentences("absent").filter(s.rlike(ABSENCE) & ~s.rlike(SCOPED_ABSENCE)), "unbounded_evidence_absence")
 
-    bare = F.trim(F.regexp_replace("line", "\\[Ref [^\\]]+\\]", ""))
+    bare = stripped(F.regexp_replace("line", "\\[Ref [^\\]]+\\]", ""))
     bare = F.regexp_replace(F.regexp_replace(bare, "^[`$]+|[`$]+$", ""), f"^{_S}*(?:[-*]|[0-9]+\\.){_S}+", "")
     equations = (
         paragraphs.filter("reaction")
-        .select(*at, "asked", F.posexplode(F.split("paragraph", "\\r\\n|\\r|\\n", -1)).alias("_l", "line"))
+        .select(*at, "asked", F.posexplode(F.split("paragraph", LINE_END, -1)).alias("_l", "line"))
         .filter(F.col("line").rlike(ARROW) & F.col("line").rlike(PLUS))
         .withColumn("compact", F.regexp_replace(bare, f"{_S}+", "")))
     shown = (equations.filter(F.col("asked") & (F.col("compact") != ""))
@@ -144,7 +172,7 @@ def audit(answers: DataFrame, context: DataFrame, keys: list[str]) -> DataFrame:
              .filter(F.contains("_t", F.col("compact"))).select(*at, "_l").distinct())
     unverified = equations.join(shown, [*at, "_l"], "left_anti").select(
         *keys, F.lit("unverified_reaction_equation").alias("code"), empty().alias("value"),
-        empty().alias("unit"), F.trim("line").alias("text"))
+        empty().alias("unit"), stripped(F.col("line")).alias("text"))
     return reduce(DataFrame.unionByName, [unresolved, unrequested, unsupported, negative, absence, unverified])
 
 

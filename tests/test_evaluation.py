@@ -238,6 +238,9 @@ AUDIT_CASES = [
     ("Why?", "A + B → C {a}", "A + B → C", {"unverified_reaction_equation"}),
     ("Why?", "See [1].", "t", {"unresolved_citation"}),
     ("Which performance?", "Sample A10 and x5 V {a}", "t", set()),
+    ("Which current?", "Limit 1e30 mA {a}", "limit 1e30 mA", set()), ("Which current?", "Was 1e-20 mA {a}", "was 2e-20 mA", {"quantity_not_in_cited_excerpt"}),
+    ("Which current?", "Was 1.50 mA or 0.0 mA {a}", "was 1500e-3 mA or -0 mA", set()),
+    ("Which equation?", "\t$A + B → C$ {a}", "so A + B → C", set()), ("Which equation?", "As shown\u2028A + B → C {a}", "so A + B → C", set()),
 ]
 
 
