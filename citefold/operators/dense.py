@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,6 +124,13 @@ def _scores(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray
     return np.round(raw if metric == "dot" else np.clip(raw, -1.0, 1.0), SCORE_DIGITS)
 
 
+def _add_tiles(state, rows: np.ndarray, vectors: np.ndarray, queries: np.ndarray, metric: str, tile_bytes: int) -> None:
+    """Feed ``state`` in tiles of rows whose score matrix takes at most ``tile_bytes`` (one row at least)."""
+    step = max(1, tile_bytes // (8 * max(1, len(queries))))
+    for at in range(0, len(rows), step):
+        state.add(rows[at:at + step], _scores(vectors[at:at + step], queries, metric))
+
+
 def _scan(vectors: DataFrame, queries: DataFrame, make, schema: str, metric: str,
           broadcast_limit: int, block_bytes: int) -> DataFrame:
     """Score every query against every row and reduce the scores of each task with ``make()``.
@@ -149,7 +157,7 @@ def _scan(vectors: DataFrame, queries: DataFrame, make, schema: str, metric: str
             for batch in batches:
                 if batch.num_rows:
                     rows = batch.column("row_id").to_numpy(zero_copy_only=False)
-                    state.add(rows, _scores(_matrix(batch.column("vector"), dim), matrix, metric))
+                    _add_tiles(state, rows, _matrix(batch.column("vector"), dim), matrix, metric, block_bytes)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(state.columns(ids), arrow_schema)], schema=arrow_schema)
 
@@ -157,7 +165,8 @@ def _scan(vectors: DataFrame, queries: DataFrame, make, schema: str, metric: str
 
     per_block = max(1, block_bytes // (8 * dim))
     row_blocks = max(1, -(-vectors.count() // per_block))
-    query_blocks = max(1, -(-count // per_block))
+    # a tile of scores is as large as a block at most, so a block holds no more queries than a square tile has
+    query_blocks = max(1, -(-count // max(1, min(per_block, math.isqrt(block_bytes // 8)))))
     left = (vectors.select("row_id", "vector")
             .withColumn("rb", F.pmod(F.xxhash64("row_id"), F.lit(row_blocks)).cast("int"))
             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))))
@@ -172,7 +181,7 @@ def _scan(vectors: DataFrame, queries: DataFrame, make, schema: str, metric: str
             return pd.DataFrame({n: [] for n in names})
         if not rows.empty:
             stacked = lambda part: np.stack(part["vector"].to_numpy()).astype(np.float64)
-            state.add(rows["row_id"].to_numpy(), _scores(stacked(rows), prepare(stacked(asked)), metric))
+            _add_tiles(state, rows["row_id"].to_numpy(), stacked(rows), prepare(stacked(asked)), metric, block_bytes)
         return pd.DataFrame(dict(zip(names, state.columns(asked["query_id"].to_numpy()))))
 
     return left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(meet, schema)

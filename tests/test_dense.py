@@ -32,6 +32,22 @@ def test_random_vectors_against_numpy(spark):
         assert {r[0]: r[1] for r in counted.collect()} == {i: int((scores[i] >= 0.4).sum()) for i in range(5)}
 
 
+def test_tiles_hold_no_more_scores_than_asked():
+    seen = []
+
+    class Noted(dense._TopK):
+        def add(self, rows, scores):
+            seen.append(scores.nbytes)
+            super().add(rows, scores)
+
+    rng = np.random.default_rng(4)
+    m, q = dense._unit_rows(rng.normal(size=(97, 4)), "row"), dense._unit_rows(rng.normal(size=(6, 4)), "query")
+    state = Noted(3)
+    dense._add_tiles(state, np.arange(97), m, q, "cosine", 8 * 6 * 10)
+    assert len(seen) == 10 and max(seen) <= 8 * 6 * 10
+    assert state.rows.tolist() == np.argsort(-(q @ m.T), axis=1)[:, :3].tolist()
+
+
 def test_huge_and_tiny_vectors_do_not_overflow(spark):
     got = ranking(dense.cosine_search(frame(spark, "row_id", [[1e200, 0], [1e-200, 1e-200]]), frame(spark, "query_id", [[1e-300, 0]]), 2))
     assert [g[3] for g in got] == [1.0, round(2 ** -0.5, 9)]
