@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citefold.functions.identity import document_id
-from citefold.operators.scale import measured_join
+from citefold.operators.scale import dense_row_ids, measured_join
 from citefold.session import stage
 
 _LOCATION = ("location_status", "location_reason", "page_numbers", "source_spans")
@@ -58,16 +58,24 @@ def unique_chunks(chunks: DataFrame, position: str = "row_id") -> DataFrame:
 
 
 def upsert_chunks(stored: DataFrame, incoming: DataFrame, encode, next_row: int) -> DataFrame:
-    """Add unseen chunks and merge aliases of known ones; only unseen chunks are encoded.
+    """Add unseen chunks; merge aliases and locations of known ones by the rules of ``unique_chunks``.
 
-    ``encode`` maps a DataFrame of chunks to the same rows with an ``embedding`` column.
+    ``encode`` maps a DataFrame of chunks to the same rows with an ``embedding`` column; only unseen chunks pass it.
+    These are numbered from ``next_row`` without gaps, in the order of their incoming row ids.
     """
-    fresh = unique_chunks(incoming)
-    new = encode(fresh.join(stored.select("chunk_id"), "chunk_id", "left_anti"))
-    new = new.withColumn("row_id", F.col("row_id") + F.lit(next_row))
-    aliases = fresh.select("chunk_id", F.col("sources").alias("_more"))
-    merged = stored.join(aliases, "chunk_id", "left").withColumn(
-        "sources", F.array_sort(F.array_union("sources", F.coalesce("_more", F.col("sources"))))).drop("_more")
+    fresh = stage(unique_chunks(incoming), "incoming-chunks")
+    unseen = fresh.join(stored.select("chunk_id"), "chunk_id", "left_anti").withColumnRenamed("row_id", "_order")
+    numbered = dense_row_ids(unseen, ["_order", "chunk_id"]).drop("_order")
+    new = encode(numbered.withColumn("row_id", F.col("row_id") + F.lit(next_row)))
+    old, again = F.struct(*_LOCATION), F.col("_again")
+    located = lambda place: F.coalesce(place["location_status"] == "located", F.lit(False))
+    moved = located(old) & located(again) & (old["source_spans"] != again["source_spans"])
+    place = (F.when(moved, F.raise_error(F.lit("conflicting verified locations for one chunk")))
+             .when(located(again) & ~located(old), again).otherwise(old))
+    more = fresh.select("chunk_id", F.col("sources").alias("_more"), old.alias("_again"))
+    merged = stored.join(more, "chunk_id", "left").withColumn("_place", place).withColumn(
+        "sources", F.array_sort(F.array_union("sources", F.coalesce("_more", F.col("sources")))))
+    merged = merged.select(*[F.col("_place")[c].alias(c) if c in _LOCATION else c for c in stored.columns])
     return merged.unionByName(new.select(*merged.columns))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from itertools import accumulate
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ from citefold.session import stage
 # Usage counters that a provider may report.
 USAGE = ("prompt_tokens", "completion_tokens", "total_tokens")
 ACCURACY = 10_000
+# Distribution function of Poisson(1) on a grid of seven hexadecimal digits; beyond 12 draws it rounds to 1.
+POISSON_STEPS = [int(p * 16**7) for p in accumulate(math.exp(-1) / math.factorial(k) for k in range(12))]
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, probabilities: list[float],
@@ -134,49 +136,32 @@ def qa_summary(records: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def paired_bootstrap(deltas: DataFrame, keys: list[str], group: str, value: str, samples: int = 10_000,
-                     seed: int = 0, ordered_limit: int = 100_000) -> DataFrame:
-    """(keys, difference_pp, low_pp, high_pp, groups): 95 % interval of the mean paired difference.
+                     seed: int = 0) -> DataFrame:
+    """(keys, difference_pp, low_pp, high_pp, groups, unpaired): 95 % interval of the mean paired difference.
 
-    Keys of up to ``ordered_limit`` article groups resample their ordered list from one seeded
-    generator. Larger keys never meet in one task: every row draws its own Poisson(1) weights from
-    a generator seeded by its identity, and weighted sums combine per resample.
+    Every resample gives every group a Poisson(1) weight, drawn from the MD5 of seed, group and resample; weighted sums
+    combine per resample, so the groups of a key never meet in one task and any engine can repeat the draw. A null
+    value is a group without its pair: it is counted in ``unpaired`` and has no weight. Resamples in which no group
+    has weight are left out, and a key without any pair has null figures.
     """
     if samples <= 0:
         raise ValueError("samples must be positive")
-    bad = F.col(value).isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
+    bad = F.isnan(value) | (F.abs(value) == float("inf"))
     by = keys or ["_all"]
-    rows = deltas.select(*(keys or [F.lit(0).alias("_all")]), F.col(group).alias("_g"), F.when(
+    rows = deltas.select(*(keys or [F.lit(0).alias("_all")]), F.col(group).cast("string").alias("_g"), F.when(
         bad, F.raise_error(F.lit("finite paired differences required")).cast("double")).otherwise(F.col(value)).alias("_d"))
-    sizes = stage(rows.groupBy(*by).agg(F.count("*").alias("groups"), F.avg("_d").alias("_mean")), "bootstrap-sizes")
-    small = rows.join(sizes.filter(F.col("groups") <= ordered_limit), by)
-    quantiles = lambda means: [float(q) for q in np.quantile(means, [0.025, 0.975])]
-
-    @F.pandas_udf("array<double>")
-    def resample(values: pd.Series) -> pd.Series:
-        def interval(v):
-            v, rng = np.asarray(v, dtype=float), np.random.default_rng(seed)
-            rows_at_once = max(1, 2_000_000 // len(v))  # the stream does not depend on this split
-            means = [v[rng.integers(0, len(v), size=(min(rows_at_once, samples - i), len(v)))].mean(axis=1)
-                     for i in range(0, samples, rows_at_once)]
-            return quantiles(np.concatenate(means))
-        return values.map(interval)
-
-    listed = small.groupBy(*by, "groups", "_mean").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("_g", "_d"))), lambda s: s["_d"]).alias("_l"))
-    out = listed.withColumn("_q", resample("_l")).drop("_l")
-    if not sizes.filter(F.col("groups") > ordered_limit).isEmpty():
-        @F.pandas_udf("array<int>")
-        def weights(h: pd.Series) -> pd.Series:
-            return h.map(lambda x: np.random.default_rng([seed, x & (2**63 - 1)]).poisson(1, samples).astype(np.int32))
-
-        large = rows.join(sizes.filter(F.col("groups") > ordered_limit), by)
-        drawn = large.select(*by, "groups", "_mean", "_d", F.posexplode(weights(F.xxhash64("_g"))).alias("_i", "_w"))
-        means = drawn.groupBy(*by, "groups", "_mean", "_i").agg(
-            (F.sum(F.col("_w") * F.col("_d")) / F.sum("_w")).alias("_m"))
-        out = out.unionByName(means.groupBy(*by, "groups", "_mean").agg(
-            F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_q")))
-    return out.select(*keys, (100 * F.col("_mean")).alias("difference_pp"), (100 * F.col("_q")[0]).alias("low_pp"),
-                      (100 * F.col("_q")[1]).alias("high_pp"), "groups")
+    sizes = rows.groupBy(*by).agg(F.count("_d").alias("groups"), F.count_if(F.col("_d").isNull()).alias("unpaired"),
+                                  F.avg("_d").alias("_mean"))
+    drawn = rows.filter("_d is not null").withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "_g", F.col("_i").cast("string"))), 1, 7), 16, 10)
+    weighted = drawn.withColumn("_u", draw.cast("long")).withColumn("_w", reduce(
+        lambda a, b: a + b, [(F.col("_u") >= step).cast("int") for step in POISSON_STEPS]))
+    means = weighted.groupBy(*by, "_i").agg(
+        F.try_divide(F.sum(F.col("_w") * F.col("_d")), F.sum("_w")).alias("_m"))
+    bounds = means.groupBy(*by).agg(F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))  # samples values
+    return sizes.join(bounds, by, "left").select(
+        *keys, (100 * F.col("_mean")).alias("difference_pp"), (100 * F.col("_q")[0]).alias("low_pp"),
+        (100 * F.col("_q")[1]).alias("high_pp"), "groups", "unpaired")
 
 
 def rerank_gate(means: DataFrame, median_seconds: float, maximum_seconds: float) -> DataFrame:
@@ -188,7 +173,9 @@ def rerank_gate(means: DataFrame, median_seconds: float, maximum_seconds: float)
 
 
 def seeded_order(df: DataFrame, keys: list[str], seed: int, name: str = "position") -> DataFrame:
-    """Reproducible shuffled schedule: order by a seeded hash, ties by key."""
+    """Reproducible shuffled schedule: order by the SHA-256 of seed and keys, ties by key."""
     from citefold.operators.scale import dense_row_ids
 
-    return dense_row_ids(df.withColumn("_h", F.xxhash64(*keys, F.lit(seed))), ["_h", *keys], name).drop("_h")
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    hashed = df.withColumn("_h", F.sha2(F.concat_ws("|", F.lit(str(seed)), *parts), 256))
+    return dense_row_ids(hashed, ["_h", *keys], name).drop("_h")

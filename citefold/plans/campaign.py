@@ -110,14 +110,27 @@ def error_rates(spark, sf_dir):
     return _records(spark, sf_dir).groupBy("arm").agg(rate("major_error").alias("major_error_rate"), rate("blocked").alias("guard_block_rate"))
 
 
-@query()
+@query(f"""WITH {_RECORDS}, kinds AS (
+  SELECT article, arm, unnest(['strict', 'penalized', 'delivered']) AS kind, unnest([strict,
+    CASE WHEN major_error THEN least(strict, 0.5::DOUBLE) ELSE strict END,
+    CASE WHEN blocked THEN 0.0::DOUBLE WHEN major_error THEN least(strict, 0.5::DOUBLE) ELSE strict END]) AS v FROM records),
+days AS (SELECT kind, article, avg(v) FILTER (arm = 'purchase') - avg(v) FILTER (arm = 'view') AS delta FROM kinds GROUP BY ALL),
+draws AS (
+  SELECT kind, delta, i, list_sum(list_transform({stats.POISSON_STEPS}, lambda s: (u >= s)::INT)) AS w FROM (
+    SELECT kind, delta, i, ('0x' || substr(md5('7|' || article::VARCHAR || '|' || i), 1, 7))::BIGINT AS u
+    FROM days, range(10000) r(i) WHERE delta IS NOT NULL)),
+means AS (SELECT kind, i, sum(w * delta) / nullif(sum(w), 0) AS m FROM draws GROUP BY ALL),
+bounds AS (SELECT kind, quantile_cont(m, [0.025, 0.975]) AS q FROM means GROUP BY kind)
+SELECT kind, round(100 * avg(delta), 9) AS difference_pp, round(100 * any_value(q[1]), 9) AS low_pp, round(100 * any_value(q[2]), 9) AS high_pp,
+  count(delta)::BIGINT AS groups, (count(*) - count(delta))::BIGINT AS unpaired FROM days LEFT JOIN bounds USING (kind) GROUP BY kind""")
 def paired_bootstrap(spark, sf_dir):
-    """Interval of the mean per-day score difference between the purchase and view arms."""
+    """Interval of the mean per-day score difference between the purchase and view arms; days lacking one arm are counted."""
     rows = _scored(spark, sf_dir).select("arm", "article", F.explode(F.create_map(*[
         c for n in ("strict", "penalized", "delivered") for c in (F.lit(n), F.col(n))])).alias("kind", "value"))
     per_day = rows.groupBy("kind", "article").agg(
         (F.avg(F.when(F.col("arm") == "purchase", F.col("value"))) - F.avg(F.when(F.col("arm") == "view", F.col("value")))).alias("delta"))
-    return stats.paired_bootstrap(per_day.filter("delta is not null"), ["kind"], "article", "delta", seed=7)
+    out = stats.paired_bootstrap(per_day, ["kind"], "article", "delta", seed=7)
+    return out.withColumns({c: F.round(c, 9) for c in ("difference_pp", "low_pp", "high_pp")})
 
 
 @query("""WITH expected AS (SELECT a.event_type, u.user_id FROM (SELECT DISTINCT event_type FROM events) a, (SELECT DISTINCT user_id FROM events) u),
@@ -213,7 +226,8 @@ def duplicate_vector_check(spark, sf_dir):
     return corpus.merge_duplicate_vectors(rows, "id", "embedding", "vec_id", 0.5)
 
 
-@query()
+@query("""SELECT arm, question_id, row_number() OVER (ORDER BY sha256('7|' || arm || '|' || question_id), arm, question_id) - 1 AS position
+FROM (SELECT DISTINCT event_type AS arm, user_id AS question_id FROM events)""")
 def seeded_schedule(spark, sf_dir):
     """Reproducible shuffled order of all question and arm combinations."""
     pairs = spread(table(spark, sf_dir, "events")).select(F.col("event_type").alias("arm"), F.col("user_id").alias("question_id")).distinct()

@@ -9,7 +9,7 @@ from citefold.functions.text import (
     DROPPED_SYMBOL, SPACE, ascii_json_length, clean_text, clean_text_dropping_symbols, execution_status, token_count,
     word_count)
 from citefold.operators import chunking, corpus, encoding, intervals, quotes, stats
-from citefold.operators.scale import measured_join
+from citefold.operators.scale import dense_row_ids, measured_join
 from citefold.plans.base import (
     ANCHORS, CHUNKS, CORPUS, PAGES, SPANS, TOKEN_PATTERN_SQL, benchmark_questions, chunk_table,
     frozen_documents, raw_documents, with_pages)
@@ -129,25 +129,39 @@ def dedup_first_occurrence(spark, sf_dir):
 
 
 @query(f"""WITH {_EVERY}, {_ALL_CHUNKS}, tagged AS (
-  SELECT c.chunk_id, c.source, c.row_id, d.lang = 'en' AS stored FROM chunks c JOIN documents d ON d.doc_id = c.doc_key),
+  SELECT c.chunk_id, c.source, c.row_id, coalesce(d.lang = 'en', FALSE) AS stored FROM chunks c JOIN documents d ON d.doc_id = c.doc_key),
 merged AS (SELECT chunk_id, bool_or(stored) AS old, min(row_id) FILTER (stored) AS stored_row, min(row_id) AS any_row,
-  list_sort(list(DISTINCT source)) AS sources FROM tagged GROUP BY chunk_id)
-SELECT chunk_id, NOT old AS is_new, (CASE WHEN old THEN stored_row ELSE any_row + 1000000000000000 END)::BIGINT AS row_id,
-       array_to_string(sources, ',') AS sources FROM merged""")
+  bool_or(row_id % 2 <> 0 OR stored AND row_id % 3 <> 0) AS located, list_sort(list(DISTINCT source)) AS sources FROM tagged GROUP BY chunk_id)
+SELECT chunk_id, NOT old AS is_new, (row_number() OVER (PARTITION BY old ORDER BY coalesce(stored_row, any_row)) - 1
+         + CASE WHEN old THEN 0 ELSE (SELECT count(*) FROM merged WHERE old) END)::BIGINT AS row_id,
+       CASE WHEN located THEN 'located' ELSE 'unavailable' END AS location_status, array_to_string(sources, ',') AS sources FROM merged""")
 def upsert_new_only(spark, sf_dir):
-    """All chunks upserted into an index of the English ones; only unseen chunks are encoded."""
+    """All chunks upserted into an index of the English ones; only unseen chunks are encoded.
+
+    Some stored and some incoming chunks have lost their location, so that it has to come from the other side.
+    """
     every = with_pages(raw_documents(spark, sf_dir)).withColumns({
         "doc_id": document_id(F.col("text")), "sources": F.array("source")})
     chunks = stage(chunk_table(every).drop("page_lengths", "block_lengths"), "all-chunks")
     none = F.lit(None).cast("array<float>")
-    stored = corpus.unique_chunks(chunks.filter("lang = 'en'")).withColumn("embedding", none)
+
+    def losing(rows, lost):
+        without = lambda c: F.when(lost, F.filter(c, lambda x: F.lit(False))).otherwise(F.col(c))
+        return rows.withColumns({
+            "location_status": F.when(lost, "unavailable").otherwise(F.col("location_status")),
+            "location_reason": F.when(lost, "not_replayed").otherwise(F.col("location_reason")),
+            "page_numbers": without("page_numbers"), "source_spans": without("source_spans")})
+
+    english = corpus.unique_chunks(losing(chunks.filter("lang = 'en'"), F.col("row_id") % 3 == 0))
+    stored = dense_row_ids(english.withColumnRenamed("row_id", "_order"), ["_order"]).drop("_order").withColumn("embedding", none)
+    held = stored.count()
 
     def encode(new):
         vectors = encoding.encode_texts(new, unusable="drop").withColumnRenamed("vector", "embedding")
         return new.join(vectors, "row_id", "left")
 
-    merged = corpus.upsert_chunks(stored, chunks, encode, 1_000_000_000_000_000)
-    return merged.select("chunk_id", (F.col("row_id") >= 1_000_000_000_000_000).alias("is_new"), "row_id",
+    merged = corpus.upsert_chunks(stored, losing(chunks, F.col("row_id") % 2 == 0), encode, held)
+    return merged.select("chunk_id", (F.col("row_id") >= held).alias("is_new"), "row_id", "location_status",
                          F.array_join("sources", ",").alias("sources"))
 
 

@@ -1,4 +1,6 @@
+import hashlib
 import json
+import math
 import statistics
 
 import numpy as np
@@ -31,24 +33,29 @@ def test_penalties(spark):
     assert [tuple(r) for r in got] == [(.9, .9, .9), (.9, .5, .5), (.9, .9, 0.0), (0.0, 0.0, 0.0)]
 
 
-def test_bootstrap_is_seeded_and_follows_the_ordered_list(spark):
+def test_bootstrap_draws_follow_seed_and_group(spark):
     deltas = [(f"g{i:02d}", d) for i, d in enumerate([.1, -.2, .3, .05, 0.0])]
-    df = spark.createDataFrame(deltas, "g string, d double")
+    df = spark.createDataFrame([*deltas, ("alone", None)], "g string, d double")
     got = stats.paired_bootstrap(df.repartition(3), [], "g", "d", samples=2_000, seed=5).first()
-    v = np.array([d for _, d in deltas])
-    means = v[np.random.default_rng(5).integers(0, 5, size=(2_000, 5))].mean(axis=1)
+    draw = lambda g, i: int(hashlib.md5(f"5|{g}|{i}".encode()).hexdigest()[:7], 16) / 16**7
+    below = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    weights = np.array([[np.searchsorted(below, draw(g, i), side="right") for g, _ in deltas] for i in range(2_000)])
+    weights = weights[weights.sum(axis=1) > 0]
+    means = weights @ np.array([d for _, d in deltas]) / weights.sum(axis=1)
     assert (got["low_pp"], got["high_pp"]) == pytest.approx(tuple(100 * np.quantile(means, [.025, .975])))
-    assert got["difference_pp"] == pytest.approx(5.0) and got["groups"] == 5
+    assert got["difference_pp"] == pytest.approx(5.0) and (got["groups"], got["unpaired"]) == (5, 1)
+    none = stats.paired_bootstrap(df.filter("d is null"), [], "g", "d", samples=9).first()
+    assert (none["difference_pp"], none["low_pp"], none["groups"], none["unpaired"]) == (None, None, 0, 1)
     with pytest.raises(Exception, match="finite"):
         stats.paired_bootstrap(spark.createDataFrame([("g", float("nan"))], "g string, d double"), [], "g", "d").collect()
 
 
-def test_large_groups_bootstrap_without_meeting_in_one_task(spark):
-    rng = np.random.default_rng(1)
-    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(rng.normal(.2, 1, 400))], "g int, d double")
-    exact = stats.paired_bootstrap(df, [], "g", "d", samples=400, seed=1).first()
-    spread = stats.paired_bootstrap(df, [], "g", "d", samples=400, seed=1, ordered_limit=10).first()
-    assert spread["difference_pp"] == pytest.approx(exact["difference_pp"]) and spread["low_pp"] == pytest.approx(exact["low_pp"], abs=3)
+def test_bootstrap_agrees_with_ordered_resampling(spark):
+    v = np.random.default_rng(1).normal(.2, 1, 400)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "g int, d double")
+    got = stats.paired_bootstrap(df, [], "g", "d", samples=400, seed=1).first()
+    means = v[np.random.default_rng(1).integers(0, 400, size=(400, 400))].mean(axis=1)
+    assert got["difference_pp"] == pytest.approx(100 * v.mean()) and got["low_pp"] == pytest.approx(100 * np.quantile(means, .025), abs=3)
 
 
 def test_arm_summary_keeps_missing_values_apart(spark):

@@ -39,7 +39,22 @@ def test_upsert_encodes_only_unseen_chunks(spark):
         return df.withColumn("embedding", F.array(F.lit(2.0)))
 
     got = {r["chunk_id"]: (r["row_id"], r["sources"], r["embedding"]) for r in corpus.upsert_chunks(base, more, encode, 100).collect()}
-    assert got == {"c1": (0, ["x", "y"], [1.0]), "c2": (101, ["y"], [2.0])} and seen == ["c2"]
+    assert got == {"c1": (0, ["x", "y"], [1.0]), "c2": (100, ["y"], [2.0])} and seen == ["c2"]
+
+
+def test_upsert_merges_locations_and_numbers_without_gaps(spark):
+    at = lambda n: ("located", None, [1], [(1, n, n + 1, "a")])
+    lost = ("unavailable", "w", [], [])
+    row = lambda i, c, place: (i, c, "a", ["x"], *place)
+    frame = lambda rows: spark.createDataFrame(rows, CHUNK).withColumn("embedding", F.array(F.lit(1.0)))
+    stored = frame([row(0, "c1", lost), row(1, "c2", at(0)), row(2, "c3", at(4))])
+    more = [row(5, "c1", at(7)), row(6, "c2", lost), row(7, "c3", at(4)), row(900, "n2", lost), row(40, "n1", at(1)), row(901, "n2", at(2))]
+    merged = corpus.upsert_chunks(stored, frame(more), lambda df: df, 3).orderBy("row_id").collect()
+    assert [(r["row_id"], r["chunk_id"]) for r in merged] == [(0, "c1"), (1, "c2"), (2, "c3"), (3, "n1"), (4, "n2")]
+    assert [r["source_spans"][0]["char_start"] for r in merged] == [7, 0, 4, 1, 2]
+    assert {r["location_status"] for r in merged} == {"located"}
+    with pytest.raises(Exception, match="conflicting verified"):
+        corpus.upsert_chunks(stored, frame([row(5, "c3", at(5))]), lambda df: df, 3).collect()
 
 
 def test_vector_agreement_and_key_reports(spark, rows):
