@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -29,14 +31,19 @@ def _metric_rows(spark, sf_dir):
     return stage(metrics.retrieval_metrics(notes.questions, notes.anchors, notes.points, hits, mode="mode", modes=MODES), "metrics")
 
 
-_METRICS = f"""WITH {SEARCH}, {ANCHORS},
-hits AS (SELECT r.mode, r.query_id AS question_id, r.row_id, r.rank, c.doc_id FROM routes r JOIN chunks c USING (row_id) WHERE r.rank <= 10),
+_HITS = f"""WITH {SEARCH}, {ANCHORS},
+hits AS (SELECT r.mode, r.query_id AS question_id, r.row_id, r.rank, c.doc_id FROM routes r JOIN chunks c USING (row_id) WHERE r.rank <= 10)"""
+
+
+def metrics_sql(hits: str, modes: list[str]) -> str:
+    """``hits`` (WITH ... hits AS (mode, question_id, row_id, rank, doc_id)) continued to CTEs of scores."""
+    return f"""{hits},
 characters AS (SELECT question_id, evidence_id, doc_id, page_number, unnest(range(char_start, char_end)) AS pos FROM anchors),
 seen AS (
   SELECT h.mode, a.question_id, a.evidence_id, a.pos, min(h.rank) AS rank FROM characters a
   JOIN hits h ON h.question_id = a.question_id AND h.doc_id = a.doc_id
   JOIN spans s ON s.row_id = h.row_id AND s.page_number = a.page_number AND a.pos >= s.char_start AND a.pos < s.char_end GROUP BY ALL),
-modes AS (SELECT unnest(['dense', 'bm25', 'hybrid']) AS mode), ks AS (SELECT unnest([1, 5, 10]) AS k),
+modes AS (SELECT unnest({modes}) AS mode), ks AS (SELECT unnest([1, 5, 10]) AS k),
 grid AS (SELECT m.mode, b.item_id AS question_id, k.k FROM modes m CROSS JOIN benchmark b CROSS JOIN ks k),
 anchor_state AS (
   SELECT m.mode, a.question_id, a.doc_key, a.doc_id, a.evidence_id, a.char_end - a.char_start AS n, count(s.pos) AS got, max(s.rank) AS last_rank,
@@ -70,10 +77,14 @@ scores AS (
     CASE WHEN d.docs IS NOT NULL THEN coalesce(1.0::DOUBLE / a.first_complete, 0.0::DOUBLE) END AS rr_first_complete_anchor
   FROM grid g LEFT JOIN by_doc d USING (mode, question_id, k) LEFT JOIN by_anchor a USING (mode, question_id, k)
   LEFT JOIN by_point p USING (mode, question_id, k))"""
+
+
+_METRICS = metrics_sql(_HITS, MODES)
 _NAMES = [*metrics.MEASURES, "rr_first_annotated_doc", "rr_first_complete_anchor"]
 _ROUNDED = ", ".join(f"round({n}, 9) AS {n}" for n in _NAMES)
-_MEANS = _METRICS + ", means AS (SELECT mode, k, count(annotated_doc_hit) AS scored_questions, " + ", ".join(
+_AVERAGES = ", means AS (SELECT mode, k, count(annotated_doc_hit) AS scored_questions, " + ", ".join(
     f"avg({n}) AS {n}" for n in _NAMES) + " FROM scores GROUP BY ALL)"
+_MEANS = _METRICS + _AVERAGES
 
 
 @query(f"WITH {SEARCH}, {ANCHORS} SELECT question_id, evidence_id, doc_id, page_number::INT AS page_number, "
@@ -227,7 +238,10 @@ def review_template(spark, sf_dir):
 
 # ---- evidence selection ---------------------------------------------------------------------
 
-def _selected(spark, sf_dir, policy=selection.Policy(maximum_existing_span_overlap=0.1, max_chunks_per_document=3, input_estimate_limit=12_000)):
+POLICY = selection.Policy(maximum_existing_span_overlap=0.1, max_chunks_per_document=3, input_estimate_limit=12_000)
+
+
+def _selected(spark, sf_dir, policy=POLICY):
     documents = stage(frozen_documents(spark, sf_dir), "documents")
     found = search_benchmark(spark, sf_dir, documents)
     hits = stage(found.hits("hybrid"), "hybrid-window")
@@ -236,33 +250,111 @@ def _selected(spark, sf_dir, policy=selection.Policy(maximum_existing_span_overl
     return documents, hits, asked, chosen
 
 
-@query()
+def _ascii_json_sql(text: str) -> str:
+    """Bytes of a text in an ASCII-only JSON string, character by character."""
+    return f"""coalesce(list_sum(list_transform(string_split({text}, ''), lambda c: CASE WHEN c = '' THEN 0
+      WHEN c IN ('"', chr(92), chr(10), chr(13), chr(9), chr(8), chr(12)) THEN 2
+      WHEN unicode(c) < 32 OR unicode(c) = 127 THEN 6 WHEN unicode(c) < 127 THEN 1 WHEN unicode(c) < 65536 THEN 6 ELSE 12 END)), 0)::BIGINT"""
+
+
+def _frame_bytes() -> int:
+    """Bytes of a request whose question is empty and whose evidence list is left out."""
+    context = f'{{\n  "context_version": "{selection.CONTEXT_VERSION}",\n  "evidence_count": ,\n  "evidence": \n}}'
+    prompt = selection.DEFAULT_TEMPLATE.format(domain="general", context=context, question="")
+    return len(json.dumps({**SETTINGS.body, "messages": [{"role": "user", "content": prompt}]}))
+
+
+_FIELDS = " || chr(44) || chr(10) || ".join(f"""'      "{name}": ' || {value}""" for name, value in {
+    "citation": "to_json('[Ref ' || chunk_id || ']')::VARCHAR", "chunk_id": "to_json(chunk_id)::VARCHAR",
+    "doc_id": "to_json(doc_id)::VARCHAR", "source_title": "to_json('document ' || doc_key)::VARCHAR",
+    "location_status": "'\"located\"'", "page_numbers": "'[' || chr(10) || pages || chr(10) || '      ]'",
+    "text": "to_json(text)::VARCHAR"}.items())
+#: The whole walk as a recursion over ranks; source ranges of one document stand for its page spans, as pages tile it.
+_SELECTION = f"""WITH RECURSIVE {SEARCH}, {ANCHORS},
+page_lists AS (
+  SELECT row_id, string_agg('        ' || page_number, chr(44) || chr(10) ORDER BY page_number) AS pages FROM spans GROUP BY row_id),
+records AS (
+  SELECT h.query_id AS question_id, h.rank, c.row_id, c.chunk_id, c.doc_id, c.doc_key, c.text, c.raw_start AS a, c.raw_end AS z,
+         p.pages FROM hybrid h JOIN chunks c USING (row_id) JOIN page_lists p USING (row_id)),
+written AS MATERIALIZED (
+  SELECT *, '    {{' || chr(10) || {_FIELDS} || chr(10) || '    }}' AS record FROM records),
+candidates AS MATERIALIZED (SELECT * EXCLUDE (record, pages), {_ascii_json_sql('record')} AS bytes FROM written),
+walk AS (
+  SELECT item_id AS question_id, 0::BIGINT AS rank, NULL::BIGINT AS row_id, NULL::VARCHAR AS chunk_id, NULL::VARCHAR AS doc_id,
+         NULL::VARCHAR AS reason, NULL::DOUBLE AS overlap, 0 AS n, {_frame_bytes()} + 3 + {_ascii_json_sql('text')} AS size,
+         []::VARCHAR[] AS texts, []::STRUCT(d BIGINT, a BIGINT, z BIGINT)[] AS taken FROM benchmark
+  UNION ALL
+  SELECT question_id, rank, row_id, chunk_id, doc_id, reason, overlap, n + (reason IS NULL)::INT,
+         CASE WHEN reason IS NULL THEN grown ELSE size END, list_append(texts, text),
+         CASE WHEN reason IS NULL THEN list_append(taken, {{'d': doc_key, 'a': a, 'z': z}}) ELSE taken END
+  FROM (
+    SELECT *, CASE WHEN list_contains(texts, text) THEN 'duplicate_text'
+      WHEN overlap > {POLICY.maximum_existing_span_overlap}::DOUBLE THEN 'source_span_overlap'
+      WHEN n >= {POLICY.max_chunks} THEN 'chunk_limit'
+      WHEN len(list_filter(taken, lambda t: t.d = doc_key)) >= {POLICY.max_chunks_per_document} THEN 'document_limit'
+      WHEN grown > {POLICY.input_estimate_limit} THEN 'input_budget' END AS reason
+    FROM (
+      SELECT w.question_id, c.rank, c.row_id, c.chunk_id, c.doc_id, c.doc_key, c.text, c.a, c.z, w.n, w.size, w.texts, w.taken,
+        w.size + c.bytes + CASE WHEN w.n = 0 THEN 6 ELSE 3 END + length((w.n + 1)::VARCHAR) - length(w.n::VARCHAR) AS grown,
+        len(list_filter(range(c.a, c.z), lambda x: len(list_filter(w.taken, lambda t: t.d = c.doc_key AND t.a <= x AND x < t.z)) > 0))::DOUBLE
+          / (c.z - c.a) AS overlap
+      FROM walk w JOIN candidates c ON c.question_id = w.question_id AND c.rank = w.rank + 1))),
+estimates AS (SELECT question_id, max(size) AS input_estimate FROM walk GROUP BY question_id),
+decisions AS (SELECT * FROM walk WHERE rank > 0)"""
+
+
+@query(f"""{_SELECTION}
+SELECT question_id, e.input_estimate, rank::INT AS rank, chunk_id, doc_id, reason IS NULL AS selected, reason, round(overlap, 9) AS overlap
+FROM decisions JOIN estimates e USING (question_id)""")
 def greedy_selection(spark, sf_dir):
     """Selection decision, reason and overlap for every candidate of every item."""
     _, _, _, chosen = _selected(spark, sf_dir)
     return chosen.withColumn("overlap", F.round("overlap", 9))
 
 
-@query()
+@query(f"""{_SELECTION}
+SELECT question_id, reason, count(*) AS excluded FROM decisions WHERE reason IS NOT NULL GROUP BY ALL""")
 def exclusion_histogram(spark, sf_dir):
     """Excluded candidates per item and reason."""
     _, _, _, chosen = _selected(spark, sf_dir)
     return selection.exclusion_histogram(chosen, ["question_id"])
 
 
-@query("SELECT item_id AS question_id, TRUE AS sizes_agree, TRUE AS within_budget FROM benchmark")
+@query(f"""{_SELECTION}, lists AS (
+  SELECT question_id, count(*) AS n, string_agg(w.record, chr(44) || chr(10) ORDER BY w.rank) AS body
+  FROM decisions d JOIN written w USING (question_id, rank) WHERE d.reason IS NULL GROUP BY question_id),
+sizes AS (
+  SELECT item_id AS question_id, coalesce(n, 0) AS selected_chunks, {_frame_bytes()} + {_ascii_json_sql('text')}
+    + {_ascii_json_sql("coalesce(n, 0)::VARCHAR || CASE WHEN n > 0 THEN '[' || chr(10) || body || chr(10) || '  ]' ELSE '[]' END")} AS request_bytes
+  FROM benchmark LEFT JOIN lists ON question_id = item_id)
+SELECT s.question_id, selected_chunks, request_bytes, e.input_estimate, request_bytes <= {POLICY.input_estimate_limit} AS within_budget
+FROM sizes s JOIN estimates e USING (question_id)""")
 def budget_verification(spark, sf_dir):
-    """The additive size estimate against the full rendering of every selected prompt."""
+    """The additive size estimate beside the size of the full rendering of every selected prompt.
+
+    An item without candidates has no decision, hence no estimate; the query then shows its empty request.
+    """
     _, hits, asked, chosen = _selected(spark, sf_dir)
     picked = hits.join(chosen.filter("selected").select("question_id", "rank"), ["question_id", "rank"])
     prompts = selection.prepared_prompts(picked, asked, SETTINGS.body)
     estimates = chosen.select("question_id", "input_estimate").distinct()
     return prompts.join(estimates, "question_id", "left").select(
-        "question_id", F.coalesce(F.col("request_bytes") == F.col("input_estimate"), F.lit(True)).alias("sizes_agree"),
-        (F.col("request_bytes") <= 12_000).alias("within_budget"))
+        "question_id", F.size("chunk_ids").cast("long").alias("selected_chunks"),
+        F.col("request_bytes").cast("long").alias("request_bytes"),
+        F.when(F.size("chunk_ids") == 0, F.coalesce("input_estimate", F.col("request_bytes").cast("long")))
+        .otherwise(F.col("input_estimate")).alias("input_estimate"),
+        (F.col("request_bytes") <= POLICY.input_estimate_limit).alias("within_budget"))
 
 
-@query()
+_COMPARED = _SELECTION + """,
+hits AS (
+  SELECT 'top10' AS mode, question_id, row_id, rank, doc_id FROM decisions WHERE rank <= 10
+  UNION ALL SELECT 'selected', question_id, row_id, row_number() OVER (PARTITION BY question_id ORDER BY rank), doc_id
+  FROM decisions WHERE reason IS NULL)"""
+
+
+@query(metrics_sql(_COMPARED, ["top10", "selected"]) + _AVERAGES
+       + f" SELECT mode, k::INT AS k, scored_questions::BIGINT AS scored_questions, {_ROUNDED} FROM means")
 def selection_metrics(spark, sf_dir):
     """Retrieval metrics of the ten best against the selected evidence."""
     documents, hits, _, chosen = _selected(spark, sf_dir)
@@ -275,7 +367,8 @@ def selection_metrics(spark, sf_dir):
         picked.select(F.lit("selected").alias("mode"), *columns))
     rows = metrics.retrieval_metrics(notes.questions, notes.anchors, notes.points, stage(both, "selection-hits"),
                                      mode="mode", modes=["top10", "selected"])
-    return metrics.macro_means(rows, ["mode"])
+    means = metrics.macro_means(rows, ["mode"])
+    return means.select("mode", "k", "scored_questions", *[F.round(n, 9).alias(n) for n in _NAMES])
 
 
 @query(f"""{_TOP}, covered AS (
