@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column
@@ -143,3 +144,14 @@ def valid_bbox(left: Column, top: Column, right: Column, bottom: Column, origin:
         & F.when(origin == "TOPLEFT", top <= bottom).otherwise(bottom <= top),
         F.lit(False),
     )
+
+
+def canonical_request(model: str, system: Column, user: Column) -> Column:
+    """JSON of a two-message request with sorted keys and the usual separators; the same request, the same text."""
+    message = lambda role, content: F.concat(F.lit('{"content": '), json_string(content), F.lit(f', "role": "{role}"}}'))
+    return F.concat(F.lit('{"messages": ['), message("system", system), F.lit(", "), message("user", user),
+                    F.lit(f'], "model": {json.dumps(model)}}}'))
+
+
+def request_digest(model: str, system: Column, user: Column) -> Column:
+    return F.sha2(canonical_request(model, system, user), 256)

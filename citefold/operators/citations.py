@@ -105,6 +105,18 @@ def document_numbers(context: DataFrame, keys: list[str], order: str = "rank") -
                          F.regexp_replace(basename(F.col("source")), "(?<=.)\\.[^.]*$", "").alias("title"))
 
 
+def evidence_map(context: DataFrame, keys: list[str], order: str = "rank") -> DataFrame:
+    """(keys, chunk_id, doc_id, reference_number, entry): every chunk under its document's number and bibliography entry.
+
+    A chunk listed twice counts once, at its first place.
+    """
+    numbered = document_numbers(context, keys, order)
+    entry = F.concat(F.lit("["), F.col("reference_number").cast("string"), F.lit("] "), F.col("title"),
+                     F.lit(" (doc_id: "), F.col("doc_id"), F.lit(")  "))
+    return context.select(*keys, "chunk_id", "doc_id").distinct().join(numbered, [*keys, "doc_id"]).select(
+        *keys, "chunk_id", "doc_id", "reference_number", entry.alias("entry"))
+
+
 # Headings of a generated bibliography that is cut from an answer.
 BIBLIOGRAPHY = (
     "(\\*\\*引用文献\\*\\*|\\*\\*参考文献\\*\\*|\\*\\*引用标注\\*\\*|引用文献|参考文献|引用标注)"

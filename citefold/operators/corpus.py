@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citefold.functions.identity import document_id
+from citefold.functions.identity import IDENTITY_VERSION, chunk_id, document_id
 from citefold.operators.scale import dense_row_ids, measured_join
 from citefold.session import stage
 
@@ -131,3 +131,55 @@ def migrate_locations(stored: DataFrame, replayed: DataFrame, keys: list[str]) -
     place = matching_location(F.col("text"), F.col("_t"), F.col("_s"))
     return (stored.drop("location_status", "location_reason", "source_spans").join(fresh, keys, "left")
             .withColumn("_l", place).drop("_t", "_s").select("*", "_l.*").drop("_l"))
+
+
+def position_agreement(left: DataFrame, right: DataFrame, name: str = "chunk_id") -> DataFrame:
+    """(state, rows) of two tables that should hold the same chunk at every row_id: same, different, left or right only."""
+    both = left.select("row_id", F.col(name).alias("_a")).join(
+        right.select("row_id", F.col(name).alias("_b")), "row_id", "full_outer")
+    state = (F.when(F.col("_b").isNull(), "left_only").when(F.col("_a").isNull(), "right_only")
+             .when(F.col("_a") == F.col("_b"), "same").otherwise("different"))
+    return both.groupBy(state.alias("state")).agg(F.count("*").alias("rows"))
+
+
+def saved_ranking_check(saved: DataFrame, chunks: DataFrame, window: int) -> DataFrame:
+    """Per query of a saved ranking (query_id, row_id, chunk_id, doc_id): whether its rows are the stored ones.
+
+    (query_id, candidates, distinct_chunks, unknown_rows, changed_rows, usable): usable means exactly ``window``
+    distinct chunks, each stored under the saved row with the saved ids.
+    """
+    stored = chunks.select("row_id", F.col("chunk_id").alias("_c"), F.col("doc_id").alias("_d"))
+    changed = F.col("_c").isNotNull() & ~(F.col("_c").eqNullSafe(F.col("chunk_id")) & F.col("_d").eqNullSafe(F.col("doc_id")))
+    counted = saved.join(stored, "row_id", "left").groupBy("query_id").agg(
+        F.count("*").alias("candidates"), F.count_distinct("chunk_id").alias("distinct_chunks"),
+        F.count_if(F.col("_c").isNull()).alias("unknown_rows"), F.count_if(changed).alias("changed_rows"))
+    return counted.withColumn("usable", (F.col("candidates") == window) & (F.col("distinct_chunks") == window)
+                              & (F.col("unknown_rows") == 0) & (F.col("changed_rows") == 0))
+
+
+def normalize_records(records: DataFrame) -> DataFrame:
+    """Both chunk encodings, flat or with a ``metadata`` struct, as one, with a ``fault`` instead of a failure.
+
+    ``records``: source, sources, doc_id, chunk_id, chunk_index, text, identity_version (null where not given) and
+    metadata with any of these. Flat values win, a doc_id or chunk_id that differs between the two is a conflict. A
+    missing chunk_id is computed; sources gain the source.
+    """
+    inner = [f.name for f in records.schema["metadata"].dataType.fields]
+    names = ("source", "sources", "doc_id", "chunk_id", "chunk_index", "text", "identity_version")
+    value = {n: F.coalesce(*[F.col(n)] * (n in records.columns), *[F.col(f"metadata.{n}")] * (n in inner)) for n in names}
+    both = [n for n in ("doc_id", "chunk_id") if n in inner and n in records.columns]
+    conflict = F.lit(False)
+    for n in both:
+        conflict = conflict | F.coalesce(F.col(n) != F.col(f"metadata.{n}"), F.lit(False))
+    version, source = F.coalesce(value["identity_version"], F.lit(IDENTITY_VERSION)), value["source"]
+    expected = chunk_id(value["doc_id"], value["chunk_index"], value["text"])
+    fault = (F.when(conflict, "conflicting_identity").when(version != IDENTITY_VERSION, "unsupported_version")
+             .when(F.coalesce(source, F.lit("")) == "", "no_source")
+             .when(expected.isNull(), "incomplete")
+             .when(value["chunk_id"] != expected, "foreign_chunk_id"))
+    return records.select(
+        value["doc_id"].alias("doc_id"), expected.alias("chunk_id"), value["chunk_index"].alias("chunk_index"),
+        value["text"].alias("text"), source.alias("source"),
+        F.array_sort(F.array_distinct(F.array_compact(F.concat(
+            F.coalesce(value["sources"], F.array().cast("array<string>")), F.array(source))))).alias("sources"),
+        fault.alias("fault"))

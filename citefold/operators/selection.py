@@ -228,3 +228,17 @@ def repeated_source_fraction(chunks: DataFrame, keys: list[str], order: str = "r
     return per_page.groupBy(*keys).agg(
         F.try_divide(F.sum(F.col("_total") - F.col("_union")).cast("double"), F.sum("_total")).alias("source_character_overlap_fraction"),
         F.sum("_total").alias("source_characters"))
+
+
+def prompt_guard(prepared: DataFrame, questions: DataFrame, version: str, template_hash: str) -> DataFrame:
+    """(question_id, verdict) of prompts (question_id, question_hash, prompt_version, template_sha256) before they are sent.
+
+    A prompt is sent only for the question it was prepared from, under the expected policy and template.
+    """
+    joined = prepared.join(questions.select("question_id", F.sha2("question", 256).alias("_q")), "question_id", "left")
+    same = lambda c, v: F.coalesce(F.col(c) == v, F.lit(False))
+    return joined.select("question_id", F.when(F.col("_q").isNull(), "unknown_question")
+                         .when(~same("question_hash", F.col("_q")), "other_question")
+                         .when(~same("prompt_version", F.lit(version)), "other_policy")
+                         .when(~same("template_sha256", F.lit(template_hash)), "other_template")
+                         .otherwise("accepted").alias("verdict"))
