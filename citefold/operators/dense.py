@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citefold.operators.lexical import SCORE_DIGITS
-from citefold.operators.scale import BROADCAST_LIMIT, check_limit, top_k_per_key
+from citefold.operators.scale import BROADCAST_LIMIT, SCORE_DIGITS, check_limit, top_k_per_key
 
 BLOCK_BYTES = 64 << 20
 _HIT_TYPE = "query_id {}, row_id {}, score double"

@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citefold.operators.lexical import SCORE_DIGITS
-from citefold.operators.scale import check_limit, top_k_per_key
+from citefold.operators.scale import SCORE_DIGITS, check_limit, top_k_per_key
 
 MODES = ("dense", "bm25", "hybrid")
 

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citefold.functions.analyzer import analyze_rows
-from citefold.operators.scale import measured_join, top_k_per_key
+from citefold.operators.dense import _arrow_schema, _TopK
+from citefold.operators.scale import BROADCAST_LIMIT, SCORE_DIGITS, check_limit, measured_bytes, measured_join, top_k_per_key
 from citefold.session import stage
 
-# Scores are compared on a fixed grid so that summation order can never decide a tie.
-SCORE_DIGITS = 12
+TILE_BYTES = 16 << 20  # scores that a task holds at once
 
 
 @dataclass(frozen=True)
@@ -57,31 +61,93 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return analyzed.select(F.col("row_id").alias("query_id"), F.explode("terms.term").alias("term"))
 
 
-def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
-    """(query_id, row_id, score) for every row sharing at least one term with the query."""
+def _query_weights(index: LexicalIndex, queries: DataFrame) -> DataFrame:
+    """(query_id, term, idf) of the query terms that any row holds, staged."""
     terms = stage(query_terms(queries), "query-terms")
     matched = measured_join(index.postings, terms.select("term"), ["term"], "left_semi")
     frequency = matched.groupBy("term").agg(F.count("*").alias("df"))
     n = F.lit(float(index.row_count))
-    weighted_terms = stage(
+    return stage(
         terms.join(frequency, "term").select(
             "query_id", "term", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")),
         "query-weights")
+
+
+def _pair_scores(index: LexicalIndex, weights: DataFrame) -> DataFrame:
     norm = index.k1 * (1 - index.b + index.b * F.col("length") / F.lit(index.average_length))
     grid = F.lit(10.0**SCORE_DIGITS)  # whole grid steps add up to the same sum in any order
     part = F.col("idf") * F.col("tf") * (index.k1 + 1) / (F.col("tf") + norm)
     return (
-        measured_join(index.postings, weighted_terms, ["term"])
+        measured_join(index.postings, weights, ["term"])
         .groupBy("query_id", "row_id")
         .agg((F.sum(F.round(part * grid).cast("long")) / grid).alias("score"))
     )
 
 
-def bm25_search(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, row_id, score, rank): positive scores only, lower row first on ties."""
+def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
+    """(query_id, row_id, score) for every row sharing at least one term with the query."""
+    return _pair_scores(index, _query_weights(index, queries))
+
+
+def _task_best(index: LexicalIndex, weights: DataFrame, k: int) -> DataFrame:
+    """(query_id, row_id, score): the k best rows of each task, scored inside the row, whose terms lie together."""
+    spark = weights.sparkSession
+    held = weights.toArrow()  # measured by the caller
+    queries, number = np.unique(np.asarray(held.column("query_id").to_pylist()), return_inverse=True)
+    vocabulary = pc.unique(held.column("term").combine_chunks())
+    code = pc.index_in(held.column("term"), value_set=vocabulary).to_numpy()
+    order = np.argsort(code, kind="stable")
+    starts = np.searchsorted(code[order], np.arange(len(vocabulary) + 1))
+    shared = spark.sparkContext.broadcast(
+        (queries, vocabulary, starts, number[order], held.column("idf").to_numpy()[order]))
+    schema = f"query_id {dict(weights.dtypes)['query_id']}, row_id {dict(index.rows.dtypes)['row_id']}, score double"
+    arrow = _arrow_schema(spark, schema)
+    k1, b, average, step = index.k1, index.b, index.average_length, max(1, TILE_BYTES // (8 * max(1, len(queries))))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, vocabulary, starts, of, idf = shared.value
+        best = _TopK(k)
+        for batch in batches:
+            for at in range(0, batch.num_rows if len(queries) else 0, step):
+                rows = batch.slice(at, step)
+                terms = rows.column("terms")
+                names, counts = terms.flatten().flatten()
+                code = pc.fill_null(pc.index_in(names, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+                hit = np.flatnonzero(code >= 0)
+                row = np.repeat(np.arange(len(rows)), terms.value_lengths().to_numpy(zero_copy_only=False))[hit]
+                some, row = np.unique(row, return_inverse=True)
+                tf, code = counts.to_numpy(zero_copy_only=False)[hit].astype(float), code[hit]
+                norm = k1 * (1 - b + b * rows.column("length").to_numpy(zero_copy_only=False)[some] / average)
+                repeated = starts[code + 1] - starts[code]  # queries that ask for the term
+                place = np.repeat(starts[code] - np.cumsum(repeated) + repeated, repeated) + np.arange(repeated.sum())
+                tf, row = np.repeat(tf, repeated), np.repeat(row, repeated)
+                part = idf[place] * tf * (k1 + 1) / (tf + norm[row])
+                sums = np.zeros((len(queries), len(some)), np.int64)
+                np.add.at(sums, (of[place], row), np.floor(part * 10.0**SCORE_DIGITS + 0.5).astype(np.int64))
+                if len(some):
+                    best.add(rows.column("row_id").to_numpy(zero_copy_only=False)[some], sums / 10.0**SCORE_DIGITS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(best.columns(queries), arrow)], schema=arrow)
+
+    return index.rows.select("row_id", "length", "terms").mapInArrow(scan, schema)
+
+
+def bm25_search(index: LexicalIndex, queries: DataFrame, k: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """(query_id, row_id, score, rank): positive scores only, lower row first on ties.
+
+    Query terms whose measured size, and whose k rows per query, stay below ``limit`` bytes are shipped to the rows: one
+    scan, and only k rows per query and task are shuffled. A larger set of queries takes a join of terms with the same
+    scores.
+    """
+    check_limit(k)
+    weights = _query_weights(index, queries)
+    asked = weights.agg(F.count_distinct("query_id")).first()[0]
+    if k and 16 * k * asked <= limit and measured_bytes(weights) <= limit:
+        scored = _task_best(index, weights, k)
+    else:
+        scored = _pair_scores(index, weights)
     return top_k_per_key(
-        bm25_scores(index, queries).filter("score > 0"),
-        ["query_id"], [F.desc("score"), F.asc("row_id")], k, spread=["row_id"])
+        scored.filter("score > 0"), ["query_id"], [F.desc("score"), F.asc("row_id")], k, spread=["row_id"])
 
 
 def invariant_violations(index: LexicalIndex) -> DataFrame:

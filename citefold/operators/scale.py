@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Scores are compared on a fixed grid so that summation order can never decide a tie.
+SCORE_DIGITS = 12
 BROADCAST_LIMIT = 64 << 20
 SALTS = 32
 HOT_ROWS = 1_000_000

@@ -106,3 +106,11 @@ def test_analysis_is_independent_of_partitioning(spark, rows):
     texts = spark.createDataFrame([(i, f"alpha beta-{i % 3} CO2 {i}") for i in range(40)], "row_id long, text string")
     flat = lambda df: rows(analyze_rows(df).select("row_id", "length", F.array_sort("terms").cast("string")))
     assert flat(texts.repartition(1)) == flat(texts.repartition(7))
+
+
+def test_scores_inside_rows_equal_the_join_of_terms(spark):
+    texts = [(i, " ".join(f"w{(i * j) % 37}" for j in range(1, 5 + i % 23))) for i in range(300)] + [(300, ""), (301, None)]
+    index = lexical.build_index(spark.createDataFrame(texts, "row_id long, text string").repartition(5))
+    asked = ask(spark, "w1 w5 w7", "w0", "absent", "w3 w3 w36 w12")
+    inside, joined = (sorted(map(tuple, lexical.bm25_search(index, asked, 9, limit=n).collect())) for n in (1 << 20, 0))
+    assert inside and inside == joined
