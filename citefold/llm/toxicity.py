@@ -1,111 +1,200 @@
-"""Toxicity scores from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
-
-Terms are words and word beginnings; the vocabulary keeps those that go with the label in the training rows. Examples
-are a bounded sample of labelled rows. A search visits blocks of examples by descending upper bound and stops when no
-other block can hold a nearer one. Similarity-weighted votes are calibrated on the training rows themselves, each
-searched without itself, and weighted to the label's true share.
+"""Toxicity scores from the nearest labelled examples by exact TF-IDF cosine over all their terms.
+
+Terms are words and word beginnings; every term of every example is in the index, none is chosen or left out. A term's
+weight is its inverse document frequency times one plus its association with the label, so that a rare toxic word
+outweighs many topic words. Examples are a bounded sample of labelled rows. Single-precision products over all examples
+(the most frequent terms as a matrix, the others as postings) bound every cosine; the examples that can be among the
+nearest are scored again in double precision. Similarity-weighted votes are calibrated on the training rows themselves,
+each searched without itself, and weighted to the label's true share.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from citefold.llm.batches import NOT_WORD, Words, slices, words
+from citefold.llm.batches import NOT_WORD, Words, mix, slices, words
 from citefold.session import stage
 
 EXAMPLES = 4000   # labelled rows per label that are learned from
-TERMS = 1024      # terms of the vocabulary
-MIN_Z = 4.0       # association with the label that a term needs, in standard deviations of the log odds
-MIN_ODDS = 4.0    # odds ratio that a term needs: longer texts alone do not make a term
-AT_ONCE = 8       # blocks that a search scores together
+DENSE = 2048      # most frequent terms, laid out as a matrix; the others are postings
+AT_ONCE = 128     # texts whose products are formed together
 STEMS = (3, 4, 5, 6)
 NEIGHBOURS = 15
-BLOCK = 64
 BINS = 10
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *("^" + word[:n] for n in STEMS if len(word) > n)]
-
-
-def row_terms(found: Words, vocabulary: dict[str, int] | None = None) -> list[Counter]:
-    """Term counts of every row; only terms of ``vocabulary`` (by number) where it is given."""
-    texts = [w.decode("utf-8", "replace") for w in found.vocabulary.to_pylist()]
-    if vocabulary is None:
-        each = [terms_of(w) for w in texts]
-        held = None
-    else:
-        each = [[vocabulary[t] for t in terms_of(w) if t in vocabulary] for w in texts]
-        held = np.fromiter((bool(e) for e in each), bool, len(each))
-    out = []
-    for row in range(len(found.bounds) - 1):
-        codes = found.codes[found.bounds[row]:found.bounds[row + 1]]
-        if held is not None:
-            codes = codes[held[codes]]
-        counts: Counter = Counter()
-        if len(codes):
-            for code, n in zip(*(a.tolist() for a in np.unique(codes, return_counts=True))):
-                for term in each[code]:
-                    counts[term] += n
-        out.append(counts)
-    return out
+def terms_of(found: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the terms of all words end to end, number of terms of each word).
+
+    A beginning in ASCII is its bytes and length, mixed one to one; other terms are hashed.
+    """
+    vocabulary = found.vocabulary.to_pylist()
+    whole = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))
+    data, offsets = np.frombuffer(b"".join(vocabulary) + bytes(max(STEMS)), np.uint8), np.cumsum([0, *map(len, vocabulary)])
+    lengths, ascii_ = np.diff(offsets), np.fromiter(map(bytes.isascii, vocabulary), bool, len(vocabulary))
+    words_, terms = [np.arange(len(vocabulary))], [whole]
+    for n in STEMS:
+        at = np.flatnonzero(ascii_ & (lengths > n))
+        packed = np.full(len(at), n << 56, np.uint64)
+        for k in range(n):
+            packed |= data[offsets[at] + k].astype(np.uint64) << np.uint64(8 * k)
+        words_.append(at)
+        terms.append(mix(packed))
+    plain, packed, others, hashed = [], [], [], []
+    for at in np.flatnonzero(~ascii_).tolist():
+        text = vocabulary[at].decode("utf-8", "replace")
+        for n in STEMS:
+            if len(text) > n:
+                begun = text[:n].encode()
+                if len(begun) == n:
+                    plain.append(at)
+                    packed.append(int.from_bytes(begun, "little") | n << 56)
+                else:
+                    others.append(at)
+                    hashed.append(xxhash.xxh3_64_intdigest(b"^" + begun))
+    words_ += [np.array(plain, np.int64), np.array(others, np.int64)]
+    terms += [mix(np.array(packed, np.uint64)), np.array(hashed, np.uint64)]
+    of = np.concatenate(words_)
+    order = np.argsort(of, kind="stable")
+    return np.concatenate(terms)[order], np.bincount(of, minlength=len(vocabulary))
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all stretches end to end."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def row_terms(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, codes, counts, bounds): all terms' hashes in order; each row's distinct terms in them, end to end."""
+    each, sizes = terms_of(found)
+    hashes, code = np.unique(each, return_inverse=True)
+    size = max(1, len(hashes))
+    starts, wide = np.cumsum(sizes) - sizes, max(1, len(sizes))
+    rows = np.repeat(np.arange(len(found.bounds) - 1), np.diff(found.bounds))
+    pairs, n = np.unique(rows * wide + found.codes, return_counts=True)  # a word of a row once
+    row, word = np.divmod(pairs, wide)
+    key = np.repeat(row * size, sizes[word]) + code[spread(starts[word], sizes[word])]
+    order = np.argsort(key)
+    key, n = key[order], np.repeat(n, sizes[word])[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
+    row, codes = np.divmod(key[first], size)
+    counts = np.add.reduceat(n, first) if len(first) else np.zeros(0, np.int64)
+    return hashes, codes, counts, np.searchsorted(row, np.arange(len(found.bounds)))
+
+
+def association(clean: np.ndarray, toxic: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """Root of the log-likelihood ratio of terms that are more frequent in toxic rows, else 0.
+
+    Counts are not smoothed: a term that no clean row holds is the better for it.
+    """
+    def part(seen, rows, share):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return (np.where(seen > 0, seen * np.log(seen / (rows * share)), 0)
+                    + np.where(seen < rows, (rows - seen) * np.log((rows - seen) / (rows * (1 - share))), 0))
+
+    ratio = part(toxic, n1, (clean + toxic) / (n0 + n1)) + part(clean, n0, (clean + toxic) / (n0 + n1))
+    return np.where(toxic * n0 > clean * n1, np.sqrt(2 * np.maximum(ratio, 0)), 0.0)
 
 
 @dataclass
 class Model:
-    vocabulary: dict[str, int]
-    idf: np.ndarray
+    vocabulary: np.ndarray  # hashes of all terms in ascending order
+    idf: np.ndarray         # weights of the terms
     doc_ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int8))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of a label in the votes, by example
-    postings: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, BLOCK), np.float32))  # term x block x place
-    maxima: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # term x block
+    terms: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))     # of all examples end to end
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    bounds: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     blank: float = 0.0                                                  # score of a text without any term
     curve: np.ndarray = field(default_factory=lambda: np.linspace(0, 1, BINS))
+    layout: tuple | None = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "layout": None}  # laid out again where it is used
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of every term, or -1 for terms that no example has."""
+        if not len(self.vocabulary):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashes, at, -1)
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and unit TF-IDF weights."""
-        if not counts:
-            return np.zeros(0, np.int64), np.zeros(0)
-        pairs = sorted(counts.items())
-        terms = np.array([p[0] for p in pairs], np.int64)
-        raw = (1 + np.log([p[1] for p in pairs])) * self.idf[terms]
-        return terms, raw / math.sqrt(float(raw @ raw))
+    def vector(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms and unit TF-IDF weights."""
+        terms = numbers[numbers >= 0]
+        raw = (1 + np.log(counts[numbers >= 0])) * self.idf[terms]
+        return terms, raw / math.sqrt(float(raw @ raw)) if len(raw) else raw
 
     def index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Weights by (term, block, place in block), and the greatest weight of a term in a block."""
-        blocks = -(-len(vectors) // BLOCK)
-        self.postings = np.zeros((len(self.idf), blocks, BLOCK), np.float32)
-        for example, (terms, values) in enumerate(vectors):
-            self.postings[terms, example // BLOCK, example % BLOCK] = values
-        self.maxima = self.postings.max(2, initial=0).astype(float)
-
-    def nearest(self, terms: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, without: int = -1):
+        self.terms = np.concatenate([np.zeros(0, np.int32), *(v[0].astype(np.int32) for v in vectors)])
+        self.values = np.concatenate([np.zeros(0, np.float32), *(v[1].astype(np.float32) for v in vectors)])
+        self.bounds = np.cumsum([0, *(len(v[0]) for v in vectors)])
+        self.layout = None
+
+    def laid_out(self) -> tuple:
+        """(number in the matrix or -1, matrix, first posting, postings' examples and values, empty row of terms)."""
+        if self.layout is None:
+            examples, size = len(self.bounds) - 1, len(self.idf)
+            of = np.repeat(np.arange(examples, dtype=np.int32), np.diff(self.bounds))
+            frequency = np.bincount(self.terms, minlength=size)
+            number = np.full(size, -1, np.int32)
+            dense = np.argsort(-frequency, kind="stable")[:DENSE]
+            number[dense] = np.arange(len(dense))
+            place = number[self.terms]
+            matrix = np.zeros((len(dense), examples), np.float32)
+            matrix[place[place >= 0], of[place >= 0]] = self.values[place >= 0]
+            rest = np.flatnonzero(place < 0)
+            rest = rest[np.argsort(self.terms[rest], kind="stable")]
+            first = np.searchsorted(self.terms[rest], np.arange(size + 1))
+            self.layout = number, matrix, first, of[rest], self.values[rest], np.zeros(size)
+        return self.layout
+
+    def products(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Texts x examples: cosines in single precision."""
+        number, matrix, first, examples, weights, _ = self.laid_out()
+        asked = np.zeros((len(vectors), len(matrix)), np.float32)
+        for row, (terms, values) in enumerate(vectors):
+            place = number[terms]
+            asked[row, place[place >= 0]] = values[place >= 0]
+        out = asked @ matrix
+        for row, (terms, values) in enumerate(vectors):
+            rare = number[terms] < 0
+            starts, lengths = first[terms[rare]], first[terms[rare] + 1] - first[terms[rare]]
+            at = spread(starts, lengths)
+            out[row] += np.bincount(examples[at], weights[at] * np.repeat(values[rare], lengths), out.shape[1])
+        return out
+
+    def nearest(self, terms: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, without: int = -1,
+                products: np.ndarray | None = None):
         """The k examples of highest positive cosine, ties to the earlier one: (numbers, cosines)."""
-        bounds = values @ self.maxima[terms]
-        order = np.argsort(-bounds, kind="stable")
-        best_id, best = np.zeros(0, np.int64), np.zeros(0)
-        for at in range(0, len(order), AT_ONCE):
-            top = bounds[order[at]]
-            if top <= 0 or len(best) == k and top < best[-1] - 1e-9:
-                break  # no example of these or later blocks can be nearer
-            some = order[at:at + AT_ONCE]
-            scores = np.round(np.tensordot(values, self.postings[terms[:, None], some[None, :]].astype(float), 1), 9).reshape(-1)
-            ids = (some[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
-            hit = (scores > 0) & (ids != without)
-            best_id, best = np.r_[best_id, ids[hit]], np.r_[best, scores[hit]]
-            keep = np.lexsort((best_id, -best))[:k]
-            best_id, best = best_id[keep], best[keep]
-        return best_id, best
+        near = self.products([(terms, values)])[0] if products is None else products.copy()
+        if without >= 0:
+            near[without] = 0
+        least = np.partition(near, len(near) - k)[len(near) - k] if len(near) > k else 0.0
+        # each product and each sum of single precision is off by 2^-24 of at most 1: the k-th and another cosine by twice that
+        ids = np.flatnonzero((near > 0) & (near >= least - (len(terms) + 8) * 2.0 ** -22))
+        if not len(ids):
+            return ids, np.zeros(0)
+        row = self.laid_out()[-1]
+        row[terms] = values
+        lengths = np.diff(self.bounds)[ids]
+        at = spread(self.bounds[ids], lengths)
+        scores = np.round(np.add.reduceat(self.values[at].astype(float) * row[self.terms[at]], np.cumsum(lengths) - lengths), 9)
+        row[terms] = 0
+        ids, scores = ids[scores > 0], scores[scores > 0]
+        keep = np.lexsort((ids, -scores))[:k]
+        return ids[keep], scores[keep]
 
     def vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
         """Share of the label among the neighbours, weighted by closeness and by the label's true frequency."""
@@ -114,15 +203,17 @@ class Model:
         closeness = cosines / (1.0 + 1e-3 - cosines) * self.weights[ids]
         return float(closeness @ self.labels[ids] / closeness.sum())
 
-    def score(self, counts: Counter) -> tuple[float, list[int]]:
-        terms, values = self.vector(counts)
-        if not len(terms):
-            return self.blank, []
-        ids, cosines = self.nearest(terms, values)
-        raw = self.vote(ids, cosines)
-        if raw < 0:
-            return self.blank, []
-        return float(np.interp(raw, np.linspace(0, 1, len(self.curve)), self.curve)), self.doc_ids[ids[:3]].tolist()
+    def score(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+        """Score and nearest examples of each text."""
+        out = []
+        for at in range(0, len(vectors), AT_ONCE):
+            some = vectors[at:at + AT_ONCE]
+            for (terms, values), products in zip(some, self.products(some)):
+                ids, cosines = self.nearest(terms, values, products=products)
+                raw = self.vote(ids, cosines)
+                out.append((self.blank, []) if raw < 0 else (
+                    float(np.interp(raw, np.linspace(0, 1, len(self.curve)), self.curve)), self.doc_ids[ids[:3]].tolist()))
+        return out
 
 
 def labelled_sample(labels: DataFrame, examples: int = EXAMPLES) -> tuple[DataFrame, dict[int, int]]:
@@ -134,75 +225,83 @@ def labelled_sample(labels: DataFrame, examples: int = EXAMPLES) -> tuple[DataFr
     return parts[0].unionByName(parts[1]), totals
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary_size: int = TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     """Learn from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) covers.
 
-    Bounded by ``examples`` rows per label and ``vocabulary_size`` terms. A doc_id labelled twice counts as toxic if one
+    Bounded by ``examples`` rows per label; all terms of these rows count. A doc_id labelled twice counts as toxic if one
     of its labels says so; labels other than 0 and 1 and null texts teach nothing; without labels every score is 0.
     """
     chosen, totals = labelled_sample(labels, examples)
     texts = stage(docs.filter("text is not null").select("doc_id", "text")
                   .join(F.broadcast(chosen), "doc_id"), "toxicity-sample")  # bounded: 2 x examples narrow rows
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            seen: dict[str, list[int]] = {}
-            for counts, toxic in zip(row_terms(words(batch.column("text"), NOT_WORD)), batch.column("toxic").to_pylist()):
-                for term in counts:
-                    seen.setdefault(term, [0, 0])[toxic] += 1
-            yield pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.string()),
-                                              "clean": pa.array([s[0] for s in seen.values()], pa.int64()),
-                                              "toxic": pa.array([s[1] for s in seen.values()], pa.int64())})
-
-    held = {r.toxic: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = held.get(0, 0), held.get(1, 0)
-    if not n0 or not n1:
-        return Model({}, np.zeros(0), blank=1.0 if n1 else 0.0)
-    # log odds ratio with add-half counts over its standard deviation
-    a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
-    z = (F.log(a / (n1 - F.col("toxic") + 0.5)) - F.log(b / (n0 - F.col("clean") + 0.5))) / F.sqrt(
-        1 / a + 1 / b + 1 / (n1 - F.col("toxic") + 0.5) + 1 / (n0 - F.col("clean") + 0.5))
-    found = (texts.mapInArrow(count, "term string, clean long, toxic long").groupBy("term")
-             .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-             .withColumn("z", z).filter((F.col("z") >= MIN_Z) & (a / (n1 - F.col("toxic") + 0.5) >= MIN_ODDS * b / (n0 - F.col("clean") + 0.5))).orderBy(F.desc("z"), "term").limit(vocabulary_size).collect())
-    terms = sorted(found, key=lambda r: r.term)
-    model = Model({r.term: i for i, r in enumerate(terms)},
-                  np.array([math.log((n0 + n1 + 1) / (r.clean + r.toxic + 1)) + 1 for r in terms]))
-    shared = docs.sparkSession.sparkContext.broadcast(model.vocabulary)
-
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            counts = row_terms(words(batch.column("text"), NOT_WORD), shared.value)
+            hashes, codes, counts, bounds = row_terms(words(batch.column("text"), NOT_WORD))
+            stretches = list(zip(bounds[:-1], bounds[1:]))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"),
-                "terms": pa.array([list(c) for c in counts], pa.list_(pa.int64())),
-                "counts": pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))})
+                "terms": pa.array([hashes[codes[a:b]].tobytes() for a, b in stretches], pa.binary()),
+                "counts": pa.array([counts[a:b].astype(np.int32).tobytes() for a, b in stretches], pa.binary())})
 
     rows = texts.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(
-        sparse, "doc_id long, toxic int, terms array<long>, counts array<long>").collect()  # the bounded sample
-    vectors = [(r, *model.vector(Counter(dict(zip(r.terms, r.counts))))) for r in rows]
-    true = {t: totals.get(t, 0) / max(1, held[t]) for t in (0, 1)}  # rows that one example stands for
-    bare = [r.toxic for r, terms_, _ in vectors if not len(terms_)]
-    mass = {t: true[t] * sum(x == t for x in bare) for t in (0, 1)}
-    model.blank = (mass[1] + 0.5 * true[1]) / (mass[0] + mass[1] + 0.5 * (true[0] + true[1])) if bare else 0.0
-    # alike examples share blocks, which tightens the bounds: order by the heaviest term
-    full = sorted((v for v in vectors if len(v[1])),
-                  key=lambda v: (int(v[1][np.argmax(v[2])]), v[0].doc_id, v[1].tolist(), v[2].tolist()))
-    model.doc_ids = np.array([v[0].doc_id for v in full], np.int64)
-    model.labels = np.array([v[0].toxic for v in full], np.int8)
+        sparse, "doc_id long, toxic int, terms binary, counts binary").collect()  # the bounded sample
+    rows.sort(key=lambda r: (r.doc_id, r.toxic, bytes(r.terms), bytes(r.counts)))
+    toxic = np.array([r.toxic for r in rows], np.int8)
+    n1 = int(toxic.sum())
+    n0 = len(rows) - n1
+    if not n0 or not n1:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), blank=1.0 if n1 else 0.0)
+    vocabulary = np.unique(np.frombuffer(b"".join(r.terms for r in rows), np.uint64))
+    seen = np.zeros((2, len(vocabulary)), np.int64)
+    numbers = []
+    for at, r in enumerate(rows):
+        numbers.append(np.searchsorted(vocabulary, np.frombuffer(r.terms, np.uint64)).astype(np.int32))
+        seen[r.toxic, numbers[-1]] += 1
+        rows[at] = (r.doc_id, r.counts)
+    model = Model(vocabulary, (np.log((n0 + n1 + 1) / (seen.sum(0) + 1)) + 1) * (1 + association(*seen, n0, n1)))
+    vectors = []
+    for at, own in enumerate(numbers):
+        terms, values = model.vector(own, np.frombuffer(rows[at][1], np.int32))
+        vectors.append((terms, values.astype(np.float32)))
+        rows[at], numbers[at] = rows[at][0], None
+    true = {t: totals.get(t, 0) / max(1, (n0, n1)[t]) for t in (0, 1)}  # rows that one example stands for
+    full = np.array([len(v[0]) > 0 for v in vectors])
+    mass = {t: true[t] * int((~full & (toxic == t)).sum()) for t in (0, 1)}
+    model.blank = (mass[1] + 0.5 * true[1]) / (mass[0] + mass[1] + 0.5 * (true[0] + true[1])) if not full.all() else 0.0
+    model.doc_ids = np.array(rows, np.int64)[full]
+    model.labels = toxic[full]
     model.weights = np.where(model.labels == 1, true[1], true[0])
-    model.index([(v[1], v[2]) for v in full])
-    model.curve = calibrate(model, full)
+    model.index([v for v in vectors if len(v[0])])
+    del vectors
+    model.curve = calibrate(docs.sparkSession, model)
     return model
 
 
-def calibrate(model: Model, full: list) -> np.ndarray:
+def calibrate(spark: SparkSession, model: Model) -> np.ndarray:
     """Share of the label by raw vote: examples searched without themselves, pooled until it never falls."""
-    raw = np.array([model.vote(*model.nearest(v[1], v[2], without=i)) for i, v in enumerate(full)])
+    shared = spark.sparkContext.broadcast(model)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            numbers = batch.column("id").to_pylist()
+            for at in range(0, len(numbers), AT_ONCE):
+                some = numbers[at:at + AT_ONCE]
+                asked = [(model.terms[a:b], model.values[a:b].astype(float))
+                         for a, b in ((model.bounds[i], model.bounds[i + 1]) for i in some)]
+                yield pa.RecordBatch.from_pydict({"id": some, "raw": pa.array([
+                    model.vote(*model.nearest(*v, without=i, products=near))
+                    for i, v, near in zip(some, asked, model.products(asked))], pa.float64())})
+
+    tasks = max(1, -(-len(model.labels) // 1000))
+    found = spark.range(0, len(model.labels), 1, tasks).mapInArrow(votes, "id long, raw double").collect()
+    shared.destroy()
+    raw = np.array([r.raw for r in sorted(found, key=lambda r: r.id)])
     at = np.clip(np.rint(np.maximum(raw, 0) * (BINS - 1)), 0, BINS - 1).astype(int)
     grid = np.linspace(0, 1, BINS)
     ones, every = (np.bincount(at, w, BINS) for w in (model.weights * model.labels, model.weights))
-    unit = float(model.weights.mean()) if len(full) else 1.0  # one vote for the vote itself
+    unit = float(model.weights.mean()) if len(raw) else 1.0  # one vote for the vote itself
     pools = [[o + unit * g, e + unit, 1] for o, e, g in zip(ones, every, grid)]
     merged: list[list[float]] = []
     for pool in pools:
@@ -216,25 +315,29 @@ def calibrate(model: Model, full: list) -> np.ndarray:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` with score, predicted and evidence (doc_ids of the nearest examples) appended.
 
-    Only the text is looked at, all of it. Texts that are null, empty or without any term of the vocabulary get the
-    label's share among such training rows. Columns of ``docs`` with the new names are replaced.
+    Only the text is looked at, all of it. Texts that are null, empty or without any term of an example get the
+    label's share among training rows without words. Columns of ``docs`` with the new names are replaced.
     """
     new = ("score", "predicted", "evidence")
     source = docs.select(*[c for c in docs.columns if c not in new])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple] = {}
+        known: dict[bytes, tuple] = {}
         model = shared.value
         for batch in slices(batches):
-            out = []
-            for counts in row_terms(words(batch.column("text"), NOT_WORD), model.vocabulary):
-                key = tuple(sorted(counts.items()))
-                if key not in known:
-                    if len(known) >= 50_000:
-                        known.clear()
-                    known[key] = model.score(counts)
-                out.append(known[key])
+            hashes, codes, counts, bounds = row_terms(words(batch.column("text"), NOT_WORD))
+            numbers = model.numbers(hashes)[codes]
+            if len(known) >= 50_000:
+                known.clear()
+            keys, fresh = [], {}
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                key = xxhash.xxh3_128_digest(hashes[codes[a:b]].tobytes() + counts[a:b].tobytes())
+                keys.append(key)
+                if key not in known and key not in fresh:
+                    fresh[key] = model.vector(numbers[a:b], counts[a:b])
+            known.update(zip(fresh, model.score(list(fresh.values()))))
+            out = [known[key] for key in keys]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([s for s, _ in out], pa.float64()),
                  pa.array([int(s >= 0.5) for s, _ in out], pa.int32()),

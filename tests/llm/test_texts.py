@@ -270,3 +270,33 @@ def test_block_max_search_is_exact():
         order = [j for j in np.lexsort((np.arange(700), -cosines))[:15] if cosines[j] > 0]
         ids, values = model.nearest(*vectors[i], without=i)
         assert ids.tolist() == order and np.allclose(values, cosines[order])
+
+
+def test_toxicity_of_many_rare_words_and_of_a_small_table(spark, docs):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("bcdfgaeiou", k=n))
+    topic = [word(rng.randint(3, 7)) for _ in range(400)]
+    bad = ["zx" + word(6) for _ in range(150)]  # each in some 2 % of the toxic rows and in no clean one
+
+    def rows(n):
+        out = []
+        for i in range(n):
+            text = rng.choices(topic, k=60)
+            if i % 2 == 0:
+                for at, one in zip(rng.sample(range(60), 3), rng.sample(bad, 3)):
+                    text[at] = one
+            out.append((i, " ".join(text)))
+        return out
+
+    made = rows(900)
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(700)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(made).select("doc_id", "text"), labels)
+    held = [r for r in toxicity.score(docs(made), model).collect() if r.doc_id >= 700]
+    right = {t: sum(r.predicted == t for r in held if r.doc_id % 2 == 1 - t) for t in (0, 1)}
+    assert right[0] >= 95 and right[1] >= 95, right
+    # 12 labelled rows are too few for any test of single terms
+    few = [(i, f"{topic[i]} {topic[i + 20]} {'zorgle quabbit' if i % 2 == 0 else ''}") for i in range(12)]
+    model = toxicity.fit(docs(few).select("doc_id", "text"),
+                         spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(12)], "doc_id long, toxic int"))
+    found = {r.doc_id: r for r in toxicity.score(docs([(50, "quabbit"), (51, topic[21])]), model).collect()}
+    assert found[50].predicted == 1 and found[51].predicted == 0 and len(model.doc_ids) == 12
