@@ -37,6 +37,7 @@ sidebar side sidenav rail menu menus nav navbar navigation topbar toolbar footer
 share sharing social related recommended recommendations promo promotion promoted sponsor sponsored newsletter subscribe
 subscription signup login register popup modal overlay widget widgets pagination pager tags skip feedback form search
 disclaimer legal""".split())
+STATES = set("has with without no is tag category cat topic".split())  # "has-sidebar", "tag-search": no furniture itself
 ARTICLE = {"article", "main"}
 ARTICLE_NAMES = set("article post entry story content body text main".split())
 
@@ -57,16 +58,24 @@ class Block:
     heading: bool
 
 
-def _kind(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
-    """(stands for furniture, stands for the article)."""
+def _kind(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool, str, str]:
+    """(stands for furniture, for the article, "whole" or "part" of a name says furniture or "", what it lifts).
+
+    A name says furniture as a whole token ("sidebar") or, weaker, as the first or last part of a longer one. A main
+    element lifts both kinds off itself and all that encloses it; an article the weaker one, if it is not named after
+    furniture itself, as comments and teasers are.
+    """
     furniture = tag in FURNITURE and not (tag == "header" and inside_article)
     article = tag in ARTICLE
+    main = tag == "main"
+    whole = first = last = named = False
     if attributes and "=" in attributes or "hidden" in attributes:
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name == "role":
                 furniture |= value.lower() in FURNITURE_ROLES
                 article |= value.lower() in ARTICLE
+                main |= value.lower() == "main"
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 furniture = True
             elif name == "style":
@@ -74,17 +83,32 @@ def _kind(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
             elif name in ("class", "id") and tag not in ("body", "html"):
                 for token in value.split():
                     parts = [p.lower() for p in NAME.findall(token)]
+                    if not parts:
+                        continue
                     own = ARTICLE_NAMES.intersection(parts)
-                    bad = FURNITURE_NAMES.intersection(parts) - ({"header", "body", "text"} if own else set())
-                    furniture |= bool(bad)
-                    article |= bool(own) and not bad and parts[-1] in ARTICLE_NAMES
-    return furniture, article
+                    good = {"header", "body", "text"} if own else set()
+                    ends = [p in FURNITURE_NAMES and p not in good for p in (parts[0], parts[-1])]
+                    if len(parts) == 1:
+                        whole |= ends[0]
+                        named |= bool(own)
+                    elif parts[0] not in STATES:
+                        first |= ends[0]
+                        last |= ends[1]
+                    article |= bool(own) and not any(ends) and parts[-1] in ARTICLE_NAMES
+    if main:
+        return furniture, article, "", "whole"
+    if tag == "article" and not first and (named or not whole):
+        return furniture, article, "", "part"
+    return furniture, article, "whole" if whole else "part" if first or last else "", ""
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in order; elements left open end where their parents do, or with the page."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # (tag, furniture, article), each of it or of what encloses it
+    # (tag, furniture, article, furniture whatever names say, marks), each of it or of what encloses it; a mark is the
+    # kind of a name that says furniture, emptied when an article or main element inside lifts it
+    stack: list[tuple[str, bool, bool, bool, tuple[list[str], ...]]] = []
+    marked: list[tuple[Block, tuple[list[str], ...]]] = []
     parts: list[str] = []
     linked = 0
     links = 0
@@ -94,9 +118,10 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             words = "".join(parts).split()
             if words:
-                inside = stack[-1] if stack else ("", False, False)
+                inside = stack[-1] if stack else ("", False, False, False, ())
                 heading = any(len(s[0]) == 2 and s[0][0] == "h" and s[0][1].isdigit() for s in stack)
-                out.append(Block(" ".join(words), len(words), linked, inside[1], inside[2], heading))
+                out.append(Block(" ".join(words), len(words), linked, inside[3], inside[2], heading))
+                marked.append((out[-1], inside[4]))
             parts.clear()
         linked = 0
 
@@ -156,16 +181,23 @@ def blocks_of(page: str) -> list[Block]:
                     break
         if tag == "a" and links:
             close("a")
-        upper = stack[-1] if stack else ("", False, False)
-        furniture, article = _kind(tag, attributes, upper[2])
+        upper = stack[-1] if stack else ("", False, False, False, ())
+        fixed, article, name, lifts = _kind(tag, attributes, upper[2])
+        furniture = fixed or bool(name)
         if tag in BLOCKS or furniture and not upper[1]:
             flush()
+        if lifts and not upper[3] and (lifts == "whole" or all(m[0] != "whole" for m in upper[4])):
+            for mark in upper[4]:
+                mark[0] = ""
         if tag == "br":
             parts.append(" ")
         if tag not in VOID:
-            stack.append((tag, upper[1] or furniture, upper[2] or article))
+            stack.append((tag, upper[1] or furniture, upper[2] or article, upper[3] or fixed,
+                          (*upper[4], [name]) if name else upper[4]))
             links += tag == "a"
     flush()
+    for block, marks in marked:
+        block.furniture |= any(m[0] for m in marks)
     return out
 
 

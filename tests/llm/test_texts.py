@@ -300,3 +300,26 @@ def test_toxicity_of_many_rare_words_and_of_a_small_table(spark, docs):
                          spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(12)], "doc_id long, toxic int"))
     found = {r.doc_id: r for r in toxicity.score(docs([(50, "quabbit"), (51, topic[21])]), model).collect()}
     assert found[50].predicted == 1 and found[51].predicted == 0 and len(model.doc_ids) == 12
+
+
+LONG = "A long paragraph of the article that says one thing after the other and so has many words of its own."
+
+
+@pytest.mark.parametrize("page", [
+    f'<article class="post category-legal"><p>{LONG}</p></article>',
+    f'<article class="post tag-search"><p>{LONG}</p></article>',
+    f'<div class="content-sidebar-wrap"><p>{LONG}</p></div>',
+    f'<div id="page" class="has-sidebar"><p>{LONG}</p></div>',
+    f'<div class="layout-sidebar"><article><p>{LONG}</p></article></div>',
+    f'<div class="widget"><main class="search"><p>{LONG}</p></main></div>'])
+def test_layout_and_topic_classes_do_not_hide_the_article(page):
+    assert html_text.main_text(f"<html><body>{page}</body></html>", html_text.train()) == LONG
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="sidebar"><p>{LONG}</p></div>', f'<div class="related-posts"><p>{LONG}</p></div>',
+    f'<ol class="comment-list"><li class="comment"><article class="comment-body"><p>{LONG}</p></article></li></ol>',
+    f'<div class="comment-list"><article class="comment-body"><p>{LONG}</p></article></div>',
+    f'<aside><article class="post"><p>{LONG}</p></article></aside>', f'<article class="comment"><p>{LONG}</p></article>'])
+def test_named_furniture_stays_out(page):
+    assert html_text.main_text(f"<html><body>{page}</body></html>", html_text.train()) == ""
