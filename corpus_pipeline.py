@@ -41,7 +41,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class; of rows that share a doc_id, one of each text."""
-    judged = stage(minhash_dedup.near_duplicates(docs, width=4, percent=80).filter("doc_id is not null")
+    judged = stage(minhash_dedup.near_duplicates(docs, width=5, percent=80).filter("doc_id is not null")
                    .groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "near-duplicates")
     left = docs.join(judged.filter("not kept").select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     again = judged.filter("n > 1").select("doc_id")
