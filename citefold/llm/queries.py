@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citefold.llm import (decontaminate, html_text, language_id, license_scan, minhash_dedup, packing, token_store,
+from citefold.llm import (bpe, decontaminate, html_text, language_id, license_scan, minhash_dedup, packing, token_store,
                           topk_search, toxicity, url_filter)
 from citefold.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from citefold.session import staging_root, table
@@ -129,3 +129,12 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.decode(bpe.encode(docs, path), path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
