@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citefold.llm import (bpe, decontaminate, html_text, language_id, license_scan, minhash_dedup, packing, token_store,
-                          topk_search, toxicity, url_filter)
+from citefold.llm import (bpe, decontaminate, divergence, html_text, language_id, license_scan, minhash_dedup, packing, token_store,
+                          topk_search, toxicity, url_filter, vector_codes)
 from citefold.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from citefold.session import staging_root, table
 
@@ -138,3 +138,72 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(bpe.encode(docs, path), path).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    rounds_sql = []
+    for r in range(rounds + 1):
+        rounds_sql.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT n, v.p, min({{'d': list_sum(list_transform(range(1, w + 1), lambda i: (v.x[i] - b.x[i]) * (v.x[i] - b.x[i]))), 'e': b.e}}) AS best
+  FROM parts v JOIN b{r} b ON b.p = v.p GROUP BY n, v.p)""")
+        if r < rounds:
+            rounds_sql.append(f"""
+m{r} AS (
+  SELECT p, e, list(((s - (s % c + c) % c) // c)::BIGINT ORDER BY i) AS x FROM (
+    SELECT a.p, a.best.e AS e, i, sum(v.x[i]) AS s, count(*) AS c
+    FROM a{r} a JOIN parts v ON v.n = a.n AND v.p = a.p, unnest(range(1, w + 1)) AS t(i) GROUP BY ALL) GROUP BY p, e),
+b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN m{r} m ON m.p = b.p AND m.e = b.e)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, label, len(embedding) // 4 AS w,
+         list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT n, p, w, x[p * w + 1:(p + 1) * w] AS x FROM kept, unnest(range(4)) AS t(p)),
+b0 AS MATERIALIZED (
+  SELECT p, e, x[p * w + 1:(p + 1) * w] AS x FROM (
+    SELECT x, w, row_number() OVER (ORDER BY vec_id, x) - 1 AS e FROM kept QUALIFY e < 256), unnest(range(4)) AS t(p)),{",".join(rounds_sql)},
+coded AS (
+  SELECT n, string_agg(lower(lpad(to_hex(best.e), 2, '0')), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY n),
+digest AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, e, i)) AS h FROM (
+  SELECT p, e, unnest(x) AS v, unnest(range(len(x))) AS i FROM b{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256
+FROM kept JOIN coded USING (n), digest"""
+
+
+@query(_codes_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))[0]
+
+
+@query("""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS n,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+c AS (
+  SELECT lang, source, term, count(*) AS c, count(DISTINCT n) AS docs
+  FROM (SELECT lang, source, n, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(c) AS all_c FROM c GROUP BY lang, term HAVING sum(docs) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(all_c) AS all_n FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+p AS (
+  SELECT lang, source, term, k, 1 + (1000000000::HUGEINT * (k + 5)) // (sum(k) OVER (PARTITION BY lang, source) + 5 * v) AS p,
+         1 + (1000000000::HUGEINT * (all_c + 5)) // (all_n + 5 * v) AS q
+  FROM (SELECT g.lang, g.source, kept.term, all_c, coalesce(c.c, 0) AS k
+        FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term)
+  JOIN v USING (lang)),
+priced AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN priced s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE k > 0 AND p > q)
+SELECT lang, source, part, item, value, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found)
+WHERE part = 'pair' OR rank <= 50
+""")
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
