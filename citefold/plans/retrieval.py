@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from citefold.operators import dense, fusion, lexical, metrics, rerank, stats
+from citefold.operators import dense, fusion, lexical, metrics, postings, rerank, stats
 from citefold.plans.base import SEARCH, benchmark_questions, bm25_sql, raw_documents, search_benchmark, term_sql
 from citefold.plans.registry import query
 from citefold.session import spread, stage, table
@@ -43,17 +45,44 @@ def analyzer_namespaces(spark, sf_dir):
         F.count("*").alias("vocabulary"), F.sum("df").alias("postings"), F.sum("cf").alias("occurrences"))
 
 
-@query(f"""WITH {_DOC_TERMS}, lengths AS (
-  SELECT d.doc_id, coalesce(sum(tf), 0) AS length FROM documents d LEFT JOIN tf ON tf.row_id = d.doc_id GROUP BY d.doc_id)
-SELECT r.rule, r.violations::BIGINT AS violations FROM (
-  SELECT 'length_mismatch' AS rule, 0 AS violations
-  UNION ALL SELECT 'repeated_posting', (SELECT count(*) FROM (SELECT row_id, term FROM tf GROUP BY ALL HAVING count(*) > 1))
-  UNION ALL SELECT 'nonpositive_frequency', (SELECT count(*) FROM tf WHERE tf.tf <= 0)
-  UNION ALL SELECT 'blank_term', (SELECT count(*) FROM tf WHERE term = '')
-  UNION ALL SELECT 'negative_length', (SELECT count(*) FROM lengths WHERE length < 0)) r""")
+_RULES = ("vocabulary_order", "offset_gap", "blank_term", "impossible_frequency", "term_number", "first_offset", "frequency_mismatch",
+          "uneven_list", "row_order", "nonpositive_frequency", "low_maximum", "wrong_folder", "mean_length")
+
+
+@query(f"""WITH {_DOC_TERMS}, n AS (SELECT count(DISTINCT term) AS v FROM tf), ids AS (SELECT unnest(range(v)) AS i FROM n),
+lists AS (SELECT term, row_id // {postings.BLOCK_ROWS} AS block, count(*) AS n FROM tf GROUP BY ALL),
+planted AS (
+  SELECT 'vocabulary_order' AS rule, (SELECT count(*) FROM ids WHERE i % 100 = 13 AND i > 0) AS violations
+  UNION ALL SELECT 'offset_gap', (SELECT count(*) FROM ids, n WHERE i + 1 < v AND (i % 50 = 7 OR (i + 1) % 50 = 7))
+  UNION ALL SELECT 'blank_term', (SELECT count(*) FROM ids WHERE i % 100 = 13)
+  UNION ALL SELECT 'frequency_mismatch', (SELECT 2 * count(*) FROM ids WHERE i % 100 = 13)
+  UNION ALL SELECT 'nonpositive_frequency', (SELECT count(*) FROM lists WHERE n = 3)
+  UNION ALL SELECT 'row_order', (SELECT count(*) FROM lists WHERE n = 4)
+  UNION ALL SELECT 'low_maximum', (SELECT count(*) FROM lists WHERE n = 5)
+  UNION ALL SELECT 'uneven_list', (SELECT count(*) FROM lists WHERE n = 6)
+  UNION ALL SELECT 'wrong_folder', (SELECT count(*) FROM lists WHERE n = 7)
+  UNION ALL SELECT 'mean_length', 1)
+SELECT state, r.rule, CASE WHEN state = 'planted' THEN coalesce(p.violations, 0) ELSE 0 END::BIGINT AS violations
+FROM (SELECT unnest([{", ".join(f"'{r}'" for r in _RULES)}]) AS rule) r CROSS JOIN (VALUES ('built'), ('planted')) s(state)
+LEFT JOIN planted p ON p.rule = r.rule""")
 def postings_invariants(spark, sf_dir):
-    """Structural rules of the lexical index, each with its number of violations."""
-    return lexical.invariant_violations(_document_index(spark, sf_dir)).select("rule", F.col("violations").cast("long"))
+    """Rules of the term-major index with their violations: as built, and with a fault of each kind planted."""
+    built = postings.invert(_document_index(spark, sf_dir))
+    id_, n = F.col("term_id"), F.col("n")
+    terms = built.terms.select(
+        id_, F.when(id_ % 100 == 13, "").otherwise(F.col("term")).alias("term"), "df", "cf",
+        F.when(id_ % 50 == 7, F.col("start") + 1).otherwise(F.col("start")).alias("start"))
+    second = F.transform("deltas", lambda d, i: F.when(i == 1, F.lit(0)).otherwise(d))
+    lists = built.lists.select(
+        F.when(n == 7, (F.col("bucket") + 1) % built.buckets).otherwise(F.col("bucket")).alias("bucket"), "term", "block", "n",
+        F.when(n == 4, second).otherwise(F.col("deltas")).alias("deltas"),
+        F.when(n == 3, F.transform("tfs", lambda t: F.lit(0))).when(n == 6, F.slice("tfs", 1, 5)).otherwise(F.col("tfs")).alias("tfs"),
+        "lengths", F.when(n == 5, F.lit(0.0)).otherwise(F.col("top")).alias("top"))
+    # the maxima are of the true mean length, so only the rule of the mean sees another total
+    broken = replace(built, terms=terms, lists=lists, total_length=built.total_length + 1000)
+    found = [postings.rule_violations(p).select(F.lit(state).alias("state"), "rule", "violations")
+             for state, p in (("built", built), ("planted", broken))]
+    return found[0].unionByName(found[1])
 
 
 @query(f"""WITH {_DOC_TERMS}, {term_sql("benchmark", "item_id", "text", "asked_tf")},
@@ -63,7 +92,7 @@ SELECT query_id, row_id AS doc_id, rank::INT AS rank, round(score, 9) AS score F
 def bm25_topk(spark, sf_dir):
     """Ten best documents per benchmark item by BM25."""
     asked = benchmark_questions(spark, sf_dir).select(F.col("question_id").alias("query_id"), F.col("question").alias("text"))
-    hits = lexical.bm25_search(_document_index(spark, sf_dir), asked, 10)
+    hits = postings.search(postings.invert(_document_index(spark, sf_dir)), asked, 10)
     return hits.select("query_id", F.col("row_id").alias("doc_id"), "rank", F.round("score", 9).alias("score"))
 
 

@@ -50,6 +50,11 @@ def staging_root(spark: SparkSession) -> str:
     return "file://" + _own_folders[app]
 
 
+def staged_path(spark: SparkSession, label: str) -> str:
+    """A new place for a table in the shared folder."""
+    return os.path.join(staging_root(spark), f"{label}-{uuid.uuid4().hex}")
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -57,7 +62,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     loss of an executor, is column-pruned on every later read, and ends the lineage.
     """
     spark = df.sparkSession
-    path = os.path.join(staging_root(spark), f"{label}-{uuid.uuid4().hex}")
+    path = staged_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
