@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import functions as F
 
 from citefold.operators import audit, chunking, citations, corpus, dense, encoding, fusion, generation, lexical, selection
-from citefold.operators.scale import dense_row_ids
+from citefold.operators.scale import number_rows
 from citefold.session import build_session, stage
 from citefold.sources import dataset, pdf, store
 
@@ -25,9 +25,8 @@ def build_index(spark, folder: str, destination: str, extractor: str = "pymupdf"
     by_content = stage(read.groupBy("doc_id").agg(
         F.min("source").alias("source"), F.array_sort(F.collect_set("source")).alias("sources")), "aliases")
     documents = read.join(by_content, ["doc_id", "source"]).drop("error")
-    chunks = corpus.unique_chunks(dense_row_ids(chunking.identify(
-        chunking.page_windows(documents, target, overlap)), ["doc_id", "chunk_index"]))
-    chunks = stage(chunks, "numbered-chunks")
+    made = stage(chunking.identify(chunking.page_windows(documents, target, overlap)), "chunks")
+    chunks = stage(corpus.unique_chunks(number_rows(made, ["doc_id"], "chunk_index")), "numbered-chunks")
     vectors = encoding.encode_texts(chunks, unusable="fail").withColumnRenamed("vector", "embedding")
     store.publish_chunks(spark, f"{destination}/chunks", chunks.join(vectors, "row_id"), PROFILE)
     store.publish_lexical(spark, f"{destination}/lexical", lexical.build_index(chunks),

@@ -37,24 +37,28 @@ def freeze_documents(documents: DataFrame, key: str, source: str) -> DataFrame:
 def unique_chunks(chunks: DataFrame, position: str = "row_id") -> DataFrame:
     """First occurrence per chunk id; aliases united; a located copy supplies the location.
 
-    Copies that are located at different spans are an error, not a choice.
+    Copies that are located at different spans are an error, not a choice. Only ids, positions and aliases are
+    aggregated; of chunks with copies the first row stays, and where it is not located, the location of the first located
+    copy is fetched. ``chunks`` is read up to three times, so it should be a written table.
     """
     located = F.col("location_status") == "located"
-    rest = [c for c in chunks.columns if c not in ("chunk_id", "sources", *_LOCATION)]
-    place = F.struct(*_LOCATION)
+    rest = [c for c in chunks.columns if c not in ("sources", *_LOCATION)]
+    spans = F.when(located, F.xxhash64("source_spans"))
     merged = chunks.groupBy("chunk_id").agg(
-        F.min_by(F.struct(*rest), F.col(position)).alias("_first"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"),
-        F.min_by(place, F.struct(F.when(located, 0).otherwise(1), F.col(position))).alias("_place"),
-        F.min(F.when(located, F.xxhash64("source_spans"))).alias("_lo"),
-        F.max(F.when(located, F.xxhash64("source_spans"))).alias("_hi"),
-    )
-    return merged.select(
-        "chunk_id", "_first.*", "sources",
-        F.when(F.coalesce(F.col("_lo") != F.col("_hi"), F.lit(False)),
-               F.raise_error(F.lit("conflicting verified locations for one chunk")))
-        .otherwise(F.col("_place")).alias("_place"),
-    ).select("chunk_id", *rest, "sources", "_place.*")
+        F.min(position).alias("_first"), F.min(F.when(located, F.col(position))).alias("_located"), F.count("*").alias("_n"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("_aliases"),
+        F.min(spans).alias("_lo"), F.max(spans).alias("_hi"))
+    same = F.when(F.coalesce(F.col("_lo") != F.col("_hi"), F.lit(False)),
+                  F.raise_error(F.lit("conflicting verified locations for one chunk")).cast("boolean")).otherwise(F.lit(True))
+    copied = stage(merged.filter((F.col("_n") > 1) & same).select("chunk_id", "_first", "_located", "_aliases"), "copied-chunks")
+    kept = measured_join(chunks, copied, ["chunk_id"], "left").filter(
+        F.col("_first").isNull() | (F.col(position) == F.col("_first")))
+    elsewhere = copied.filter(F.col("_located") != F.col("_first")).select(F.col("_located").alias(position))
+    places = measured_join(chunks.select("chunk_id", position, F.struct(*_LOCATION).alias("_there")), elsewhere, [position], "left_semi")
+    placed = measured_join(kept, stage(places.select("chunk_id", "_there"), "other-places"), ["chunk_id"], "left")
+    return placed.select(
+        *rest, F.coalesce("_aliases", F.array_sort(F.array_distinct("sources"))).alias("sources"),
+        *[F.when(F.col("_there").isNotNull(), F.col(f"_there.{c}")).otherwise(F.col(c)).alias(c) for c in _LOCATION])
 
 
 def upsert_chunks(stored: DataFrame, incoming: DataFrame, encode, next_row: int) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -82,3 +84,53 @@ def changed_vectors(left: DataFrame, right: DataFrame, tolerance: float) -> Data
         right.select("row_id", F.col("vector").alias("b")), "row_id", "full_outer")
     apart = F.exists(F.zip_with("a", "b", lambda x, y: F.abs(x.cast("double") - y.cast("double"))), lambda d: d > tolerance)
     return both.filter(F.col("a").isNull() | F.col("b").isNull() | apart).select("row_id")
+
+
+class ClippedInputs:
+    """Stand-in for an encoder's preprocessing: what the model is given against the ids of the whole text.
+
+    ``limit`` cuts long inputs and ``piece`` cuts long tokens, as silent settings of a real preprocessor do.
+    """
+
+    def __init__(self, limit: int | None = None, piece: int | None = None, pattern: str = r"\w+|[^\w\s]"):
+        self.limit, self.piece, self._tokens = limit, piece, re.compile(pattern).findall
+
+    def token_ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array([zlib.crc32(t.encode()) for t in self._tokens(text)], np.int64) for text in texts]
+
+    def model_inputs(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array([zlib.crc32(t[:self.piece].encode()) for t in self._tokens(text)[:self.limit]], np.int64) for text in texts]
+
+
+def first_difference(a: np.ndarray, b: np.ndarray) -> int | None:
+    """Position of the first unequal id of two streams; where one ends inside the other, its length; null for equal ones."""
+    n = min(len(a), len(b))
+    apart = np.flatnonzero(a[:n] != b[:n])
+    return int(apart[0]) if len(apart) else None if len(a) == len(b) else n
+
+
+def input_differences(texts: DataFrame, encoder: Callable[[], object], prompt: str = "") -> DataFrame:
+    """(row_id, full_length, actual_length, first_difference, full_crc, actual_crc) of inputs that the encoder alters.
+
+    ``encoder`` makes an object with ``token_ids`` (ids of whole texts) and ``model_inputs`` (ids that the model receives,
+    padding removed). Both streams are held batch by batch and compared where they arise; only altered rows leave the task.
+    A null text is empty.
+    """
+    key = dict(texts.dtypes)["row_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = encoder()
+        for batch in batches:
+            inputs = [t or "" for t in batch.column("text").to_pylist()]
+            full, actual = made.token_ids(inputs), made.model_inputs(inputs)
+            where = [first_difference(a, b) for a, b in zip(full, actual)]
+            rows = [i for i, w in enumerate(where) if w is not None]
+            crc = lambda ids: pa.array([zlib.crc32(ids[i].astype("<i8").tobytes()) for i in rows], pa.int64())
+            size = lambda ids: pa.array([len(ids[i]) for i in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row_id").take(pa.array(rows, pa.int64())), size(full), size(actual),
+                 pa.array([where[i] for i in rows], pa.int64()), crc(full), crc(actual)],
+                ["row_id", "full_length", "actual_length", "first_difference", "full_crc", "actual_crc"])
+
+    prompted = texts.select("row_id", with_prompt(F.coalesce("text", F.lit("")), prompt).alias("text"))
+    return prompted.mapInArrow(run, f"row_id {key}, full_length long, actual_length long, first_difference long, full_crc long, actual_crc long")

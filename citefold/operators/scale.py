@@ -94,3 +94,39 @@ def dense_row_ids(df: DataFrame, order: list[str], name: str = "row_id") -> Data
     return (laid_out.join(F.broadcast(offsets), "_part")  # one row per partition
             .withColumn(name, F.col("_offset") + F.col("_local"))
             .drop("_part", "_local", "_offset"))
+
+
+def running_totals(df: DataFrame, order: list[str], values: dict[str, Column]) -> DataFrame:
+    """``df`` with, for each name in ``values``, the sum of that column over all rows before in global ``order``.
+
+    The rows, which should be narrow, are range-partitioned, sorted and written once; sums run inside the partitions, and
+    one row per partition is brought together.
+    """
+    from citefold.session import stage
+
+    names = {n: f"_v{i}" for i, n in enumerate(values)}
+    laid = stage(df.withColumns({names[n]: c.cast("long") for n, c in values.items()}).repartitionByRange(*order)
+                 .sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+                 .withColumn("_part", F.shiftright("_at", 33)), "running-order")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    parts = laid.groupBy("_part").agg(*[F.sum(v).alias(v) for v in names.values()]).select(
+        "_part", *[F.coalesce(F.sum(v).over(before), zero).alias(f"{v}_before") for v in names.values()])
+    return laid.join(F.broadcast(parts), "_part").select(  # one row per partition
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[(F.col(f"{v}_before") + F.coalesce(F.sum(v).over(inside), zero)).alias(n) for n, v in names.items()])
+
+
+def number_rows(staged: DataFrame, key: list[str], index: str, name: str = "row_id") -> DataFrame:
+    """Contiguous 0-based positions in the order of ``key``, then ``index``, which runs from 0 inside each key.
+
+    Only (key, rows) is sorted; the rows themselves stay where they are and learn where their key starts by a measured
+    broadcast, or a join where there are very many keys. ``staged`` is read twice, so it should be a written table.
+    """
+    from citefold.session import stage
+
+    sizes = staged.groupBy(*key).agg((F.max(index) + 1).alias("_n"))
+    starts = stage(running_totals(sizes, key, {"_start": F.col("_n")}).drop("_n"), "row-starts")
+    return (measured_join(staged, starts, key).withColumn(name, F.col("_start") + F.col(index)).drop("_start")
+            .select(*staged.columns, name))

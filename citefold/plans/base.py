@@ -12,7 +12,7 @@ from citefold.functions.analyzer import ELEMENTS, STOP_WORDS
 from citefold.functions.identity import IDENTITY_VERSION
 from citefold.functions.text import DEFAULT_TOKEN, DROPPED_SYMBOL, SPACE
 from citefold.operators import chunking, corpus, dense, encoding, fusion, lexical, quotes
-from citefold.operators.scale import dense_row_ids, measured_join
+from citefold.operators.scale import measured_join, number_rows
 from citefold.session import spread, stage, table
 
 SIZE, OVERLAP = 120, 20
@@ -37,8 +37,8 @@ def frozen_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_table(documents: DataFrame) -> DataFrame:
     """Identified word-window chunks, numbered from 0 in document order, then chunk order."""
-    made = chunking.identify(chunking.word_windows(documents, SIZE, OVERLAP))
-    return dense_row_ids(made, ["doc_key", "chunk_index"]).withColumn(
+    made = stage(chunking.identify(chunking.word_windows(documents, SIZE, OVERLAP)), "chunks")
+    return number_rows(made, ["doc_key"], "chunk_index").withColumn(
         "title", F.concat(F.lit("document "), F.col("doc_key").cast("string")))
 
 
@@ -105,7 +105,7 @@ def search_benchmark(spark: SparkSession, sf_dir: str, documents: DataFrame | No
                      window: int = WINDOW) -> Search:
     """Dense, lexical and fused rankings of every benchmark item over all chunks."""
     documents = frozen_documents(spark, sf_dir) if documents is None else documents
-    chunks = stage(chunk_table(documents), "chunks")
+    chunks = chunk_table(documents)
     index = lexical.build_index(chunks)
     items = benchmark_questions(spark, sf_dir)
     asked = items.select(F.col("question_id").alias("row_id"), F.col("question").alias("text"))
