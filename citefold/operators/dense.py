@@ -115,7 +115,9 @@ class _CountAbove:
         return [ids, np.broadcast_to(self.counts, ids.shape).astype(np.int64)]
 
 
-def _scores(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+def _scores(vectors: np.ndarray, queries: np.ndarray, metric: str, norms: np.ndarray | None = None) -> np.ndarray:
+    if norms is not None and metric == "cosine":  # stored with the vectors
+        return np.round(np.clip(queries @ vectors.T / norms, -1.0, 1.0), SCORE_DIGITS)
     rows = _unit_rows(vectors, "document")
     if metric == "dot":
         rows = vectors
@@ -123,11 +125,12 @@ def _scores(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray
     return np.round(raw if metric == "dot" else np.clip(raw, -1.0, 1.0), SCORE_DIGITS)
 
 
-def _add_tiles(state, rows: np.ndarray, vectors: np.ndarray, queries: np.ndarray, metric: str, tile_bytes: int) -> None:
+def _add_tiles(state, rows: np.ndarray, vectors: np.ndarray, queries: np.ndarray, metric: str, tile_bytes: int,
+               norms: np.ndarray | None = None) -> None:
     """Feed ``state`` in tiles of rows whose score matrix takes at most ``tile_bytes`` (one row at least)."""
     step = max(1, tile_bytes // (8 * max(1, len(queries))))
     for at in range(0, len(rows), step):
-        state.add(rows[at:at + step], _scores(vectors[at:at + step], queries, metric))
+        state.add(rows[at:at + step], _scores(vectors[at:at + step], queries, metric, None if norms is None else norms[at:at + step]))
 
 
 def _scan(vectors: DataFrame, queries: DataFrame, make, schema: str, metric: str,
@@ -138,6 +141,7 @@ def _scan(vectors: DataFrame, queries: DataFrame, make, schema: str, metric: str
     are scanned once, without a shuffle. A larger one takes the block form: both sides are cut
     into memory-sized blocks and each pair of blocks meets once; nothing passes the driver.
     """
+    held_norms = ["norm"] if "norm" in vectors.columns else []
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
     dim, count = size["d"] or 1, size["n"]
     prepare = (lambda m: _unit_rows(m, "query")) if metric == "cosine" else (lambda m: m)
@@ -156,17 +160,18 @@ def _scan(vectors: DataFrame, queries: DataFrame, make, schema: str, metric: str
             for batch in batches:
                 if batch.num_rows:
                     rows = batch.column("row_id").to_numpy(zero_copy_only=False)
-                    _add_tiles(state, rows, _matrix(batch.column("vector"), dim), matrix, metric, block_bytes)
+                    norms = batch.column("norm").to_numpy(zero_copy_only=False) if held_norms else None
+                    _add_tiles(state, rows, _matrix(batch.column("vector"), dim), matrix, metric, block_bytes, norms)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(state.columns(ids), arrow_schema)], schema=arrow_schema)
 
-        return vectors.select("row_id", "vector").mapInArrow(scan, schema)
+        return vectors.select("row_id", "vector", *held_norms).mapInArrow(scan, schema)
 
     per_block = max(1, block_bytes // (8 * dim))
     row_blocks = max(1, -(-vectors.count() // per_block))
     # a tile of scores is as large as a block at most, so a block holds no more queries than a square tile has
     query_blocks = max(1, -(-count // max(1, min(per_block, math.isqrt(block_bytes // 8)))))
-    left = (vectors.select("row_id", "vector")
+    left = (vectors.select("row_id", "vector", *held_norms)
             .withColumn("rb", F.pmod(F.xxhash64("row_id"), F.lit(row_blocks)).cast("int"))
             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))))
     right = (queries.select("query_id", "vector")
@@ -180,7 +185,8 @@ def _scan(vectors: DataFrame, queries: DataFrame, make, schema: str, metric: str
             return pd.DataFrame({n: [] for n in names})
         if not rows.empty:
             stacked = lambda part: np.stack(part["vector"].to_numpy()).astype(np.float64)
-            _add_tiles(state, rows["row_id"].to_numpy(), stacked(rows), prepare(stacked(asked)), metric, block_bytes)
+            norms = rows["norm"].to_numpy() if held_norms else None
+            _add_tiles(state, rows["row_id"].to_numpy(), stacked(rows), prepare(stacked(asked)), metric, block_bytes, norms)
         return pd.DataFrame(dict(zip(names, state.columns(asked["query_id"].to_numpy()))))
 
     return left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(meet, schema)
@@ -190,7 +196,8 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str =
                   broadcast_limit: int = BROADCAST_LIMIT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, row_id, score, rank) of the exact k best rows per query; lower row first on ties.
 
-    ``vectors``: (row_id, vector); ``queries``: (query_id, vector).
+    ``vectors``: (row_id, vector), with a column ``norm`` if the lengths are stored, which are then not worked out again;
+    ``queries``: (query_id, vector).
     """
     check_limit(k)
     if metric not in ("cosine", "dot"):

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citefold.functions.text import unique_alignment, words
-from citefold.operators.scale import BROADCAST_LIMIT, measured_bytes, measured_join
+from citefold.operators.scale import measured_bytes, measured_join
 from citefold.session import stage
 
 SEED_WORDS = 4
@@ -54,19 +58,121 @@ def find_quotes(texts: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def _scan(texts: DataFrame, short: DataFrame) -> DataFrame:
-    """Direct search for the few quotes of one or two words, in measured blocks."""
+    """Direct search for the few quotes of one or two words: one pass of an automaton over each text."""
+    found = align_quotes(texts, short, normalized=False)
+    return found.filter("text_id is not null").select("quote_id", "text_id")
+
+
+# ---- all statuses by an automaton ---------------------------------------------------------------
+
+AUTOMATON_BYTES = 16 << 20  # quotes that one automaton holds; more take further passes over the texts
+
+
+def squeeze(text: str) -> str:
+    """Compatibility form without white space."""
+    return "".join((text if text.isascii() else unicodedata.normalize("NFKC", text)).split())
+
+
+def squeezed_offsets(text: str) -> tuple[str, list[int]] | None:
+    """(squeezed text, raw position of each of its characters); null where characters join across a starter.
+
+    The text is normalised in pieces, each a starter with the marks that follow it.
+    """
+    out, at, begin = [], [], 0
+    for i in range(1, len(text) + 1):
+        if i == len(text) or not unicodedata.combining(text[i]):
+            piece = squeeze(text[begin:i])
+            out.append(piece)
+            at += [begin] * len(piece)
+            begin = i
+    joined = "".join(out)
+    return (joined, at) if joined == squeeze(text) else None
+
+
+class QuoteAutomaton:
+    """Aho-Corasick automata over raw and squeezed quotes: one run over a text finds all quotes in it."""
+
+    def __init__(self, quotes: list[tuple], normalized: bool):
+        self.raw, self.plain = self._build((q, i) for i, q in quotes), None
+        if normalized:
+            self.plain = self._build((squeeze(q), i) for i, q in quotes)
+
+    @staticmethod
+    def _build(items):
+        groups: dict[str, list] = {}
+        for quote, number in items:
+            if quote:
+                groups.setdefault(quote, []).append(number)
+        if not groups:
+            return None
+        automaton = ahocorasick.Automaton()
+        for quote, numbers in groups.items():
+            automaton.add_word(quote, (len(quote), numbers))
+        automaton.make_automaton()
+        return automaton
+
+    @staticmethod
+    def _places(automaton, text: str) -> dict:
+        """number -> (start, end, whether it occurs again)."""
+        found: dict = {}
+        for end, (size, numbers) in automaton.iter(text) if automaton else ():
+            for number in numbers:
+                old = found.get(number)
+                found[number] = (end + 1 - size, end + 1, False) if old is None else (*old[:2], True)
+        return found
+
+    def align(self, text: str) -> list[tuple]:
+        """(number, status, char_start, char_end, near_start, near_end) of every quote that the text holds."""
+        exact = self._places(self.raw, text)
+        out = [(n, "ambiguous", None, None, None, None) if again else (n, "exact_unique", a, b, a, b) for n, (a, b, again) in exact.items()]
+        if self.plain is None:
+            return out
+        plain = squeeze(text)
+        near = {n: v for n, v in self._places(self.plain, plain).items() if n not in exact}
+        if near:
+            mapped = squeezed_offsets(text)
+            for n, (a, b, again) in near.items():
+                span = (None, None) if again or mapped is None else (mapped[1][a], mapped[1][b - 1] + 1)
+                out.append((n, "normalized_only_no_source_offsets", None, None, *span))
+        return out
+
+
+def align_quotes(texts: DataFrame, quotes: DataFrame, normalized: bool = True, limit: int = AUTOMATON_BYTES) -> DataFrame:
+    """(quote_id, text_id, status, char_start, char_end, near_start, near_end): every quote with every text that holds it.
+
+    ``texts``: text_id, text; ``quotes``: quote_id, quote, ids unique. Status is exact_unique (with offsets), ambiguous,
+    normalized_only_no_source_offsets (equal after compatibility normalisation without white space; ``near_*`` say where
+    in the raw text, if it is the only such place), or for a quote that no text holds, unmatched or empty, with a null
+    text_id. Each text is read once for each ``limit`` bytes of quotes. Offsets count code points.
+    """
     spark = texts.sparkSession
-    blocks = 1 + measured_bytes(short) // BROADCAST_LIMIT
-    key = dict(short.dtypes)["quote_id"]
-    out = None
+    listed = stage(quotes.select("quote_id", F.coalesce("quote", F.lit("")).alias("quote")), "quotes")
+    blocks = 1 + measured_bytes(listed) // limit
+    quote_type, text_type = dict(listed.dtypes)["quote_id"], dict(texts.dtypes)["text_id"]
+    from citefold.operators.dense import _arrow_schema
+
+    schema = (f"quote_id {quote_type}, text_id {text_type}, status string, char_start int, char_end int, near_start int, near_end int")
+    arrow = _arrow_schema(spark, schema)
+    found = None
     for block in range(blocks):
-        held = short.filter(F.pmod(F.xxhash64("quote_id"), F.lit(blocks)) == block).toPandas()
-        shared = spark.sparkContext.broadcast(list(held.itertuples(index=False, name=None)))
+        own = listed.filter((F.pmod(F.xxhash64("quote_id"), F.lit(blocks)) == block) & (F.col("quote") != ""))
+        held = [(r.quote_id, r.quote) for r in own.collect()]  # a measured block
+        shared = spark.sparkContext.broadcast(held)
 
-        @F.pandas_udf(f"array<{key}>")
-        def present(column: pd.Series) -> pd.Series:
-            return column.map(lambda t: [i for i, q in shared.value if q in (t or "")])
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            automaton = QuoteAutomaton(shared.value, normalized)
+            for batch in batches:
+                rows = []
+                for number, text in zip(batch.column("text_id").to_pylist(), batch.column("text").to_pylist()):
+                    rows += [(q, number, *rest) for q, *rest in automaton.align(text or "")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(
+                    zip(*rows) if rows else [[]] * len(arrow), arrow)], schema=arrow)
 
-        found = texts.select("text_id", F.explode(present("text")).alias("quote_id")).select("quote_id", "text_id")
-        out = found if out is None else out.unionByName(found)
-    return out
+        part = texts.select("text_id", "text").mapInArrow(run, schema)
+        found = part if found is None else found.unionByName(part)
+    found = stage(found, "aligned-quotes")
+    none = lambda kind: F.lit(None).cast(kind)
+    rest = listed.join(found.select("quote_id").distinct(), "quote_id", "left_anti").select(
+        "quote_id", none(text_type).alias("text_id"), F.when(F.col("quote") == "", "empty").otherwise("unmatched").alias("status"),
+        *[none("int").alias(c) for c in ("char_start", "char_end", "near_start", "near_end")])
+    return found.unionByName(rest)

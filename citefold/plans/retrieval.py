@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citefold.operators import dense, fusion, lexical, metrics, postings, rerank, stats
 from citefold.plans.base import SEARCH, benchmark_questions, bm25_sql, raw_documents, search_benchmark, term_sql
 from citefold.plans.registry import query
-from citefold.session import spread, stage, table
+from citefold.session import spread, stage, staged_path, table
+from citefold.sources.vectors import read_vectors, write_vectors
 
 _DOC_TERMS = term_sql("(SELECT doc_id AS row_id, text FROM documents)", "row_id", "text", "tf")
 
@@ -138,6 +141,36 @@ def cosine_topk_blocks(spark, sf_dir):
     return hits.select("query_id", F.col("row_id").alias("vec_id"), "rank", F.round("score", 9).alias("score"))
 
 
+def _published(spark, sf_dir):
+    """The stored vectors as a published folder."""
+    folder = staged_path(spark, "vector-folder")
+    write_vectors(_stored_vectors(spark, sf_dir).select("row_id", "vector"), folder)
+    return folder
+
+
+@query(f"WITH {_STORED} SELECT query_id, vec_id, rank::INT AS rank, round(score, 9) AS score FROM ranked WHERE rank <= 10")
+def published_topk(spark, sf_dir):
+    """The same ranking from a published folder, whose stored norms the search uses."""
+    hits = dense.cosine_search(read_vectors(spark, _published(spark, sf_dir)), _centroids(_stored_vectors(spark, sf_dir)), 10)
+    return hits.select("query_id", F.col("row_id").alias("vec_id"), "rank", F.round("score", 9).alias("score"))
+
+
+@query("""WITH v AS (
+  SELECT vec_id AS row_id, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm, embedding[1]::DOUBLE AS first FROM embeddings)
+SELECT 'point' AS read, row_id, round(norm, 9) AS norm, first FROM v WHERE row_id = 7
+UNION ALL SELECT 'list', row_id, round(norm, 9), first FROM v WHERE row_id IN (3, 77, 411)
+UNION ALL SELECT 'slice', row_id, round(norm, 9), first FROM v WHERE row_id >= 100 AND row_id < 120
+UNION ALL SELECT 'scan', row_id, round(norm, 9), first FROM v""")
+def published_reads(spark, sf_dir):
+    """Point, list, slice and full reads of a published vector folder; filters reach the data source."""
+    folder = _published(spark, sf_dir)
+    parts = {"point": "row_id = 7", "list": "row_id in (3, 77, 411)", "slice": "row_id >= 100 and row_id < 120", "scan": None}
+    shown = [read_vectors(spark, folder, condition).select(
+        F.lit(n).alias("read"), "row_id", F.round("norm", 9).alias("norm"), F.get("vector", F.lit(0)).cast("double").alias("first"))
+        for n, condition in parts.items()]
+    return reduce(DataFrame.unionByName, shown)
+
+
 @query(f"""WITH {_STORED} SELECT query_id, vec_id, rank::INT AS rank, round(score, 9) AS score
 FROM ranked WHERE rank <= 10 AND score >= 0.3""")
 def cosine_threshold_after_topk(spark, sf_dir):

@@ -165,15 +165,30 @@ def upsert_new_only(spark, sf_dir):
                          F.array_join("sources", ",").alias("sources"))
 
 
-@query(f"""WITH {CORPUS}, {PAGES}, {ANCHORS}
-SELECT question_id, doc_key, CASE WHEN again > 0 THEN 'ambiguous' ELSE 'exact_unique' END AS status,
-       CASE WHEN again = 0 THEN (p - 1)::INT END AS char_start, CASE WHEN again = 0 THEN (p - 1 + length(quote))::INT END AS char_end
-FROM found""")
+def _bare(column: str) -> str:
+    return f"regexp_replace({column}, '[{SPACE}]+', '', 'g')"
+
+
+@query(f"""WITH {CORPUS}, asked AS (
+  SELECT item_id AS question_id, CASE WHEN item_id % 9 = 4 THEN '' WHEN item_id % 8 = 3 THEN text || ' zq'
+    WHEN item_id % 5 = 1 THEN replace(text, ' ', '  ') WHEN item_id % 7 = 2 THEN substr(text, 1, 6) ELSE text END AS quote FROM benchmark),
+bare AS (SELECT question_id, quote, {_bare("quote")} AS b FROM asked WHERE quote <> ''),
+texts AS (SELECT doc_key, text, {_bare("text")} AS b FROM corpus),
+met AS (
+  SELECT q.question_id, t.doc_key, q.quote, strpos(t.text, q.quote) AS p, strpos(substr(t.text, strpos(t.text, q.quote) + 1), q.quote) AS again
+  FROM bare q JOIN texts t ON contains(t.text, q.quote) OR contains(t.b, q.b)),
+placed AS (SELECT question_id, doc_key, CASE WHEN p = 0 THEN 'normalized_only_no_source_offsets' WHEN again > 0 THEN 'ambiguous' ELSE 'exact_unique' END AS status,
+  CASE WHEN p > 0 AND again = 0 THEN (p - 1)::INT END AS char_start, CASE WHEN p > 0 AND again = 0 THEN (p - 1 + length(quote))::INT END AS char_end FROM met)
+SELECT * FROM placed UNION ALL SELECT question_id, NULL, CASE WHEN quote = '' THEN 'empty' ELSE 'unmatched' END, NULL, NULL
+FROM asked WHERE question_id NOT IN (SELECT question_id FROM placed)""")
 def quote_alignment(spark, sf_dir):
-    """Benchmark passages found verbatim in documents, with offsets where the occurrence is unique."""
+    """Benchmark passages in documents with all five statuses; some are respaced, shortened, emptied or changed."""
     docs = frozen_documents(spark, sf_dir).select(F.col("doc_key").alias("text_id"), "text")
-    asked = benchmark_questions(spark, sf_dir).select(F.col("question_id").alias("quote_id"), F.col("question").alias("quote"))
-    return quotes.find_quotes(docs, asked).select(
+    i, text = F.col("question_id"), F.col("question")
+    quote = (F.when(i % 9 == 4, "").when(i % 8 == 3, F.concat(text, F.lit(" zq"))).when(i % 5 == 1, F.replace(text, F.lit(" "), F.lit("  ")))
+             .when(i % 7 == 2, F.substring(text, 1, 6)).otherwise(text))
+    asked = benchmark_questions(spark, sf_dir).select(i.alias("quote_id"), quote.alias("quote"))
+    return quotes.align_quotes(docs, asked).select(
         F.col("quote_id").alias("question_id"), F.col("text_id").alias("doc_key"), "status", "char_start", "char_end")
 
 
