@@ -9,7 +9,12 @@ from citefold.functions.identity import IDENTITY_VERSION, chunk_id, document_id
 from citefold.operators.scale import dense_row_ids, measured_join
 from citefold.session import stage
 
-_LOCATION = ("location_status", "location_reason", "page_numbers", "source_spans")
+_LOCATION = ("location_status", "location_reason", "location_version", "page_numbers", "source_spans")
+
+
+def _place(chunks: DataFrame) -> list[str]:
+    """The location columns that ``chunks`` has; the version may be missing in older tables."""
+    return [c for c in _LOCATION if c in chunks.columns]
 
 
 def freeze_documents(documents: DataFrame, key: str, source: str) -> DataFrame:
@@ -41,8 +46,9 @@ def unique_chunks(chunks: DataFrame, position: str = "row_id") -> DataFrame:
     aggregated; of chunks with copies the first row stays, and where it is not located, the location of the first located
     copy is fetched. ``chunks`` is read up to three times, so it should be a written table.
     """
+    place = _place(chunks)
     located = F.col("location_status") == "located"
-    rest = [c for c in chunks.columns if c not in ("sources", *_LOCATION)]
+    rest = [c for c in chunks.columns if c not in ("sources", *place)]
     spans = F.when(located, F.xxhash64("source_spans"))
     merged = chunks.groupBy("chunk_id").agg(
         F.min(position).alias("_first"), F.min(F.when(located, F.col(position))).alias("_located"), F.count("*").alias("_n"),
@@ -54,11 +60,11 @@ def unique_chunks(chunks: DataFrame, position: str = "row_id") -> DataFrame:
     kept = measured_join(chunks, copied, ["chunk_id"], "left").filter(
         F.col("_first").isNull() | (F.col(position) == F.col("_first")))
     elsewhere = copied.filter(F.col("_located") != F.col("_first")).select(F.col("_located").alias(position))
-    places = measured_join(chunks.select("chunk_id", position, F.struct(*_LOCATION).alias("_there")), elsewhere, [position], "left_semi")
+    places = measured_join(chunks.select("chunk_id", position, F.struct(*place).alias("_there")), elsewhere, [position], "left_semi")
     placed = measured_join(kept, stage(places.select("chunk_id", "_there"), "other-places"), ["chunk_id"], "left")
     return placed.select(
         *rest, F.coalesce("_aliases", F.array_sort(F.array_distinct("sources"))).alias("sources"),
-        *[F.when(F.col("_there").isNotNull(), F.col(f"_there.{c}")).otherwise(F.col(c)).alias(c) for c in _LOCATION])
+        *[F.when(F.col("_there").isNotNull(), F.col(f"_there.{c}")).otherwise(F.col(c)).alias(c) for c in place])
 
 
 def upsert_chunks(stored: DataFrame, incoming: DataFrame, encode, next_row: int) -> DataFrame:
@@ -71,7 +77,8 @@ def upsert_chunks(stored: DataFrame, incoming: DataFrame, encode, next_row: int)
     unseen = fresh.join(stored.select("chunk_id"), "chunk_id", "left_anti").withColumnRenamed("row_id", "_order")
     numbered = dense_row_ids(unseen, ["_order", "chunk_id"]).drop("_order")
     new = encode(numbered.withColumn("row_id", F.col("row_id") + F.lit(next_row)))
-    old, again = F.struct(*_LOCATION), F.col("_again")
+    names = [c for c in _place(stored) if c in fresh.columns]
+    old, again = F.struct(*names), F.col("_again")
     located = lambda place: F.coalesce(place["location_status"] == "located", F.lit(False))
     moved = located(old) & located(again) & (old["source_spans"] != again["source_spans"])
     place = (F.when(moved, F.raise_error(F.lit("conflicting verified locations for one chunk")))
@@ -79,7 +86,7 @@ def upsert_chunks(stored: DataFrame, incoming: DataFrame, encode, next_row: int)
     more = fresh.select("chunk_id", F.col("sources").alias("_more"), old.alias("_again"))
     merged = stored.join(more, "chunk_id", "left").withColumn("_place", place).withColumn(
         "sources", F.array_sort(F.array_union("sources", F.coalesce("_more", F.col("sources")))))
-    merged = merged.select(*[F.col("_place")[c].alias(c) if c in _LOCATION else c for c in stored.columns])
+    merged = merged.select(*[F.col("_place")[c].alias(c) if c in names else c for c in stored.columns])
     return merged.unionByName(new.select(*merged.columns))
 
 

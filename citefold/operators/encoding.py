@@ -50,11 +50,41 @@ def over_limit(texts: DataFrame, limit: int, prompt: str = "") -> DataFrame:
     return counted.filter(F.col("token_count") > limit)
 
 
+BATCH_BYTES = 4 << 20  # a padded batch given to an encoder
+BATCH_TEXTS = 64
+
+
+def length_batches(lengths: list[int], budget: int = BATCH_BYTES, most: int = BATCH_TEXTS) -> list[list[int]]:
+    """Numbers of the inputs of each batch, similar lengths together.
+
+    A batch of n inputs, padded to its longest, takes n * longest bytes, which stays within ``budget`` (and n within
+    ``most``), unless one input alone is longer.
+    """
+    out: list[list[int]] = []
+    for i in sorted(range(len(lengths)), key=lambda i: (lengths[i], i)):
+        if out and len(out[-1]) < most and (len(out[-1]) + 1) * lengths[i] <= budget:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
+def encode_bounded(model, texts: list[str], budget: int = BATCH_BYTES, most: int = BATCH_TEXTS) -> np.ndarray:
+    """Vectors of ``texts`` in their order, encoded in length batches."""
+    rows: list = [None] * len(texts)
+    for batch in length_batches([len(t.encode()) for t in texts], budget, most):
+        for i, row in zip(batch, np.asarray(model.encode([texts[i] for i in batch]), dtype=np.float64)):
+            rows[i] = row
+    return np.stack(rows) if rows else np.zeros((0, 1))
+
+
 def encode_texts(texts: DataFrame, encoder: Callable[[], object] = HashingEncoder, prompt: str = "",
-                 unusable: str = "fail") -> DataFrame:
+                 unusable: str = "fail", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(row_id, vector array<float>): finite unit vectors, one encoder per task.
 
-    A zero or non-finite vector fails the job, or with ``unusable="drop"`` drops its row.
+    A zero or non-finite vector fails the job, or with ``unusable="drop"`` drops its row; a null text is empty. Inside an
+    Arrow batch, whose rows the session bounds, the encoder is given inputs of similar length whose padded size stays
+    within ``batch_bytes``: a task holds the Arrow batch, its vectors and max(batch_bytes, longest input) at once.
     """
     if unusable not in ("fail", "drop"):
         raise ValueError("unusable is 'fail' or 'drop'")
@@ -63,7 +93,9 @@ def encode_texts(texts: DataFrame, encoder: Callable[[], object] = HashingEncode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder()
         for batch in batches:
-            raw = np.asarray(model.encode(batch.column("text").to_pylist()), dtype=np.float64)
+            if not batch.num_rows:
+                continue
+            raw = encode_bounded(model, [t or "" for t in batch.column("text").to_pylist()], batch_bytes)
             norms = np.linalg.norm(raw, axis=1)
             good = np.isfinite(raw).all(axis=1) & (norms > 0)
             if not good.all() and unusable == "fail":
