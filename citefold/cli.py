@@ -7,7 +7,8 @@ import sys
 
 from pyspark.sql import functions as F
 
-from citefold.operators import audit, chunking, citations, corpus, dense, encoding, fusion, generation, lexical, selection
+from citefold import search
+from citefold.operators import audit, chunking, citations, corpus, encoding, fusion, generation, rerank, selection
 from citefold.operators.scale import number_rows
 from citefold.session import build_session, stage
 from citefold.sources import dataset, pdf, store
@@ -27,26 +28,21 @@ def build_index(spark, folder: str, destination: str, extractor: str = "pymupdf"
     documents = read.join(by_content, ["doc_id", "source"]).drop("error")
     made = stage(chunking.identify(chunking.page_windows(documents, target, overlap)), "chunks")
     chunks = stage(corpus.unique_chunks(number_rows(made, ["doc_id"], "chunk_index")), "numbered-chunks")
-    vectors = encoding.encode_texts(chunks, unusable="fail").withColumnRenamed("vector", "embedding")
-    store.publish_chunks(spark, f"{destination}/chunks", chunks.join(vectors, "row_id"), PROFILE)
-    store.publish_lexical(spark, f"{destination}/lexical", lexical.build_index(chunks),
-                          store.binding_of(spark, f"{destination}/chunks"))
+    search.publish(spark, destination, chunks, PROFILE)
     return destination
 
 
+RERANKERS = {"none": None, "overlap": rerank.overlap_scorer}
+
+
 def ask(spark, index: str, questions: list[str], mode: str = "hybrid", sender=generation.echo_sender,
-        policy: selection.Policy = selection.Policy(), settings=generation.RequestSettings("local-model")):
+        policy: selection.Policy = selection.Policy(), settings=generation.RequestSettings("local-model"), k: int = 50,
+        threshold: float | None = None, reranker=None):
     """Answer a batch of questions: search, select, render, generate, audit, format."""
-    chunks = store.load_chunks(spark, f"{index}/chunks", PROFILE)
-    terms = store.load_lexical(spark, f"{index}/lexical", store.binding_of(spark, f"{index}/chunks"))
     asked = spark.createDataFrame(list(enumerate(questions)), "question_id long, question string")
-    texts = asked.select(F.col("question_id").alias("row_id"), F.col("question").alias("text"))
-    vectors = chunks.select("row_id", F.col("embedding").alias("vector"))
-    found = fusion.hybrid_routes(
-        dense.cosine_search(vectors, encoding.encode_texts(texts, unusable="drop").withColumnRenamed("row_id", "query_id"), 50),
-        lexical.bm25_search(terms, texts.withColumnRenamed("row_id", "query_id"), 50))
-    hits = stage(chunks.drop("embedding").join(fusion.select_mode(found, mode, 50).select(
-        F.col("query_id").alias("question_id"), "row_id", "rank", "score"), "row_id"), "hits")
+    queries = asked.select(F.col("question_id").alias("query_id"), F.col("question").alias("text"))
+    found = search.open_index(spark, index, PROFILE).search(queries, k, mode, threshold, reranker)
+    hits = stage(found.withColumnRenamed("query_id", "question_id").drop("candidate_rank", "logit"), "hits")
     chosen = stage(selection.select_evidence(hits, asked, policy, settings.body), "selection")
     picked = stage(hits.join(chosen.filter("selected").select("question_id", "rank"), ["question_id", "rank"]), "picked")
     prompts = selection.prepared_prompts(picked, asked, settings.body)
@@ -72,6 +68,9 @@ def main(argv: list[str] | None = None) -> int:
     question.add_argument("--index-dir", required=True)
     question.add_argument("--output-dir", help="also write the answers as JSON files")
     question.add_argument("--mode", choices=fusion.MODES, default="hybrid")
+    question.add_argument("--k", type=int, default=50, help="chunks considered for each question")
+    question.add_argument("--threshold", type=float, help="least cosine (dense mode)")
+    question.add_argument("--reranker", choices=sorted(RERANKERS), default="none")
     check = commands.add_parser("check-dataset", help="count rule violations of a question file")
     check.add_argument("--questions", required=True)
     args = parser.parse_args(argv)
@@ -86,7 +85,7 @@ def main(argv: list[str] | None = None) -> int:
         for row in found:
             print(row["rule"], row["violations"])
         return 1 if found else 0
-    answers = ask(spark, args.index_dir, args.question, args.mode)
+    answers = ask(spark, args.index_dir, args.question, args.mode, k=args.k, threshold=args.threshold, reranker=RERANKERS[args.reranker])
     if args.output_dir:
         answers.write.mode("errorifexists").json(args.output_dir)
     failed = 0

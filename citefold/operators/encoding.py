@@ -40,6 +40,15 @@ class HashingEncoder:
         return out
 
 
+class FilledHashingEncoder(HashingEncoder):
+    """The same, with the first coordinate set for a text without terms, so that every text can be published."""
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        out = super().encode(texts)
+        out[~out.any(1), 0] = 1.0
+        return out
+
+
 def with_prompt(text: Column, prompt: str) -> Column:
     return F.concat(F.lit(prompt), text) if prompt else text
 

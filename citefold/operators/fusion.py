@@ -35,6 +35,45 @@ def fuse_rrf(routes: dict[str, DataFrame], window: int | None = None, constant:
                          spread=["row_id"], salts=1)
 
 
+ROUTE_RULES = ("repeated_row", "bad_rank", "repeated_rank", "non_finite_score", "unknown_row", "conflicting_metadata")
+
+
+def route_violations(routes: dict[str, DataFrame], chunks: DataFrame | None = None, metadata: list[str] | None = None) -> DataFrame:
+    """(rule, route, query_id, row_id): what makes rankings unfit for fusion; one row per breach.
+
+    A row listed twice by a route, a rank that is null or below 1 or taken twice, a score that is null or not finite, a
+    row that ``chunks`` (row_id, ...) does not hold, and ``metadata`` columns of a route that differ from the chunk's.
+    """
+    named = list(metadata or [])
+    stacked = reduce(DataFrame.unionByName, [
+        hits.select(F.lit(name).alias("route"), "query_id", "row_id", "rank", "score", *named) for name, hits in routes.items()])
+    per_row = stacked.groupBy("route", "query_id", "row_id").agg(F.count("*").alias("n"))
+    per_rank = stacked.groupBy("route", "query_id", "rank").agg(F.count("*").alias("n"), F.max("row_id").alias("row_id"))
+    shown = lambda df, rule: df.select(F.lit(rule).alias("rule"), "route", "query_id", "row_id")
+    score = F.col("score")
+    found = [
+        shown(per_row.filter("n > 1"), "repeated_row"), shown(per_rank.filter("n > 1 and rank is not null"), "repeated_rank"),
+        shown(stacked.filter("rank is null or rank < 1"), "bad_rank"),
+        shown(stacked.filter(score.isNull() | F.isnan(score) | (F.abs(score) == float("inf"))), "non_finite_score")]
+    if chunks is not None:
+        held = chunks.select("row_id", F.lit(True).alias("_known"), *[F.col(c).alias(f"_{c}") for c in named])
+        met = stacked.join(held, "row_id", "left")
+        found.append(shown(met.filter(F.col("_known").isNull()), "unknown_row"))
+        if named:
+            same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in named])
+            found.append(shown(met.filter(F.col("_known") & ~same), "conflicting_metadata"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def guarded_rrf(routes: dict[str, DataFrame], chunks: DataFrame, metadata: list[str] | None = None, window: int | None = None,
+                constant: int = 60) -> DataFrame:
+    """``fuse_rrf`` of rankings without a breach; otherwise the rules broken are named in an error."""
+    broken = sorted(r.rule for r in route_violations(routes, chunks, metadata).select("rule").distinct().collect())  # a few names
+    if broken:
+        raise ValueError("rankings unfit for fusion: " + ", ".join(broken))
+    return fuse_rrf(routes, window, constant)
+
+
 def hybrid_routes(dense: DataFrame, bm25: DataFrame, window: int = 50, constant: int = 60) -> dict[str, DataFrame]:
     """The three rankings of one search, each cut at the candidate window."""
     return {"dense": dense, "bm25": bm25,
