@@ -1,35 +1,49 @@
-"""Toxicity scores from the nearest labelled examples by exact TF-IDF cosine over all their terms.
+"""Toxicity scores from the nearest labelled examples by exact TF-IDF cosine with a block-max inverted index.
 
 Terms are words and word beginnings; every term of every example is in the index, none is chosen or left out. A term's
 weight is its inverse document frequency times one plus its association with the label, so that a rare toxic word
-outweighs many topic words. Examples are a bounded sample of labelled rows. Single-precision products over all examples
-(the most frequent terms as a matrix, the others as postings) bound every cosine; the examples that can be among the
-nearest are scored again in double precision. Similarity-weighted votes are calibrated on the training rows themselves,
-each searched without itself, and weighted to the label's true share.
+outweighs many topic words.
+
+The index is built by Spark: terms of a bounded sample of labelled rows, their frequencies by aggregation, postings
+(term, example, weight) and, for the light terms, the largest weight in each block of examples. It is written to the
+shared folder and read from there by the workers; only counts reach the driver.
+
+A search reads the postings of the heavy terms. What the light terms, which are the frequent ones, can still add to an
+example is bounded by the block's largest weights and by the lengths of both vectors' light parts. Blocks and examples
+that cannot reach the k-th best cosine known are skipped; if few remain, they are scored exactly, else the next lighter
+level of postings is read first. Similarity-weighted votes are calibrated on the training rows themselves, each
+searched without itself, and weighted to the label's true share.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from citefold.llm.batches import NOT_WORD, Words, mix, slices, words
-from citefold.session import stage
-
-EXAMPLES = 4000   # labelled rows per label that are learned from
-DENSE = 2048      # most frequent terms, laid out as a matrix; the others are postings
-AT_ONCE = 128     # texts whose products are formed together
-STEMS = (3, 4, 5, 6)
+from citefold.session import stage, staging_root
+
+EXAMPLES = 4000       # labelled rows per label that are learned from
+STEM = 5              # letters of a word beginning
+LEVELS = (2.5, 1.5)   # weights above which postings are read: first, and if too many examples remain possible
+BLOCK = 64            # examples of a block
+FEW = 64              # possible examples that are scored without reading further levels
+DENSE = 512           # most frequent terms of the first level, laid out as a matrix
+AT_ONCE = 128         # texts whose products are formed together
 NEIGHBOURS = 15
 BINS = 10
+GRID = 2.0 ** 20      # whole steps of squared weights, which add up to the same length in any order
 
 
 def terms_of(found: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -39,31 +53,18 @@ def terms_of(found: Words) -> tuple[np.ndarray, np.ndarray]:
     """
     vocabulary = found.vocabulary.to_pylist()
     whole = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))
-    data, offsets = np.frombuffer(b"".join(vocabulary) + bytes(max(STEMS)), np.uint8), np.cumsum([0, *map(len, vocabulary)])
+    data, offsets = np.frombuffer(b"".join(vocabulary) + bytes(STEM), np.uint8), np.cumsum([0, *map(len, vocabulary)])
     lengths, ascii_ = np.diff(offsets), np.fromiter(map(bytes.isascii, vocabulary), bool, len(vocabulary))
-    words_, terms = [np.arange(len(vocabulary))], [whole]
-    for n in STEMS:
-        at = np.flatnonzero(ascii_ & (lengths > n))
-        packed = np.full(len(at), n << 56, np.uint64)
-        for k in range(n):
-            packed |= data[offsets[at] + k].astype(np.uint64) << np.uint64(8 * k)
-        words_.append(at)
-        terms.append(mix(packed))
-    plain, packed, others, hashed = [], [], [], []
-    for at in np.flatnonzero(~ascii_).tolist():
-        text = vocabulary[at].decode("utf-8", "replace")
-        for n in STEMS:
-            if len(text) > n:
-                begun = text[:n].encode()
-                if len(begun) == n:
-                    plain.append(at)
-                    packed.append(int.from_bytes(begun, "little") | n << 56)
-                else:
-                    others.append(at)
-                    hashed.append(xxhash.xxh3_64_intdigest(b"^" + begun))
-    words_ += [np.array(plain, np.int64), np.array(others, np.int64)]
-    terms += [mix(np.array(packed, np.uint64)), np.array(hashed, np.uint64)]
-    of = np.concatenate(words_)
+    at = np.flatnonzero(ascii_ & (lengths > STEM))
+    packed = np.full(len(at), STEM << 56, np.uint64)
+    for k in range(STEM):
+        packed |= data[offsets[at] + k].astype(np.uint64) << np.uint64(8 * k)
+    longer = [(i, t[:STEM].encode()) for i in np.flatnonzero(~ascii_).tolist()
+              if len(t := vocabulary[i].decode("utf-8", "replace")) > STEM]
+    plain = [(i, int.from_bytes(b, "little") | STEM << 56) for i, b in longer if len(b) == STEM]
+    other = [(i, xxhash.xxh3_64_intdigest(b"^" + b)) for i, b in longer if len(b) > STEM]
+    of = np.concatenate([np.arange(len(vocabulary)), at, np.array([i for i, _ in plain + other], np.int64)])
+    terms = [whole, mix(np.r_[packed, np.array([t for _, t in plain], np.uint64)]), np.array([t for _, t in other], np.uint64)]
     order = np.argsort(of, kind="stable")
     return np.concatenate(terms)[order], np.bincount(of, minlength=len(vocabulary))
 
@@ -92,36 +93,75 @@ def row_terms(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return hashes, codes, counts, np.searchsorted(row, np.arange(len(found.bounds)))
 
 
-def association(clean: np.ndarray, toxic: np.ndarray, n0: int, n1: int) -> np.ndarray:
+def association(clean: Column, toxic: Column, n0: int, n1: int) -> Column:
     """Root of the log-likelihood ratio of terms that are more frequent in toxic rows, else 0.
 
     Counts are not smoothed: a term that no clean row holds is the better for it.
     """
-    def part(seen, rows, share):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return (np.where(seen > 0, seen * np.log(seen / (rows * share)), 0)
-                    + np.where(seen < rows, (rows - seen) * np.log((rows - seen) / (rows * (1 - share))), 0))
+    share = (clean + toxic) / F.lit(float(n0 + n1))
+
+    def part(seen, rows):
+        return (F.when(seen > 0, seen * F.log(seen / (rows * share))).otherwise(0.0)
+                + F.when(seen < rows, (rows - seen) * F.log((rows - seen) / (rows * (1 - share)))).otherwise(0.0))
 
-    ratio = part(toxic, n1, (clean + toxic) / (n0 + n1)) + part(clean, n0, (clean + toxic) / (n0 + n1))
-    return np.where(toxic * n0 > clean * n1, np.sqrt(2 * np.maximum(ratio, 0)), 0.0)
+    ratio = part(toxic, float(n1)) + part(clean, float(n0))
+    return F.when(toxic * n0 > clean * n1, F.sqrt(2 * F.greatest(ratio, F.lit(0.0)))).otherwise(0.0)
 
 
 @dataclass
-class Model:
+class Index:
+    """Postings of all examples by term, laid out for searching."""
+
     vocabulary: np.ndarray  # hashes of all terms in ascending order
-    idf: np.ndarray         # weights of the terms
-    doc_ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    labels: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int8))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of a label in the votes, by example
-    terms: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))     # of all examples end to end
-    values: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
-    bounds: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    blank: float = 0.0                                                  # score of a text without any term
-    curve: np.ndarray = field(default_factory=lambda: np.linspace(0, 1, BINS))
-    layout: tuple | None = None
-
-    def __getstate__(self):
-        return {**self.__dict__, "layout": None}  # laid out again where it is used
+    weights: np.ndarray     # of the terms
+    terms: np.ndarray       # of the postings: numbers of the terms, ascending
+    of: np.ndarray          # examples of the postings, ascending within a term
+    values: np.ndarray      # unit weights of the postings
+    labels: np.ndarray      # of the examples
+    shares: np.ndarray      # rows that an example stands for
+    doc_ids: np.ndarray
+    tops: tuple = ()        # (term, block, largest weight) of light terms; empty: taken from the postings
+    read: list = field(default_factory=lambda: [0, 0, 0, 0])  # searches, blocks skipped, blocks in all, examples rescored
+
+    def __post_init__(self):
+        examples, size = len(self.labels), len(self.weights)
+        self.first = np.searchsorted(self.terms, np.arange(size + 1))
+        # levels: 0 is read first, the last is never read
+        self.level = np.searchsorted(-np.array(LEVELS), -self.weights, side="left").astype(np.int8)
+        self.blocks = max(1, -(-examples // BLOCK))
+        at = self.level[self.terms]
+        term, block, top = self.tops if len(self.tops) else self._tops(at)
+        self.light = []  # of each level from 1 on: (numbers of the terms, tops by term and block, lengths by example)
+        self.rest = []   # of the levels that are unread after each level: the examples' own (terms, values, bounds)
+        for level in range(1, len(LEVELS) + 1):
+            numbers = np.full(size, -1, np.int32)
+            numbers[self.level == level] = np.arange((self.level == level).sum())
+            tops = np.zeros(((self.level == level).sum(), self.blocks), np.float32)
+            some = self.level[term] == level
+            tops[numbers[term[some]], block[some]] = top[some]
+            lengths = np.sqrt(np.bincount(self.of[at == level], self.values[at == level].astype(float) ** 2, examples))
+            self.light.append((numbers, tops, lengths))
+            some = np.flatnonzero(at >= level)
+            some = some[np.argsort(self.of[some], kind="stable")]
+            self.rest.append((self.terms[some], self.values[some].astype(float),
+                              np.searchsorted(self.of[some], np.arange(examples + 1))))
+        frequency = np.where(self.level == 0, np.diff(self.first), 0)
+        dense = np.argsort(-frequency, kind="stable")[:DENSE]
+        dense = dense[frequency[dense] > examples // 50]
+        self.dense = np.full(size, -1, np.int32)
+        self.dense[dense] = np.arange(len(dense))
+        self.matrix = np.zeros((len(dense), examples))
+        some = self.dense[self.terms] >= 0
+        self.matrix[self.dense[self.terms[some]], self.of[some]] = self.values[some]
+        self.row = np.zeros(size)
+        self.terms = self.terms[:0]  # from here on ``first`` tells where a term's postings lie
+
+    def _tops(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        some = np.flatnonzero(at > 0)
+        key = self.terms[some].astype(np.int64) * self.blocks + self.of[some] // BLOCK
+        first = np.flatnonzero(np.r_[True, np.diff(key) > 0][:len(key)])
+        top = np.maximum.reduceat(self.values[some], first) if len(first) else np.zeros(0, np.float32)
+        return key[first] // self.blocks, key[first] % self.blocks, top
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Number of every term, or -1 for terms that no example has."""
@@ -133,87 +173,144 @@ class Model:
     def vector(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Known terms and unit TF-IDF weights."""
         terms = numbers[numbers >= 0]
-        raw = (1 + np.log(counts[numbers >= 0])) * self.idf[terms]
+        raw = (1 + np.log(counts[numbers >= 0])) * self.weights[terms]
         return terms, raw / math.sqrt(float(raw @ raw)) if len(raw) else raw
 
-    def index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        self.terms = np.concatenate([np.zeros(0, np.int32), *(v[0].astype(np.int32) for v in vectors)])
-        self.values = np.concatenate([np.zeros(0, np.float32), *(v[1].astype(np.float32) for v in vectors)])
-        self.bounds = np.cumsum([0, *(len(v[0]) for v in vectors)])
-        self.layout = None
-
-    def laid_out(self) -> tuple:
-        """(number in the matrix or -1, matrix, first posting, postings' examples and values, empty row of terms)."""
-        if self.layout is None:
-            examples, size = len(self.bounds) - 1, len(self.idf)
-            of = np.repeat(np.arange(examples, dtype=np.int32), np.diff(self.bounds))
-            frequency = np.bincount(self.terms, minlength=size)
-            number = np.full(size, -1, np.int32)
-            dense = np.argsort(-frequency, kind="stable")[:DENSE]
-            number[dense] = np.arange(len(dense))
-            place = number[self.terms]
-            matrix = np.zeros((len(dense), examples), np.float32)
-            matrix[place[place >= 0], of[place >= 0]] = self.values[place >= 0]
-            rest = np.flatnonzero(place < 0)
-            rest = rest[np.argsort(self.terms[rest], kind="stable")]
-            first = np.searchsorted(self.terms[rest], np.arange(size + 1))
-            self.layout = number, matrix, first, of[rest], self.values[rest], np.zeros(size)
-        return self.layout
-
-    def products(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Texts x examples: cosines in single precision."""
-        number, matrix, first, examples, weights, _ = self.laid_out()
-        asked = np.zeros((len(vectors), len(matrix)), np.float32)
-        for row, (terms, values) in enumerate(vectors):
-            place = number[terms]
-            asked[row, place[place >= 0]] = values[place >= 0]
-        out = asked @ matrix
-        for row, (terms, values) in enumerate(vectors):
-            rare = number[terms] < 0
-            starts, lengths = first[terms[rare]], first[terms[rare] + 1] - first[terms[rare]]
-            at = spread(starts, lengths)
-            out[row] += np.bincount(examples[at], weights[at] * np.repeat(values[rare], lengths), out.shape[1])
-        return out
-
-    def nearest(self, terms: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, without: int = -1,
-                products: np.ndarray | None = None):
-        """The k examples of highest positive cosine, ties to the earlier one: (numbers, cosines)."""
-        near = self.products([(terms, values)])[0] if products is None else products.copy()
-        if without >= 0:
-            near[without] = 0
-        least = np.partition(near, len(near) - k)[len(near) - k] if len(near) > k else 0.0
-        # each product and each sum of single precision is off by 2^-24 of at most 1: the k-th and another cosine by twice that
-        ids = np.flatnonzero((near > 0) & (near >= least - (len(terms) + 8) * 2.0 ** -22))
-        if not len(ids):
-            return ids, np.zeros(0)
-        row = self.laid_out()[-1]
-        row[terms] = values
-        lengths = np.diff(self.bounds)[ids]
-        at = spread(self.bounds[ids], lengths)
-        scores = np.round(np.add.reduceat(self.values[at].astype(float) * row[self.terms[at]], np.cumsum(lengths) - lengths), 9)
-        row[terms] = 0
-        ids, scores = ids[scores > 0], scores[scores > 0]
-        keep = np.lexsort((ids, -scores))[:k]
-        return ids[keep], scores[keep]
+    def _add(self, scores: np.ndarray, terms: np.ndarray, values: np.ndarray) -> None:
+        starts, lengths = self.first[terms], self.first[terms + 1] - self.first[terms]
+        at = spread(starts, lengths)
+        scores += np.bincount(self.of[at], self.values[at] * np.repeat(values, lengths), len(scores))
+
+    def cosines(self, ids: np.ndarray, scores: np.ndarray, done: int, terms: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Exact cosines of some examples, on a grid of nine decimals: what is read, and their own unread light terms."""
+        own, weights, bounds = self.rest[done]
+        lengths = bounds[ids + 1] - bounds[ids]
+        at = spread(bounds[ids], lengths)
+        self.row[terms] = values
+        more = np.bincount(np.repeat(np.arange(len(ids)), lengths), weights[at] * self.row[own[at]], len(ids))
+        self.row[terms] = 0
+        return np.round(scores[ids] + more, 9)
+
+    def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: list[int] | None = None):
+        """Of each vector the k examples of highest positive cosine, ties to the earlier one: (numbers, cosines)."""
+        asked = np.zeros((len(vectors), len(self.matrix)))
+        light = [np.zeros((len(vectors), len(tops)), np.float32) for _, tops, _ in self.light]
+        for i, (terms, values) in enumerate(vectors):
+            place = self.dense[terms]
+            asked[i, place[place >= 0]] = values[place >= 0]
+            for own, (numbers, _, _) in zip(light, self.light):
+                place = numbers[terms]
+                own[i, place[place >= 0]] = values[place >= 0]
+        heavy = asked @ self.matrix
+        tops = [own @ tops for own, (_, tops, _) in zip(light, self.light)]
+        lengths = [np.sqrt((own.astype(float) ** 2).sum(1)) for own in light]
+        return [self._nearest(terms, values, heavy[i], [(t[i], n[i]) for t, n in zip(tops, lengths)], k,
+                              -1 if without is None else without[i]) for i, (terms, values) in enumerate(vectors)]
+
+    def _nearest(self, terms, values, scores, light, k, without):
+        level = self.level[terms]
+        first = (level == 0) & (self.dense[terms] < 0)
+        self._add(scores, terms[first], values[first])
+        slack = (len(terms) + 8) * 2.0 ** -22  # bounds of blocks are in single precision, off by 2^-24 of at most 1 for each term
+        examples = len(scores)
+        for done in range(len(LEVELS)):
+            if done:
+                some = level == done
+                self._add(scores, terms[some], values[some])
+            # what the unread levels can add: by the block's largest weights, and by the lengths of the light parts
+            by_block = np.sum([t for t, _ in light[done:]], 0)
+            by_length = np.sum([n * self.light[done + j][2] for j, (_, n) in enumerate(light[done:])], 0)
+            rest = np.minimum(np.repeat(by_block, BLOCK)[:examples], by_length)
+            hope = scores + rest
+            if without >= 0:
+                hope[without] = 0
+            likely = hope - rest / 2
+            best = np.argpartition(-likely, k)[:k] if examples > k else np.arange(examples)
+            best = best[hope[best] > 0]
+            least = float(self.cosines(best, scores, done, terms, values).min()) if len(best) == k else 0.0
+            reach = np.zeros(self.blocks * BLOCK)
+            reach[:examples] = scores
+            alive = reach.reshape(-1, BLOCK).max(1) + by_block + slack >= least  # the other blocks are skipped whole
+            possible = np.flatnonzero((hope > 0) & (hope + slack >= least) & np.repeat(alive, BLOCK)[:examples])
+            if len(possible) <= FEW:
+                break
+        self.read = [a + b for a, b in zip(self.read, (1, int((~alive).sum()), self.blocks, len(possible)))]
+        if not len(possible):
+            return possible, np.zeros(0)
+        cosines = self.cosines(possible, scores, done, terms, values)
+        possible, cosines = possible[cosines > 0], cosines[cosines > 0]
+        keep = np.lexsort((possible, -cosines))[:k]
+        return possible[keep], cosines[keep]
 
     def vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
         """Share of the label among the neighbours, weighted by closeness and by the label's true frequency."""
         if not len(ids):
             return -1.0
-        closeness = cosines / (1.0 + 1e-3 - cosines) * self.weights[ids]
+        closeness = cosines / (1.0 + 1e-3 - cosines) * self.shares[ids]
         return float(closeness @ self.labels[ids] / closeness.sum())
 
-    def score(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
-        """Score and nearest examples of each text."""
-        out = []
-        for at in range(0, len(vectors), AT_ONCE):
-            some = vectors[at:at + AT_ONCE]
-            for (terms, values), products in zip(some, self.products(some)):
-                ids, cosines = self.nearest(terms, values, products=products)
-                raw = self.vote(ids, cosines)
-                out.append((self.blank, []) if raw < 0 else (
-                    float(np.interp(raw, np.linspace(0, 1, len(self.curve)), self.curve)), self.doc_ids[ids[:3]].tolist()))
-        return out
+
+@dataclass
+class Model:
+    """Where the index lies, and what the votes mean."""
+
+    folder: str | None            # of the index; none: every score is ``blank``
+    examples: int = 0
+    blank: float = 0.0            # score of a text without any term
+    curve: tuple[float, ...] = ()
+
+    def score(self, raw: float) -> float:
+        return self.blank if raw < 0 else float(np.interp(raw, np.linspace(0, 1, len(self.curve)), self.curve))
+
+
+def _store(df: DataFrame, folder: str, name: str) -> DataFrame:
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+_loaded: dict[str, Index] = {}
+
+
+def load(folder: str) -> Index:
+    """The index of a folder; a worker reads it once, and lets go of another one before."""
+    if folder not in _loaded:
+        _loaded.clear()
+        _loaded[folder] = _read(folder)
+        pa.default_memory_pool().release_unused()
+    return _loaded[folder]
+
+
+def _read(folder: str) -> Index:
+    system, root = pafs.FileSystem.from_uri(folder)
+
+    def parts(name: str, columns: list[str]) -> Iterator[list[np.ndarray]]:
+        """The columns file by file."""
+        for fragment in pads.dataset(f"{root}/{name}", filesystem=system, format="parquet").get_fragments():
+            table = fragment.to_table(columns=columns)
+            yield [table.column(c).to_numpy() for c in columns]
+
+    def whole(name: str, columns: list[str], *kinds) -> list[np.ndarray]:
+        found = list(parts(name, columns))
+        return [np.concatenate([np.zeros(0, k), *(f[i].astype(k, copy=False) for f in found)]) for i, k in enumerate(kinds)]
+
+    def numbers(hashes: np.ndarray) -> np.ndarray:
+        return np.searchsorted(vocabulary, hashes.view(np.uint64)).astype(np.int32)
+
+    hashes, weights = whole("terms", ["term", "weight"], np.int64, np.float64)
+    vocabulary = hashes.view(np.uint64)
+    order = np.argsort(vocabulary)
+    vocabulary, weights = vocabulary[order], weights[order]
+    found = [(numbers(t), e.astype(np.int32), v.astype(np.float32)) for t, e, v in parts("postings", ["term", "example", "value"])]
+    terms, of, values = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, k)
+                         for i, k in enumerate((np.int32, np.int32, np.float32)))
+    del found
+    order = np.argsort(terms.astype(np.int64) << 32 | of).astype(np.int32)
+    terms, of, values = terms[order], of[order], values[order]
+    del order
+    example, doc_ids, toxic, share = whole("examples", ["example", "doc_id", "toxic", "share"], np.int64, np.int64, np.int8, np.float64)
+    order = np.argsort(example)
+    hashes, block, top = whole("tops", ["term", "block", "top"], np.int64, np.int64, np.float32)
+    return Index(vocabulary, weights, terms, of, values, toxic[order], share[order], doc_ids[order], (numbers(hashes), block, top))
 
 
 def labelled_sample(labels: DataFrame, examples: int = EXAMPLES) -> tuple[DataFrame, dict[int, int]]:
@@ -225,91 +322,102 @@ def labelled_sample(labels: DataFrame, examples: int = EXAMPLES) -> tuple[DataFr
     return parts[0].unionByName(parts[1]), totals
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, toxic, term, n) of every term of every text; a null term for texts without any."""
+    for batch in slices(batches):
+        hashes, codes, counts, bounds = row_terms(words(batch.column("text"), NOT_WORD))
+        sizes = np.diff(bounds)
+        row = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+        blank = pa.array(np.flatnonzero(sizes == 0))
+        for at, term, n in ((row, pa.array(hashes.view(np.int64)[codes], pa.int64()), pa.array(counts, pa.int64())),
+                            (blank, pa.nulls(len(blank), pa.int64()), pa.array([0] * len(blank), pa.int64()))):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("toxic").take(at), term, n],
+                                             ["doc_id", "toxic", "term", "n"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     """Learn from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) covers.
 
     Bounded by ``examples`` rows per label; all terms of these rows count. A doc_id labelled twice counts as toxic if one
-    of its labels says so; labels other than 0 and 1 and null texts teach nothing; without labels every score is 0.
+    of its labels says so; of rows that share a doc_id one text is learned from, so the sample stays bounded; labels
+    other than 0 and 1 and null texts teach nothing; without labels every score is 0. Long texts of the sample make the
+    index longer, never the driver's part of it.
     """
     chosen, totals = labelled_sample(labels, examples)
-    texts = stage(docs.filter("text is not null").select("doc_id", "text")
-                  .join(F.broadcast(chosen), "doc_id"), "toxicity-sample")  # bounded: 2 x examples narrow rows
-
-    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            hashes, codes, counts, bounds = row_terms(words(batch.column("text"), NOT_WORD))
-            stretches = list(zip(bounds[:-1], bounds[1:]))
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"),
-                "terms": pa.array([hashes[codes[a:b]].tobytes() for a, b in stretches], pa.binary()),
-                "counts": pa.array([counts[a:b].astype(np.int32).tobytes() for a, b in stretches], pa.binary())})
-
-    rows = texts.select(F.col("doc_id").cast("long"), "toxic", "text").mapInArrow(
-        sparse, "doc_id long, toxic int, terms binary, counts binary").collect()  # the bounded sample
-    rows.sort(key=lambda r: (r.doc_id, r.toxic, bytes(r.terms), bytes(r.counts)))
-    toxic = np.array([r.toxic for r in rows], np.int8)
-    n1 = int(toxic.sum())
-    n0 = len(rows) - n1
+    texts = stage(docs.filter("text is not null").select(F.col("doc_id").cast("long"), "text")
+                  .join(F.broadcast(chosen), "doc_id")  # bounded: 2 x examples narrow rows
+                  .groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+                  .select("doc_id", "toxic", "t.text"), "toxicity-sample")
+    found = stage(texts.mapInArrow(_postings, "doc_id long, toxic int, term long, n long"), "toxicity-terms")
+    rows = found.groupBy("doc_id", "toxic").agg(F.count("term").alias("terms"))
+    counts = {r.toxic: r for r in rows.groupBy("toxic").agg(F.count("*").alias("n"), F.count_if(F.col("terms") == 0).alias("blank")).collect()}
+    n0, n1 = (counts[t].n if t in counts else 0 for t in (0, 1))
     if not n0 or not n1:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), blank=1.0 if n1 else 0.0)
-    vocabulary = np.unique(np.frombuffer(b"".join(r.terms for r in rows), np.uint64))
-    seen = np.zeros((2, len(vocabulary)), np.int64)
-    numbers = []
-    for at, r in enumerate(rows):
-        numbers.append(np.searchsorted(vocabulary, np.frombuffer(r.terms, np.uint64)).astype(np.int32))
-        seen[r.toxic, numbers[-1]] += 1
-        rows[at] = (r.doc_id, r.counts)
-    model = Model(vocabulary, (np.log((n0 + n1 + 1) / (seen.sum(0) + 1)) + 1) * (1 + association(*seen, n0, n1)))
-    vectors = []
-    for at, own in enumerate(numbers):
-        terms, values = model.vector(own, np.frombuffer(rows[at][1], np.int32))
-        vectors.append((terms, values.astype(np.float32)))
-        rows[at], numbers[at] = rows[at][0], None
+        return Model(None, blank=1.0 if n1 else 0.0)
     true = {t: totals.get(t, 0) / max(1, (n0, n1)[t]) for t in (0, 1)}  # rows that one example stands for
-    full = np.array([len(v[0]) > 0 for v in vectors])
-    mass = {t: true[t] * int((~full & (toxic == t)).sum()) for t in (0, 1)}
-    model.blank = (mass[1] + 0.5 * true[1]) / (mass[0] + mass[1] + 0.5 * (true[0] + true[1])) if not full.all() else 0.0
-    model.doc_ids = np.array(rows, np.int64)[full]
-    model.labels = toxic[full]
-    model.weights = np.where(model.labels == 1, true[1], true[0])
-    model.index([v for v in vectors if len(v[0])])
-    del vectors
-    model.curve = calibrate(docs.sparkSession, model)
+    mass = {t: true[t] * counts[t].blank for t in (0, 1)}
+    blank = (mass[1] + 0.5 * true[1]) / (mass[0] + mass[1] + 0.5 * (true[0] + true[1])) if counts[0].blank + counts[1].blank else 0.0
+
+    folder = f"{staging_root(docs.sparkSession)}/toxicity-index-{uuid.uuid4().hex}"
+    seen = found.filter("term is not null").groupBy("term").agg(
+        F.count_if(F.col("toxic") == 0).cast("double").alias("clean"), F.count_if(F.col("toxic") == 1).cast("double").alias("bad"))
+    idf = F.log((n0 + n1 + 1) / (F.col("clean") + F.col("bad") + 0.5))
+    weights = _store(seen.select("term", (idf * (1 + association(F.col("clean"), F.col("bad"), n0, n1))).alias("weight")),
+                     folder, "terms")
+    # at most 2 x examples rows are numbered; those of one label lie together, so their blocks are alike
+    numbered = _store(rows.filter("terms > 0").select(
+        (F.row_number().over(Window.orderBy("toxic", "doc_id")) - 1).cast("int").alias("example"), "doc_id", "toxic",
+        F.when(F.col("toxic") == 1, true[1]).otherwise(true[0]).alias("share")), folder, "examples")
+    raw = stage(found.join(weights, "term").join(F.broadcast(numbered.select("doc_id", "example")), "doc_id").select(
+        "term", "example", "weight", ((1 + F.log("n")) * F.col("weight")).alias("raw")), "toxicity-weights")
+    lengths = raw.groupBy("example").agg(F.sqrt(F.sum(F.round(F.col("raw") * F.col("raw") * GRID).cast("long")) / GRID).alias("length"))
+    scaled = raw.join(F.broadcast(lengths), "example").select(  # as bounded as the examples
+        "term", "example", "weight", (F.col("raw") / F.col("length")).cast("float").alias("value"))
+    postings = _store(scaled, folder, "postings")
+    _store(postings.filter(F.col("weight") <= LEVELS[0]).groupBy("term", F.floor(F.col("example") / BLOCK).alias("block"))
+           .agg(F.max("value").alias("top")), folder, "tops")
+    model = Model(folder, numbered.count(), blank)
+    model.curve = calibrate(texts, model, true)
     return model
 
 
-def calibrate(spark: SparkSession, model: Model) -> np.ndarray:
+def _vectors(index: Index, batch: pa.RecordBatch) -> list[tuple[bytes, tuple[np.ndarray, np.ndarray]]]:
+    """(key of equal terms, vector) of every text of a slice."""
+    hashes, codes, counts, bounds = row_terms(words(batch.column("text"), NOT_WORD))
+    numbers = index.numbers(hashes)[codes]
+    return [(xxhash.xxh3_128_digest(hashes[codes[a:b]].tobytes() + counts[a:b].tobytes()), index.vector(numbers[a:b], counts[a:b]))
+            for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def calibrate(texts: DataFrame, model: Model, true: dict[int, float]) -> tuple[float, ...]:
     """Share of the label by raw vote: examples searched without themselves, pooled until it never falls."""
-    shared = spark.sparkContext.broadcast(model)
+    folder = model.folder
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            numbers = batch.column("id").to_pylist()
-            for at in range(0, len(numbers), AT_ONCE):
-                some = numbers[at:at + AT_ONCE]
-                asked = [(model.terms[a:b], model.values[a:b].astype(float))
-                         for a, b in ((model.bounds[i], model.bounds[i + 1]) for i in some)]
-                yield pa.RecordBatch.from_pydict({"id": some, "raw": pa.array([
-                    model.vote(*model.nearest(*v, without=i, products=near))
-                    for i, v, near in zip(some, asked, model.products(asked))], pa.float64())})
-
-    tasks = max(1, -(-len(model.labels) // 1000))
-    found = spark.range(0, len(model.labels), 1, tasks).mapInArrow(votes, "id long, raw double").collect()
-    shared.destroy()
-    raw = np.array([r.raw for r in sorted(found, key=lambda r: r.id)])
-    at = np.clip(np.rint(np.maximum(raw, 0) * (BINS - 1)), 0, BINS - 1).astype(int)
-    grid = np.linspace(0, 1, BINS)
-    ones, every = (np.bincount(at, w, BINS) for w in (model.weights * model.labels, model.weights))
-    unit = float(model.weights.mean()) if len(raw) else 1.0  # one vote for the vote itself
-    pools = [[o + unit * g, e + unit, 1] for o, e, g in zip(ones, every, grid)]
+        index = load(folder)
+        number = {d: i for i, d in enumerate(index.doc_ids.tolist())}
+        for batch in slices(batches):
+            doc_ids, vectors = batch.column("doc_id").to_pylist(), _vectors(index, batch)
+            own = [i for i, d in enumerate(doc_ids) if d in number]
+            for at in range(0, len(own), AT_ONCE):
+                some = own[at:at + AT_ONCE]
+                which = [number[doc_ids[i]] for i in some]
+                raw = [index.vote(*near) for near in index.search([vectors[i][1] for i in some], without=which)]
+                bins = np.clip(np.rint(np.maximum(raw, 0) * (BINS - 1)), 0, BINS - 1).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"bin": bins, "toxic": index.labels[which].astype(np.int64)})
+
+    found = {(r.bin, r.toxic): r.n for r in texts.select("doc_id", "text").mapInArrow(votes, "bin long, toxic long")
+             .groupBy("bin", "toxic").agg(F.count("*").alias("n")).collect()}
+    total = sum(true[t] * n for (_, t), n in found.items())
+    unit = total / max(1, model.examples)  # one vote for the vote itself
     merged: list[list[float]] = []
-    for pool in pools:
-        merged.append(pool)
+    for b in range(BINS):
+        ones = true[1] * found.get((b, 1), 0)
+        merged.append([ones + unit * b / (BINS - 1), ones + true[0] * found.get((b, 0), 0) + unit, 1])
         while len(merged) > 1 and merged[-2][0] / merged[-2][1] > merged[-1][0] / merged[-1][1]:
             o, e, n = merged.pop()
             merged[-1] = [merged[-1][0] + o, merged[-1][1] + e, merged[-1][2] + n]
-    return np.concatenate([[o / e] * int(n) for o, e, n in merged])
+    return tuple(o / e for o, e, n in merged for _ in range(int(n)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -320,23 +428,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     new = ("score", "predicted", "evidence")
     source = docs.select(*[c for c in docs.columns if c not in new])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
-        model = shared.value
+        index = load(model.folder) if model.folder else None
         for batch in slices(batches):
-            hashes, codes, counts, bounds = row_terms(words(batch.column("text"), NOT_WORD))
-            numbers = model.numbers(hashes)[codes]
             if len(known) >= 50_000:
                 known.clear()
-            keys, fresh = [], {}
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                key = xxhash.xxh3_128_digest(hashes[codes[a:b]].tobytes() + counts[a:b].tobytes())
-                keys.append(key)
-                if key not in known and key not in fresh:
-                    fresh[key] = model.vector(numbers[a:b], counts[a:b])
-            known.update(zip(fresh, model.score(list(fresh.values()))))
+            vectors = _vectors(index, batch) if index else [(b"", None)] * batch.num_rows
+            fresh = {key: vector for key, vector in vectors if key not in known}
+            asked = list(fresh)
+            for at in range(0, len(asked), AT_ONCE):
+                some = asked[at:at + AT_ONCE]
+                near = index.search([fresh[key] for key in some]) if index else [(np.zeros(0, int), np.zeros(0))] * len(some)
+                known.update((key, (model.score(index.vote(*n) if index else -1.0), index.doc_ids[n[0][:3]].tolist() if index else []))
+                             for key, n in zip(some, near))
+            keys = [key for key, _ in vectors]
             out = [known[key] for key in keys]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([s for s, _ in out], pa.float64()),

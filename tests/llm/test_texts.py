@@ -180,6 +180,15 @@ def test_url_rules_equal_brute_force(spark):
     assert url_filter.judge(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("url, verdict", [
+    ("http://x.onion", "block"), ("https://casino-win.example.net", "block"), ("https://casino.net?p=1", "block"), ("https://a.casino.net#x", "block"),
+    ("http://a.net/ads/x", "block"), ("http://a.net/b/ads/x", "block"), ("http://a.net/downloads/x", "allow"), ("http://a.net/threads/x", "allow"),
+    ("http://a.net/ads", "allow"), ("http://org", "allow"), ("http://", "allow"), ("http://plain.net", "allow")])
+def test_globs_judge_hosts_without_a_path(spark, url, verdict):
+    row = url_filter.judge(spark.createDataFrame([(1, url)], "page_id long, url string")).first()
+    assert row.verdict == verdict and row.rule is None
+
+
 def test_automaton_equals_regular_expressions():
     rng = random.Random(6)
     globs = tuple("".join(rng.choices("ab*~/", k=rng.randint(1, 30))) for _ in range(60))
@@ -252,26 +261,62 @@ def test_toxicity_learns_scores_and_explains(spark, docs):
     assert toxicity.score(docs([]), model).collect() == []
 
 
-def test_block_max_search_is_exact():
+def index_of(vectors, weights):
+    terms = np.concatenate([v[0] for v in vectors]).astype(np.int32)
+    of = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v[0]) for v in vectors])
+    values = np.concatenate([v[1] for v in vectors]).astype(np.float32)
+    order = np.lexsort((of, terms))
+    return toxicity.Index(np.arange(len(weights), dtype=np.uint64), weights, terms[order], of[order], values[order],
+                          np.zeros(len(vectors), np.int8), np.ones(len(vectors)), np.arange(len(vectors)))
+
+
+@pytest.mark.parametrize("weights", [np.ones(40), np.full(40, 3.0), np.r_[np.ones(15), np.full(10, 2.0), np.full(15, 8.0)]])
+def test_block_max_search_is_exact(weights):
     rng = np.random.default_rng(3)
-    model = toxicity.Model({}, np.ones(40))
     vectors = []
     for _ in range(700):
         terms = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
-        raw = rng.integers(1, 4, len(terms)).astype(float)
+        raw = rng.integers(1, 4, len(terms)) * weights[terms]
         vectors.append((terms, raw / np.sqrt(raw @ raw)))
-    model.index(vectors)
+    index = index_of(vectors, weights)
     full = np.zeros((700, 40))
     for i, (t, v) in enumerate(vectors):
         full[i, t] = v
-    for i in range(0, 700, 7):
+    asked = list(range(0, 700, 7))
+    for i, (ids, values) in zip(asked, index.search([vectors[i] for i in asked], without=asked)):
         cosines = np.round(full.astype(np.float32).astype(float) @ full[i], 9)
         cosines[i] = 0
         order = [j for j in np.lexsort((np.arange(700), -cosines))[:15] if cosines[j] > 0]
-        ids, values = model.nearest(*vectors[i], without=i)
         assert ids.tolist() == order and np.allclose(values, cosines[order])
 
 
+def test_blocks_that_cannot_reach_the_nearest_are_skipped():
+    rng = np.random.default_rng(4)
+    weights = np.r_[np.full(30, 0.3), np.full(400, 7.0)]
+    vectors = []
+    for i in range(2000):
+        own = 30 + 40 * (i // 200) + rng.choice(40, 8, replace=False)  # ten topics, in runs of rows
+        terms = np.sort(np.r_[rng.choice(30, 12, replace=False), own])
+        raw = rng.integers(1, 4, len(terms)) * weights[terms]
+        vectors.append((terms, raw / np.sqrt(raw @ raw)))
+    index = index_of(vectors, weights)
+    index.search([vectors[i] for i in range(0, 2000, 50)])
+    searches, skipped, blocks, rescored = index.read
+    assert searches == 40 and skipped > 0.8 * blocks and rescored < 40 * 200
+
+
+def test_a_repeated_id_teaches_one_text(spark, docs):
+    rows = toxic_rows()
+    again = [(0, f"topic {i} of a repeated row") for i in range(300)] + [(5, "long text of words " * 30_000)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(rows + again).select("doc_id", "text"), labels)
+    assert model.examples == 200
+    few = toxicity.fit(docs(rows + again).select("doc_id", "text"), labels, examples=30)
+    assert few.examples == 60
+    found = {r.doc_id: r for r in toxicity.score(docs(rows), model).collect()}
+    assert all(found[i].predicted == int(i % 5 == 0) for i in range(200, 300))
+
+
 def test_toxicity_of_many_rare_words_and_of_a_small_table(spark, docs):
     rng = random.Random(5)
     word = lambda n: "".join(rng.choices("bcdfgaeiou", k=n))
@@ -299,7 +344,7 @@ def test_toxicity_of_many_rare_words_and_of_a_small_table(spark, docs):
     model = toxicity.fit(docs(few).select("doc_id", "text"),
                          spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(12)], "doc_id long, toxic int"))
     found = {r.doc_id: r for r in toxicity.score(docs([(50, "quabbit"), (51, topic[21])]), model).collect()}
-    assert found[50].predicted == 1 and found[51].predicted == 0 and len(model.doc_ids) == 12
+    assert found[50].predicted == 1 and found[51].predicted == 0 and model.examples == 12
 
 
 LONG = "A long paragraph of the article that says one thing after the other and so has many words of its own."
