@@ -27,7 +27,7 @@ from citefold.session import stage
 UNIT = 1_000_000_000
 ADD = 5
 NOT_LETTER = byte_class(lambda i: i < 0x80 and not chr(i).isalpha())
-BLOCK = 32_768   # terms of a block: an array has as many places at most
+BLOCK = 4096     # terms of a block: an array has about as many places at most
 TILE = 8         # sources of a tile: a task merges two tiles' arrays of one block
 HELD = 400_000   # counted rows that a task holds before it adds them up
 
