@@ -101,7 +101,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _url_sql() -> str:
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
     shown = {"*": ".*", "~": "[^/]*", ".": "[.]"}
-    like = " OR ".join(f"regexp_matches('.' || host || path, '(?s)^{''.join(shown.get(c, c) for c in g)}$')"
+    like = " OR ".join(f"regexp_matches('.' || host || CASE WHEN path = '' AND host <> '' THEN '/' ELSE path END, '(?s)^{''.join(shown.get(c, c) for c in g)}$')"
                        for g in url_filter.BLOCK_GLOBS)
     return f"""
 WITH rules(verdict, h, p) AS (VALUES {rules}),

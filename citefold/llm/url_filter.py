@@ -22,7 +22,8 @@ from citefold.llm.batches import slices, text_bytes
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 # ... and the globs of this operator, which judge a URL that no rule fits.
-BLOCK_GLOBS = (".~casino~/*", ".~cheap-pills~/*", ".~.adserver.~/*", ".~/*ads/*", ".~/wp-login*", ".~.onion/*")
+BLOCK_GLOBS = (".~casino~/*", ".~cheap-pills~/*", ".~.adserver.~/*", ".~/ads/*", ".~/*/ads/*", ".~/wp-login*",
+               ".~.onion/*")
 
 
 @dataclass
@@ -103,6 +104,8 @@ def _judge(rules, block_globs):
             hit = machine.match(batch.column("address"))
             n = len(rules)
             fits = hit[:, :n] | hit[:, n:2 * n]
+            # an empty path reads as "/" for the globs, but a rule with a path asks for one
+            fits[np.ix_(batch.column("path").to_numpy(zero_copy_only=False) == "", [p != "" for _, _, p in rules])] = False
             rule = np.full(batch.num_rows, -1)
             for i in reversed(by_length):
                 rule[fits[:, i]] = i
@@ -120,14 +123,15 @@ def judge(pages: DataFrame, rules=RULES, block_globs=BLOCK_GLOBS) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of ``pages`` (page_id, url).
 
     A rule fits its host and all subdomains if the path starts with the rule's; of several the longest wins (then the
-    first by name). Without a rule the globs decide: one that matches blocks, else the URL is allowed; so are null,
-    empty and unparsable URLs, whose host and path are empty. The host is lower-cased (A-Z), a port or user part is
+    first by name). Without a rule the globs decide, for which a host without a path has the path "/": one that matches
+    blocks, else the URL is allowed; so are null, empty and unparsable URLs, whose host and path are empty. The host is lower-cased (A-Z), a port or user part is
     kept as written. Other columns are ignored; rows may repeat; an empty table gives no rows.
     """
     source = pages.select("page_id", F.col("url").cast("string").alias("url"))
     host, path = canonical(F.col("url"))
     parts = source.select("page_id", host.alias("host"), path.alias("path"))
-    parts = parts.withColumn("address", F.concat(F.lit("."), "host", "path"))
+    shown = F.when((F.col("path") == "") & (F.col("host") != ""), F.lit("/")).otherwise(F.col("path"))
+    parts = parts.withColumn("address", F.concat(F.lit("."), "host", shown))
     kind = dict(parts.dtypes)["page_id"]
     return parts.mapInArrow(_judge(tuple(rules), tuple(block_globs)),
                             f"page_id {kind}, host string, path string, rule string, verdict string")
