@@ -18,8 +18,10 @@ searched without itself, and weighted to the label's true share.
 from __future__ import annotations
 
 import math
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -112,7 +114,7 @@ def association(clean: Column, toxic: Column, n0: int, n1: int) -> Column:
 class Index:
     """Postings of all examples by term, laid out for searching."""
 
-    vocabulary: np.ndarray  # hashes of all terms in ascending order
+    vocabulary: np.ndarray  # hashes of all terms as signed integers in ascending order
     weights: np.ndarray     # of the terms
     terms: np.ndarray       # of the postings: numbers of the terms, ascending
     of: np.ndarray          # examples of the postings, ascending within a term
@@ -167,6 +169,7 @@ class Index:
         """Number of every term, or -1 for terms that no example has."""
         if not len(self.vocabulary):
             return np.full(len(hashes), -1)
+        hashes = hashes.view(np.int64)
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
@@ -268,16 +271,28 @@ def _store(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+IDLE_SECONDS = 3  # after which a worker without a task lets go of its index, as later stages need the memory
 _loaded: dict[str, Index] = {}
+_uses: list[int] = [0, 0]  # tasks begun, tasks at work
 
 
-def load(folder: str) -> Index:
-    """The index of a folder; a worker reads it once, and lets go of another one before."""
+@contextmanager
+def loaded(folder: str) -> Iterator[Index]:
+    """The index of a folder for one task; tasks that follow soon find it, and another folder's goes before."""
+    _uses[0] += 1
+    _uses[1] += 1
     if folder not in _loaded:
         _loaded.clear()
         _loaded[folder] = _read(folder)
         pa.default_memory_pool().release_unused()
-    return _loaded[folder]
+    try:
+        yield _loaded[folder]
+    finally:
+        _uses[1] -= 1
+        begun = _uses[0]
+        timer = threading.Timer(IDLE_SECONDS, lambda: _loaded.clear() if _uses == [begun, 0] else None)
+        timer.daemon = True
+        timer.start()
 
 
 def _read(folder: str) -> Index:
@@ -285,32 +300,34 @@ def _read(folder: str) -> Index:
 
     def parts(name: str, columns: list[str]) -> Iterator[list[np.ndarray]]:
         """The columns file by file."""
-        for fragment in pads.dataset(f"{root}/{name}", filesystem=system, format="parquet").get_fragments():
+        found = pads.dataset(f"{root}/{name}", filesystem=system, format="parquet").get_fragments()
+        for fragment in sorted(found, key=lambda f: f.path):
             table = fragment.to_table(columns=columns)
             yield [table.column(c).to_numpy() for c in columns]
 
     def whole(name: str, columns: list[str], *kinds) -> list[np.ndarray]:
+        """The columns of a small table."""
         found = list(parts(name, columns))
         return [np.concatenate([np.zeros(0, k), *(f[i].astype(k, copy=False) for f in found)]) for i, k in enumerate(kinds)]
 
-    def numbers(hashes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(vocabulary, hashes.view(np.uint64)).astype(np.int32)
-
-    hashes, weights = whole("terms", ["term", "weight"], np.int64, np.float64)
-    vocabulary = hashes.view(np.uint64)
+    vocabulary, weights = whole("terms", ["term", "weight"], np.int64, np.float64)
     order = np.argsort(vocabulary)
     vocabulary, weights = vocabulary[order], weights[order]
-    found = [(numbers(t), e.astype(np.int32), v.astype(np.float32)) for t, e, v in parts("postings", ["term", "example", "value"])]
-    terms, of, values = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, k)
-                         for i, k in enumerate((np.int32, np.int32, np.float32)))
-    del found
-    order = np.argsort(terms.astype(np.int64) << 32 | of).astype(np.int32)
-    terms, of, values = terms[order], of[order], values[order]
-    del order
-    example, doc_ids, toxic, share = whole("examples", ["example", "doc_id", "toxic", "share"], np.int64, np.int64, np.int8, np.float64)
+    example, doc_ids, toxic, share, size = whole(
+        "examples", ["example", "doc_id", "toxic", "share", "terms"], np.int64, np.int64, np.int8, np.float64, np.int64)
+    # postings lie in the order of terms, then examples, file after file: they are filled in as they are read
+    terms, of, values = (np.zeros(size.sum(), k) for k in (np.int32, np.int32, np.float32))
+    at = 0
+    for t, e, v in parts("postings", ["term", "example", "value"]):
+        end = at + len(t)
+        terms[at:end], of[at:end], values[at:end] = np.searchsorted(vocabulary, t), e, v
+        at = end
+    if at != len(terms) or (np.diff(terms) < 0).any():
+        raise ValueError("the postings of a toxicity index are incomplete or out of order")
     order = np.argsort(example)
     hashes, block, top = whole("tops", ["term", "block", "top"], np.int64, np.int64, np.float32)
-    return Index(vocabulary, weights, terms, of, values, toxic[order], share[order], doc_ids[order], (numbers(hashes), block, top))
+    return Index(vocabulary, weights, terms, of, values, toxic[order], share[order], doc_ids[order],
+                 (np.searchsorted(vocabulary, hashes), block, top))
 
 
 def labelled_sample(labels: DataFrame, examples: int = EXAMPLES) -> tuple[DataFrame, dict[int, int]]:
@@ -367,13 +384,13 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     # at most 2 x examples rows are numbered; those of one label lie together, so their blocks are alike
     numbered = _store(rows.filter("terms > 0").select(
         (F.row_number().over(Window.orderBy("toxic", "doc_id")) - 1).cast("int").alias("example"), "doc_id", "toxic",
-        F.when(F.col("toxic") == 1, true[1]).otherwise(true[0]).alias("share")), folder, "examples")
+        F.when(F.col("toxic") == 1, true[1]).otherwise(true[0]).alias("share"), "terms"), folder, "examples")
     raw = stage(found.join(weights, "term").join(F.broadcast(numbered.select("doc_id", "example")), "doc_id").select(
         "term", "example", "weight", ((1 + F.log("n")) * F.col("weight")).alias("raw")), "toxicity-weights")
     lengths = raw.groupBy("example").agg(F.sqrt(F.sum(F.round(F.col("raw") * F.col("raw") * GRID).cast("long")) / GRID).alias("length"))
     scaled = raw.join(F.broadcast(lengths), "example").select(  # as bounded as the examples
         "term", "example", "weight", (F.col("raw") / F.col("length")).cast("float").alias("value"))
-    postings = _store(scaled, folder, "postings")
+    postings = _store(scaled.repartitionByRange("term").sortWithinPartitions("term", "example"), folder, "postings")
     _store(postings.filter(F.col("weight") <= LEVELS[0]).groupBy("term", F.floor(F.col("example") / BLOCK).alias("block"))
            .agg(F.max("value").alias("top")), folder, "tops")
     model = Model(folder, numbered.count(), blank)
@@ -394,17 +411,17 @@ def calibrate(texts: DataFrame, model: Model, true: dict[int, float]) -> tuple[f
     folder = model.folder
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = load(folder)
-        number = {d: i for i, d in enumerate(index.doc_ids.tolist())}
-        for batch in slices(batches):
-            doc_ids, vectors = batch.column("doc_id").to_pylist(), _vectors(index, batch)
-            own = [i for i, d in enumerate(doc_ids) if d in number]
-            for at in range(0, len(own), AT_ONCE):
-                some = own[at:at + AT_ONCE]
-                which = [number[doc_ids[i]] for i in some]
-                raw = [index.vote(*near) for near in index.search([vectors[i][1] for i in some], without=which)]
-                bins = np.clip(np.rint(np.maximum(raw, 0) * (BINS - 1)), 0, BINS - 1).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"bin": bins, "toxic": index.labels[which].astype(np.int64)})
+        with loaded(folder) as index:
+            number = {d: i for i, d in enumerate(index.doc_ids.tolist())}
+            for batch in slices(batches):
+                doc_ids, vectors = batch.column("doc_id").to_pylist(), _vectors(index, batch)
+                own = [i for i, d in enumerate(doc_ids) if d in number]
+                for at in range(0, len(own), AT_ONCE):
+                    some = own[at:at + AT_ONCE]
+                    which = [number[doc_ids[i]] for i in some]
+                    raw = [index.vote(*near) for near in index.search([vectors[i][1] for i in some], without=which)]
+                    bins = np.clip(np.rint(np.maximum(raw, 0) * (BINS - 1)), 0, BINS - 1).astype(np.int64)
+                    yield pa.RecordBatch.from_pydict({"bin": bins, "toxic": index.labels[which].astype(np.int64)})
 
     found = {(r.bin, r.toxic): r.n for r in texts.select("doc_id", "text").mapInArrow(votes, "bin long, toxic long")
              .groupBy("bin", "toxic").agg(F.count("*").alias("n")).collect()}
@@ -431,24 +448,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
-        index = load(model.folder) if model.folder else None
-        for batch in slices(batches):
-            if len(known) >= 50_000:
-                known.clear()
-            vectors = _vectors(index, batch) if index else [(b"", None)] * batch.num_rows
-            fresh = {key: vector for key, vector in vectors if key not in known}
-            asked = list(fresh)
-            for at in range(0, len(asked), AT_ONCE):
-                some = asked[at:at + AT_ONCE]
-                near = index.search([fresh[key] for key in some]) if index else [(np.zeros(0, int), np.zeros(0))] * len(some)
-                known.update((key, (model.score(index.vote(*n) if index else -1.0), index.doc_ids[n[0][:3]].tolist() if index else []))
-                             for key, n in zip(some, near))
-            keys = [key for key, _ in vectors]
-            out = [known[key] for key in keys]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([s for s, _ in out], pa.float64()),
-                 pa.array([int(s >= 0.5) for s, _ in out], pa.int32()),
-                 pa.array([e for _, e in out], pa.list_(pa.int64()))], [*batch.schema.names, *new])
+        with loaded(model.folder) if model.folder else nullcontext() as index:
+            for batch in slices(batches):
+                if len(known) >= 20_000:
+                    known.clear()
+                vectors = _vectors(index, batch) if index else [(b"", None)] * batch.num_rows
+                fresh = {key: vector for key, vector in vectors if key not in known}
+                asked = list(fresh)
+                for at in range(0, len(asked), AT_ONCE):
+                    some = asked[at:at + AT_ONCE]
+                    near = index.search([fresh[key] for key in some]) if index else [(np.zeros(0, int), np.zeros(0))] * len(some)
+                    known.update((key, (model.score(index.vote(*n) if index else -1.0), index.doc_ids[n[0][:3]].tolist() if index else []))
+                                 for key, n in zip(some, near))
+                keys = [key for key, _ in vectors]
+                out = [known[key] for key in keys]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array([s for s, _ in out], pa.float64()),
+                     pa.array([int(s >= 0.5) for s, _ in out], pa.int32()),
+                     pa.array([e for _, e in out], pa.list_(pa.int64()))], [*batch.schema.names, *new])
 
     schema = StructType(list(source.schema)).add("score", "double").add("predicted", "integer").add(
         "evidence", ArrayType(LongType()))

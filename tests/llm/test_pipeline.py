@@ -9,7 +9,7 @@ import __spark_entry__ as contract
 import corpus_pipeline
 
 NAMES = ["op1_topk_search", "op2_minhash_dedup", "op3_html_text", "op4_license_scan", "op5_decontaminate", "op6_language_id",
-         "op7_url_filter", "op8_toxicity", "op9_token_store", "op10_packing", "pipeline"]
+         "op7_url_filter", "op8_toxicity", "op9_token_store", "op10_packing", "op11_vector_codes", "op12_divergence", "op13_bpe", "pipeline"]
 
 
 def test_all_queries_are_registered():

@@ -266,7 +266,7 @@ def index_of(vectors, weights):
     of = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v[0]) for v in vectors])
     values = np.concatenate([v[1] for v in vectors]).astype(np.float32)
     order = np.lexsort((of, terms))
-    return toxicity.Index(np.arange(len(weights), dtype=np.uint64), weights, terms[order], of[order], values[order],
+    return toxicity.Index(np.arange(len(weights)), weights, terms[order], of[order], values[order],
                           np.zeros(len(vectors), np.int8), np.ones(len(vectors)), np.arange(len(vectors)))
 
 
