@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from citefold.llm.batches import NOT_WORD, Words, mix, slices, words
+from citefold.llm.tokens import encoder
 from citefold.session import stage, staging_root
 
 EXAMPLES = 4000       # labelled rows per label that are learned from
@@ -42,6 +43,7 @@ LEVELS = (2.5, 1.5)   # weights above which postings are read: first, and if too
 BLOCK = 64            # examples of a block
 FEW = 64              # possible examples that are scored without reading further levels
 DENSE = 512           # most frequent terms of the first level, laid out as a matrix
+SLICE_BYTES = 1 << 19  # text whose terms are held at once, besides a single longer text
 AT_ONCE = 128         # texts whose products are formed together
 NEIGHBOURS = 15
 BINS = 10
@@ -283,6 +285,7 @@ def loaded(folder: str) -> Iterator[Index]:
     _uses[1] += 1
     if folder not in _loaded:
         _loaded.clear()
+        encoder.cache_clear()  # what token stages of an earlier run remember is not needed beside an index
         _loaded[folder] = _read(folder)
         pa.default_memory_pool().release_unused()
     try:
@@ -341,7 +344,7 @@ def labelled_sample(labels: DataFrame, examples: int = EXAMPLES) -> tuple[DataFr
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, toxic, term, n) of every term of every text; a null term for texts without any."""
-    for batch in slices(batches):
+    for batch in slices(batches, limit=SLICE_BYTES):
         hashes, codes, counts, bounds = row_terms(words(batch.column("text"), NOT_WORD))
         sizes = np.diff(bounds)
         row = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
@@ -413,7 +416,7 @@ def calibrate(texts: DataFrame, model: Model, true: dict[int, float]) -> tuple[f
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with loaded(folder) as index:
             number = {d: i for i, d in enumerate(index.doc_ids.tolist())}
-            for batch in slices(batches):
+            for batch in slices(batches, limit=SLICE_BYTES):
                 doc_ids, vectors = batch.column("doc_id").to_pylist(), _vectors(index, batch)
                 own = [i for i, d in enumerate(doc_ids) if d in number]
                 for at in range(0, len(own), AT_ONCE):
@@ -449,7 +452,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
         with loaded(model.folder) if model.folder else nullcontext() as index:
-            for batch in slices(batches):
+            for batch in slices(batches, limit=SLICE_BYTES):
                 if len(known) >= 20_000:
                     known.clear()
                 vectors = _vectors(index, batch) if index else [(b"", None)] * batch.num_rows
