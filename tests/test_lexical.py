@@ -1,10 +1,11 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from citefold.functions.analyzer import Analyzer, analyze_rows, fingerprint
+from citefold.functions.analyzer import Analyzer, analyze_rows, fingerprint, slices
 from citefold.operators import lexical
 
 
@@ -114,3 +115,30 @@ def test_scores_inside_rows_equal_the_join_of_terms(spark):
     asked = ask(spark, "w1 w5 w7", "w0", "absent", "w3 w3 w36 w12")
     inside, joined = (sorted(map(tuple, lexical.bm25_search(index, asked, 9, limit=n).collect())) for n in (1 << 20, 0))
     assert inside and inside == joined
+
+
+def test_slices_of_texts_count_like_single_texts(spark, monkeypatch):
+    rng = random.Random(7)
+    signs = list("aBc12-+. HeLiNaCl2O\t\n\x0b\x1c\x85\xa0µ²ﬁǺ̸한中文αβé½−‑") + [" "] * 6
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 50))) for _ in range(3000)] + ["", None, " ́a\n̸", "the of"]
+    analyzer, alone = Analyzer(), Analyzer()
+    found = [[] for _ in texts]
+    for row, term, n in zip(*analyzer.tally(pa.array(texts))):
+        found[row].append((analyzer.vocabulary[term], n))
+    assert found == [list(alone.counts(t or "").items()) for t in texts]
+    analyzer.CACHE_WORDS = 3  # forgets its words, and numbers them anew
+    row, term, n = analyzer.tally(pa.array(["water catalyst water"]))
+    assert [(analyzer.vocabulary[t], int(c)) for t, c in zip(term, n)] == [("w:water", 2), ("w:catalyst", 1)]
+
+
+def test_a_large_batch_is_analyzed_in_slices_of_bounded_text(spark):
+    """One Arrow batch of long texts must not be held as counted terms at once."""
+    batch = pa.RecordBatch.from_pydict({"row_id": list(range(60)), "text": ["x" * 100_000] * 59 + [None]})
+    parts = list(slices([batch], 1_000_000))
+    assert [p.num_rows for p in parts] == [10] * 5 + [10] and sum(p.num_rows for p in parts) == 60
+    assert [r for p in parts for r in p.column("row_id").to_pylist()] == list(range(60))
+
+
+def test_document_frequencies_in_place_and_joined_agree(spark, small, rows):
+    terms = spark.createDataFrame([("w:catalyst",), ("w:water",), ("w:absent",)], "term string")
+    assert rows(lexical._frequencies(small, terms)) == rows(lexical._frequencies(small, terms, limit=0)) == [("w:catalyst", 2), ("w:water", 1)]
