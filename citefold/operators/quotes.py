@@ -4,26 +4,21 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citefold.functions.runs import word_runs
 from citefold.functions.text import unique_alignment, words
-from citefold.operators.scale import measured_bytes, measured_join
+from citefold.operators.scale import BROADCAST_LIMIT, measured_bytes, measured_join
 from citefold.session import stage
 
 SEED_WORDS = 4
 
 
-def _shingles(tokens: Column, size: int) -> Column:
-    """Hashes of every run of ``size`` consecutive words."""
-    return F.when(F.size(tokens) >= size, F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - F.lit(size - 1)),
-        lambda i: F.xxhash64(F.lit(size), F.array_join(F.slice(tokens, i, F.lit(size)), "\x1f"))))
-
-
 def find_quotes(texts: DataFrame, quotes: DataFrame) -> DataFrame:
     """(quote_id, text_id, status, char_start, char_end) of every verbatim occurrence.
 
@@ -34,14 +29,16 @@ def find_quotes(texts: DataFrame, quotes: DataFrame) -> DataFrame:
     split = stage(quotes.select("quote_id", "quote", words(F.col("quote")).alias("w")), "quotes")
     seeded = split.filter(F.size("w") >= 3)
     inner = F.slice(F.col("w"), F.lit(2), F.least(F.lit(SEED_WORDS), F.size("w") - 2))
-    seeds = seeded.select("quote_id", F.size(inner).alias("n"), F.xxhash64(F.size(inner), F.array_join(inner, "\x1f")).alias("h"))
-    sizes = [r["n"] for r in seeds.select("n").distinct().collect()]  # at most SEED_WORDS values
+    inner = seeded.select("quote_id", F.size(inner).alias("n"), F.array_join(inner, " ").alias("text"))
+    sizes = sorted(r["n"] for r in inner.select("n").distinct().collect())  # at most SEED_WORDS values
     candidates = []
     if sizes:
-        runs = F.flatten(F.array_compact(F.array(*[_shingles(F.col("w"), n) for n in sorted(sizes)])))
-        shingled = texts.select("text_id", words(F.col("text")).alias("w")).select(
-            "text_id", F.explode(F.array_distinct(runs)).alias("h"))
-        candidates.append(measured_join(shingled, seeds.select("quote_id", "h"), ["h"]).select("quote_id", "text_id"))
+        seeds = stage(reduce(DataFrame.unionByName, [  # the inner words are one run of their number
+            word_runs(inner.filter(F.col("n") == n).select("quote_id", "text"), [n]) for n in sizes]), "quote-seeds")
+        few = measured_bytes(seeds) <= BROADCAST_LIMIT
+        only = seeds.select("h").distinct().toArrow().column("h").to_numpy() if few else None
+        shingled = word_runs(texts.select("text_id", "text"), sizes, only)
+        candidates.append(measured_join(shingled, seeds, ["h"]).select("quote_id", "text_id"))
     short = split.filter((F.size("w") < 3) & (F.col("quote") != "")).select("quote_id", "quote")
     if not short.isEmpty():
         candidates.append(_scan(texts, short))
