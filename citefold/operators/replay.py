@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citefold.functions.text import words
+from citefold.functions.runs import word_runs
 from citefold.operators.chunking import LOCATION_VERSION
 from citefold.session import stage
 
@@ -25,10 +25,7 @@ REASONS = {"changed": "chunk_text_differs_from_current_pdf_extraction", "lost":
 
 def anchors(chunks: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, h, chunk_index) of runs of ``size`` words that only one chunk of the document holds."""
-    tokens = chunks.select("doc_id", "chunk_index", words(F.col("text")).alias("w"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - F.lit(size - 1)),
-                       lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(size)), "\x1f")))
-    hashed = tokens.filter(F.size("w") >= size).select("doc_id", "chunk_index", F.explode(F.array_distinct(runs)).alias("h"))
+    hashed = word_runs(chunks.select("doc_id", "chunk_index", "text"), [size])
     return hashed.groupBy("doc_id", "h").agg(F.count("*").alias("n"), F.min("chunk_index").alias("chunk_index")).filter(
         "n = 1").drop("n")
 

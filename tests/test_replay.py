@@ -4,8 +4,10 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from citefold.functions import runs
 from citefold.operators import chunking, encoding, replay
 
 
@@ -98,3 +100,24 @@ def test_batches_are_bounded_and_order_is_kept(spark):
     for i, t in enumerate(texts):
         v = np.array([len(t), sum(map(ord, t)) % 97 + 1], float)
         assert np.allclose(got[i], v / np.linalg.norm(v), atol=1e-6)
+
+
+def test_runs_of_words_are_hashed_where_they_lie(spark):
+    """Equal runs have equal hashes in any text, runs over two texts or of another size none."""
+    row, h = runs.run_hashes(pa.array([" a b c ", None, "", "a b", "x a b c"]), [2, 3])
+    of = lambda r, n: [int(v) for v, k in zip(h, row) if k == r][:n]
+    assert sorted(row.tolist()) == [0, 0, 0, 3, 4, 4, 4, 4, 4]
+    assert of(3, 1) == of(0, 1) and of(4, 3)[1:] == of(0, 2) and len(set(of(0, 3))) == 3
+    texts = spark.createDataFrame([(1, "a b a b c"), (2, "c d")], "k int, text string")
+    found = sorted((r.k, r.h) for r in runs.word_runs(texts, [2]).collect())
+    assert [k for k, _ in found] == [1, 1, 1, 2]  # a run that comes twice counts once
+    only = np.array([of(0, 1)[0]])
+    assert [(r.k, r.h) for r in runs.word_runs(texts, [2], only).collect()] == [(1, int(only[0]))]
+
+
+def test_tokens_added_up_by_word_are_those_of_the_chunk(spark):
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choices("ab1_,.;é́%中", k=rng.randint(1, 8))) for _ in range(300))
+    frame = spark.createDataFrame([("doc", text)], "doc_id string, text string")
+    made = chunking.word_windows(frame, 40, 10).collect()
+    assert len(made) > 5 and all(r.token_count == chunking.RegexTokenizer().count(r.text) for r in made)
