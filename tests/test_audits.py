@@ -158,3 +158,19 @@ def test_duplicates_take_the_place_of_a_located_copy(spark):
     other = [(9, "c", "abc", ["s3"], "located", None, [2], [(2, 0, 3, "abc")])]
     with pytest.raises(Exception, match="conflicting"):
         corpus.unique_chunks(spark.createDataFrame(rows + other, schema)).collect()
+
+
+def test_searches_share_their_rankings(spark, tmp_path, monkeypatch):
+    """Three modes of one batch of questions rank once."""
+    from citefold import search
+    from citefold.plans import audits
+
+    made = []
+    whole = search.SearchIndex.routes
+    monkeypatch.setattr(search.SearchIndex, "routes", lambda self, *a: made.append(1) or whole(self, *a))
+    texts = [(i, f"catalyst number {i} reduces carbon dioxide " + "water " * (i % 5)) for i in range(12)]
+    spark.createDataFrame([(i, t, "en", "web") for i, t in texts], "doc_id long, text string, lang string, source string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "carbon dioxide"), (2, "water")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = audits.published_search(spark, str(tmp_path))
+    assert {r["mode"] for r in found.select("mode").distinct().collect()} >= {"bm25", "hybrid"} and made == [1]
