@@ -37,7 +37,8 @@ SELECT query_id AS question_id, row_id, rank::INT AS rank, candidate_rank::INT A
 """)
 def reranked_topk(spark, sf_dir):
     """Ten best chunks per item of the reranked search."""
-    out = rerank.reranked_search(_candidates(search_benchmark(spark, sf_dir)), _asked(spark, sf_dir), 10, rerank.overlap_scorer)
+    listed = stage(_candidates(search_benchmark(spark, sf_dir)), "candidates")  # read twice
+    out = rerank.reranked_search(listed, _asked(spark, sf_dir), 10, rerank.overlap_scorer)
     return out.select(F.col("query_id").alias("question_id"), "row_id", "rank", "candidate_rank", F.round("logit", 9).alias("logit"))
 
 

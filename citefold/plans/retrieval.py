@@ -313,6 +313,6 @@ def reranked_window(spark, sf_dir):
     """The fused window reordered by a pluggable scorer; ties keep the candidate order."""
     found = search_benchmark(spark, sf_dir)
     asked = benchmark_questions(spark, sf_dir).select(F.col("question_id").alias("query_id"), F.col("question").alias("text"))
-    candidates = found.hits("hybrid").withColumnRenamed("question_id", "query_id")
-    out = rerank.rerank(candidates.select("query_id", "row_id", "rank", "score", "text"), asked, rerank.overlap_scorer)
+    candidates = found.hits("hybrid").withColumnRenamed("question_id", "query_id").select("query_id", "row_id", "rank", "score", "text")
+    out = rerank.rerank(stage(candidates, "candidates"), asked, rerank.overlap_scorer)  # read twice
     return out.select(F.col("query_id").alias("question_id"), "row_id", "candidate_rank", F.round("logit", 9).alias("logit"), "rank")

@@ -100,3 +100,15 @@ def test_evidence_map_numbers_documents_by_first_place(spark):
                                     "question_id long, rank int, chunk_id string, doc_id string, source string")
     got = sorted((r.chunk_id, r.reference_number, r.entry) for r in citations.evidence_map(context, ["question_id"]).collect())
     assert got == [("c1", 1, "[1] b (doc_id: d2)  "), ("c2", 2, "[2] a (doc_id: d1)  "), ("c3", 1, "[1] b (doc_id: d2)  ")]
+
+
+def test_the_candidate_window_is_written_once_before_it_is_reranked(spark, tmp_path, monkeypatch):
+    from citefold.plans import checks, retrieval
+
+    spark.createDataFrame([(i, f"catalyst number {i} reduces carbon dioxide", "en", "web") for i in range(8)],
+                          "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "carbon dioxide")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for plans, name in ((checks, "reranked_topk"), (retrieval, "reranked_window")):
+        labels, write = [], plans.stage
+        monkeypatch.setattr(plans, "stage", lambda df, label, labels=labels, write=write: labels.append(label) or write(df, label))
+        assert getattr(plans, name)(spark, str(tmp_path)).count() == 8 and labels == ["candidates"]
