@@ -23,11 +23,19 @@ REASONS = {"changed": "chunk_text_differs_from_current_pdf_extraction", "lost":
            "document_not_replayed": "pdf_replay_not_available", "version": "unsupported_location_version"}
 
 
-def anchors(chunks: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, h, chunk_index) of runs of ``size`` words that only one chunk of the document holds."""
-    hashed = word_runs(chunks.select("doc_id", "chunk_index", "text"), [size])
-    return hashed.groupBy("doc_id", "h").agg(F.count("*").alias("n"), F.min("chunk_index").alias("chunk_index")).filter(
-        "n = 1").drop("n")
+def anchors(stored: DataFrame, recut: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, h, old, new) of runs of ``size`` words that one chunk of the document holds on either side, and only one.
+
+    Both sides are counted in one aggregation, so neither is sorted for a join.
+    """
+    none = F.lit(None).cast("int")
+    runs = lambda df, old, new: word_runs(df.select("doc_id", "chunk_index", "text"), [size]).select(
+        "doc_id", "h", old.alias("old"), new.alias("new"))
+    at = F.col("chunk_index")
+    sides = runs(stored, at, none).unionByName(runs(recut, none, at)).filter("doc_id is not null")
+    counted = sides.groupBy("doc_id", "h").agg(
+        F.count("old").alias("olds"), F.count("new").alias("news"), F.min("old").alias("old"), F.min("new").alias("new"))
+    return counted.filter("olds = 1 and news = 1").drop("olds", "news")
 
 
 def heaviest_chain(old: np.ndarray, new: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -67,9 +75,7 @@ def alignment(stored: DataFrame, recut: DataFrame, size: int = SHINGLE) -> DataF
 
     A document's pairs are about as many as its chunks, three numbers each, and are chained in one group.
     """
-    left = anchors(stored, size).withColumnRenamed("chunk_index", "old")
-    right = anchors(recut, size).withColumnRenamed("chunk_index", "new")
-    pairs = left.join(right, ["doc_id", "h"]).groupBy("doc_id", "old", "new").agg(F.count("*").alias("n"))
+    pairs = anchors(stored, recut, size).groupBy("doc_id", "old", "new").agg(F.count("*").alias("n"))
     key = dict(stored.dtypes)["doc_id"]
     return pairs.groupBy("doc_id").applyInArrow(_align, f"doc_id {key}, old int, new int")
 
