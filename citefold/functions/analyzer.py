@@ -134,7 +134,11 @@ class Analyzer:
         """Numbers of the terms of a piece of text, new ones given in the order of their coming."""
         core = piece.rstrip(".,;:!?)\"'")  # characters that never belong to a word before them
         if core.isascii() and core.isalnum() and core[0] >= "A":
-            terms = self.terms[core]
+            if core[0] >= "a":  # no formula
+                folded = core.lower()
+                terms = () if folded in self.terms.stop else ("w:" + folded,)
+            else:
+                terms = self.terms[core]
         else:
             terms = self.sequence(piece)
         number, vocabulary = self._numbers.get, self.vocabulary
@@ -193,6 +197,23 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
             yield batch.slice(int(start), int(stop - start))
 
 
+def term_columns(analyzer: Analyzer, batch: pa.RecordBatch, vocabulary: pa.Array | None = None) -> tuple[list[pa.Array], tuple]:
+    """Columns row_id, length, terms and, with a ``vocabulary``, matched of ``batch`` (row_id, text), and its tally."""
+    row, term, count = analyzer.tally(batch.column("text"))
+    local, used = pd.factorize(term)
+    distinct = pa.array([analyzer.vocabulary[i] for i in used], pa.string())
+    nested = lambda first, of, n, name: pa.ListArray.from_arrays(
+        pa.array(np.searchsorted(of, np.arange(batch.num_rows + 1)), pa.int32()),
+        pa.StructArray.from_arrays([first, pa.array(n, pa.int32())], [name, "tf"]))
+    totals = np.bincount(row, count, batch.num_rows).astype(np.int64)
+    columns = [batch.column("row_id"), pa.array(totals), nested(distinct.take(pa.array(local)), row, count, "term")]
+    if vocabulary is not None:
+        code = pc.fill_null(pc.index_in(distinct, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)[local]
+        hit = code >= 0
+        columns.append(nested(pa.array(code[hit], pa.int32()), row[hit], count[hit], "code"))
+    return columns, (row, term, count)
+
+
 def analyze_rows(texts: DataFrame) -> DataFrame:
     """(row_id, text) -> (row_id, length, terms array<struct<term,tf>>); empty rows keep length 0."""
     key = dict(texts.dtypes)["row_id"]
@@ -200,15 +221,7 @@ def analyze_rows(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         analyzer = kept_analyzer()
         for batch in slices(batches):
-            row, term, count = analyzer.tally(batch.column("text"))
-            local, used = pd.factorize(term)
-            names = pa.array([analyzer.vocabulary[i] for i in used], pa.string()).take(pa.array(local))
-            offsets = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            pairs = pa.StructArray.from_arrays([names, pa.array(count, pa.int32())], ["term", "tf"])
-            totals = np.bincount(row, count, batch.num_rows).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row_id"), pa.array(totals), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)],
-                ["row_id", "length", "terms"])
+            yield pa.RecordBatch.from_arrays(term_columns(analyzer, batch)[0], ["row_id", "length", "terms"])
 
     return texts.select("row_id", "text").mapInArrow(
         run, f"row_id {key}, length bigint, terms array<struct<term:string,tf:int>>")

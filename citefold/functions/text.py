@@ -67,7 +67,8 @@ def json_string(text: Column) -> Column:
     rare = escaped(common, [(c, f"\\u{ord(c):04x}") for c in _OTHER_CONTROLS])
     return F.concat(
         F.lit('"'),
-        F.when(text.rlike(f"[{_OTHER_CONTROL_CLASS}]"), rare).otherwise(common),
+        F.when(text.rlike('[\\x00-\\x1f"\\\\]'), F.when(text.rlike(f"[{_OTHER_CONTROL_CLASS}]"), rare).otherwise(common))
+        .otherwise(text),
         F.lit('"'),
     )
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citefold.functions.analyzer import kept_analyzer, slices
+from citefold.functions.analyzer import Analyzer, kept_analyzer, slices, term_columns
 from citefold.functions.text import token_count
 
 
@@ -38,11 +38,14 @@ class HashingEncoder:
         return self._places[term]
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        row, term, n = self._analyzer.tally(pa.array(texts, pa.string()))
+        return self.encode_tally(self._analyzer, *self._analyzer.tally(pa.array(texts, pa.string())), len(texts))
+
+    def encode_tally(self, analyzer: Analyzer, row: np.ndarray, term: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+        """Vectors of ``size`` texts whose terms are counted already."""
         local, used = pd.factorize(term)
-        found = np.array([self._place(self._analyzer.vocabulary[i]) for i in used], np.int64).reshape(-1, 2)
+        found = np.array([self._place(analyzer.vocabulary[i]) for i in used], np.int64).reshape(-1, 2)
         at = row * self.dimension + found[local, 0]
-        return np.bincount(at, n * found[local, 1], len(texts) * self.dimension).reshape(len(texts), self.dimension).astype(float)
+        return np.bincount(at, n * found[local, 1], size * self.dimension).reshape(size, self.dimension).astype(float)
 
 
 class FilledHashingEncoder(HashingEncoder):
@@ -122,6 +125,36 @@ def encode_texts(texts: DataFrame, encoder: Callable[[], object] = HashingEncode
     return prompted.mapInArrow(run, f"row_id {key}, vector array<float>")
 
 
+def analyze_and_encode(texts: DataFrame, vocabulary: pa.Array | None = None, encoder: Callable[[], object] = HashingEncoder) -> DataFrame:
+    """(row_id, length, terms[, matched], vector): ``analyze_rows`` and ``encode_texts`` from one reading of each text.
+
+    ``vector`` is null where it would be zero or not finite. An encoder with ``encode_tally`` is given the counted terms,
+    any other one the texts. ``matched`` names the terms of ``vocabulary`` in a row by their place in it.
+    """
+    key = dict(texts.dtypes)["row_id"]
+    names = ["row_id", "length", "terms", *([] if vocabulary is None else ["matched"]), "vector"]
+    kinds = {"row_id": key, "length": "bigint", "terms": "array<struct<term:string,tf:int>>",
+             "matched": "array<struct<code:int,tf:int>>", "vector": "array<float>"}
+    shared = None if vocabulary is None else texts.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, analyzer = encoder(), kept_analyzer()
+        for batch in slices(batches):
+            columns, tally = term_columns(analyzer, batch, shared and shared.value)
+            if hasattr(model, "encode_tally"):
+                raw = model.encode_tally(analyzer, *tally, batch.num_rows)
+            else:
+                raw = encode_bounded(model, [t or "" for t in batch.column("text").to_pylist()])
+            norms = np.linalg.norm(raw, axis=1)
+            good = np.isfinite(raw).all(axis=1) & (norms > 0)
+            unit = (raw[good] / norms[good, None]).astype(np.float32)
+            offsets = np.concatenate([[0], np.cumsum(good)]).astype(np.int32) * raw.shape[1]
+            vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit.ravel(), pa.float32()), mask=pa.array(~good))
+            yield pa.RecordBatch.from_arrays([*columns, vectors], names)
+
+    return texts.select("row_id", "text").mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
+
+
 def changed_vectors(left: DataFrame, right: DataFrame, tolerance: float) -> DataFrame:
     """Rows whose vectors are missing on one side or differ by more than the tolerance."""
     both = left.select("row_id", F.col("vector").alias("a")).join(

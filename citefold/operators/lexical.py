@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from citefold.functions.analyzer import analyze_rows
 from citefold.operators.dense import _arrow_schema, _TopK
+from citefold.operators.encoding import HashingEncoder, analyze_and_encode
 from citefold.operators.scale import BROADCAST_LIMIT, SCORE_DIGITS, check_limit, measured_bytes, measured_join, top_k_per_key
 from citefold.session import stage
 
@@ -22,13 +23,17 @@ TILE_BYTES = 16 << 20  # scores that a task holds at once
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Analyzed rows (row_id, length, terms array<struct<term,tf>>) with corpus scalars."""
+    """Analyzed rows (row_id, length, terms array<struct<term,tf>>) with corpus scalars.
+
+    With a ``vocabulary``, rows also hold matched array<struct<code,tf>>: its terms in the row by their place in it.
+    """
 
     rows: DataFrame
     row_count: int
     average_length: float
     k1: float = 1.2
     b: float = 0.75
+    vocabulary: pa.Array | None = None
 
     @property
     def postings(self) -> DataFrame:
@@ -48,11 +53,28 @@ def check_parameters(k1: float, b: float) -> None:
 def build_index(texts: DataFrame, k1: float = 1.2, b: float = 0.75) -> LexicalIndex:
     """Analyze every text once; statistics and postings all read the staged result."""
     check_parameters(k1, b)
-    rows = stage(analyze_rows(texts), "lexical-rows")
+    return _indexed(stage(analyze_rows(texts), "lexical-rows"), k1, b)
+
+
+def build_index_and_vectors(texts: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, encoder=HashingEncoder,
+                            limit: int = BROADCAST_LIMIT) -> tuple[LexicalIndex, DataFrame]:
+    """``build_index`` and ``encode_texts`` (unusable rows dropped) from one reading of the texts.
+
+    The index is whole and serves any query. The terms of ``queries`` (query_id, text), where they measure below ``limit``
+    bytes, are matched while the texts are read, so that a search for them reads numbers in place of terms.
+    """
+    check_parameters(k1, b)
+    terms = stage(query_terms(queries).select("term").distinct(), "vocabulary")
+    vocabulary = terms.toArrow().column("term").combine_chunks().cast(pa.string()) if measured_bytes(terms) <= limit else None
+    rows = stage(analyze_and_encode(texts, vocabulary, encoder), "lexical-rows")
+    return _indexed(rows, k1, b, vocabulary), rows.filter("vector is not null").select("row_id", "vector")
+
+
+def _indexed(rows: DataFrame, k1: float, b: float, vocabulary: pa.Array | None = None) -> LexicalIndex:
     corpus = rows.agg(F.count("*").alias("n"), F.avg("length").alias("avg")).first()
     if not corpus["n"] or not corpus["avg"]:
         raise ValueError("cannot build an empty lexical corpus")
-    return LexicalIndex(rows, corpus["n"], float(corpus["avg"]), k1, b)
+    return LexicalIndex(rows.drop("vector"), corpus["n"], float(corpus["avg"]), k1, b, vocabulary)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -61,25 +83,41 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return analyzed.select(F.col("row_id").alias("query_id"), F.explode("terms.term").alias("term"))
 
 
+def _codes(index: LexicalIndex, asked: pa.Array) -> np.ndarray | None:
+    """Place in ``asked`` of every term of the index's vocabulary (-1: none), if that holds all of ``asked``."""
+    if index.vocabulary is None or not pc.all(pc.is_in(asked, value_set=index.vocabulary), min_count=0).as_py():
+        return None
+    return pc.fill_null(pc.index_in(index.vocabulary, value_set=asked), -1).to_numpy(zero_copy_only=False)
+
+
+def _coded(held: pa.Array, asked: pa.Array, codes: np.ndarray | None) -> tuple[np.ndarray, pa.Array]:
+    """(place in ``asked`` or -1, tf) of the flattened entries of ``terms``, or with ``codes`` of ``matched``."""
+    names, counts = held.flatten().flatten()
+    if codes is not None:
+        return codes[names.to_numpy(zero_copy_only=False)], counts
+    return pc.fill_null(pc.index_in(names, value_set=asked), -1).to_numpy(zero_copy_only=False), counts
+
+
 def _frequencies(index: LexicalIndex, terms: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """(term, df) of ``terms``; a set that measures below ``limit`` bytes is counted where the rows lie."""
     if measured_bytes(terms) > limit:
         matched = measured_join(index.postings, terms, ["term"], "left_semi")
         return matched.groupBy("term").agg(F.count("*").alias("df"))
     spark = terms.sparkSession
-    shared = spark.sparkContext.broadcast(terms.toArrow().column("term").combine_chunks())
+    asked = terms.toArrow().column("term").combine_chunks()
+    codes = _codes(index, asked)
+    shared = spark.sparkContext.broadcast((asked, codes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
+        vocabulary, codes = shared.value
         total = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
-            names = batch.column("terms").flatten().flatten()[0]
-            code = pc.index_in(names, value_set=vocabulary).drop_null().to_numpy(zero_copy_only=False)
-            total += np.bincount(code, minlength=len(vocabulary))
+            code, _ = _coded(batch.column(0), vocabulary, codes)
+            total += np.bincount(code[code >= 0], minlength=len(vocabulary))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([vocabulary.take(pa.array(some)).cast(pa.string()), pa.array(total[some])], ["term", "df"])
 
-    held = index.rows.select("terms").mapInArrow(count, "term string, df long")
+    held = index.rows.select("terms" if codes is None else "matched").mapInArrow(count, "term string, df long")
     return held.groupBy("term").agg(F.sum("df").alias("df"))
 
 
@@ -119,21 +157,21 @@ def _task_best(index: LexicalIndex, weights: DataFrame, k: int) -> DataFrame:
     code = pc.index_in(held.column("term"), value_set=vocabulary).to_numpy()
     order = np.argsort(code, kind="stable")
     starts = np.searchsorted(code[order], np.arange(len(vocabulary) + 1))
+    codes = _codes(index, vocabulary)
     shared = spark.sparkContext.broadcast(
-        (queries, vocabulary, starts, number[order], held.column("idf").to_numpy()[order]))
+        (queries, vocabulary, codes, starts, number[order], held.column("idf").to_numpy()[order]))
     schema = f"query_id {dict(weights.dtypes)['query_id']}, row_id {dict(index.rows.dtypes)['row_id']}, score double"
     arrow = _arrow_schema(spark, schema)
     k1, b, average, step = index.k1, index.b, index.average_length, max(1, TILE_BYTES // (8 * max(1, len(queries))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, vocabulary, starts, of, idf = shared.value
+        queries, vocabulary, codes, starts, of, idf = shared.value
         best = _TopK(k)
         for batch in batches:
             for at in range(0, batch.num_rows if len(queries) else 0, step):
                 rows = batch.slice(at, step)
-                terms = rows.column("terms")
-                names, counts = terms.flatten().flatten()
-                code = pc.fill_null(pc.index_in(names, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+                terms = rows.column(2)
+                code, counts = _coded(terms, vocabulary, codes)
                 hit = np.flatnonzero(code >= 0)
                 row = np.repeat(np.arange(len(rows)), terms.value_lengths().to_numpy(zero_copy_only=False))[hit]
                 some, row = np.unique(row, return_inverse=True)
@@ -150,7 +188,7 @@ def _task_best(index: LexicalIndex, weights: DataFrame, k: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, f.type) for c, f in zip(best.columns(queries), arrow)], schema=arrow)
 
-    return index.rows.select("row_id", "length", "terms").mapInArrow(scan, schema)
+    return index.rows.select("row_id", "length", "terms" if codes is None else "matched").mapInArrow(scan, schema)
 
 
 def bm25_search(index: LexicalIndex, queries: DataFrame, k: int, limit: int = BROADCAST_LIMIT) -> DataFrame:

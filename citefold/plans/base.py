@@ -106,10 +106,9 @@ def search_benchmark(spark: SparkSession, sf_dir: str, documents: DataFrame | No
     """Dense, lexical and fused rankings of every benchmark item over all chunks."""
     documents = frozen_documents(spark, sf_dir) if documents is None else documents
     chunks = chunk_table(documents)
-    index = lexical.build_index(chunks)
     items = benchmark_questions(spark, sf_dir)
     asked = items.select(F.col("question_id").alias("row_id"), F.col("question").alias("text"))
-    vectors = stage(encoding.encode_texts(chunks, unusable="drop"), "vectors")
+    index, vectors = lexical.build_index_and_vectors(chunks, asked.withColumnRenamed("row_id", "query_id"))
     query_vectors = encoding.encode_texts(asked, unusable="drop").withColumnRenamed("row_id", "query_id")
     found = {
         "dense": stage(dense.cosine_search(vectors, query_vectors, window), "dense-hits"),

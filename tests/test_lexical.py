@@ -1,12 +1,13 @@
 import math
 import random
+from dataclasses import replace
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from citefold.functions.analyzer import Analyzer, analyze_rows, fingerprint, slices
-from citefold.operators import lexical
+from citefold.operators import encoding, lexical
 
 
 def test_formula_charge_and_width_forms_agree():
@@ -142,3 +143,29 @@ def test_a_large_batch_is_analyzed_in_slices_of_bounded_text(spark):
 def test_document_frequencies_in_place_and_joined_agree(spark, small, rows):
     terms = spark.createDataFrame([("w:catalyst",), ("w:water",), ("w:absent",)], "term string")
     assert rows(lexical._frequencies(small, terms)) == rows(lexical._frequencies(small, terms, limit=0)) == [("w:catalyst", 2), ("w:water", 1)]
+
+
+def test_index_and_vectors_of_one_reading_are_those_of_two(spark):
+    texts = spark.createDataFrame(
+        [(0, "water catalyst"), (1, "of the"), (2, None), (3, "H2O, water 2.5 电位"), (4, "ozone")], "row_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(7, "water 电位 catalyst"), (8, "absent")], "query_id long, text string")
+    plain, vectors = lexical.build_index(texts), encoding.encode_texts(texts, unusable="drop")
+    flat = lambda df: sorted(map(tuple, df.collect()))
+    best = flat(lexical.bm25_search(plain, asked, 3))
+    assert best
+    for limit in (1 << 20, 0):  # terms of the queries matched while reading, or not
+        index, made = lexical.build_index_and_vectors(texts, asked, limit=limit)
+        assert (index.vocabulary is None) == (limit == 0)
+        assert (index.row_count, index.average_length) == (plain.row_count, plain.average_length)
+        assert flat(index.postings) == flat(plain.postings) and flat(made) == flat(vectors)
+        assert flat(lexical.bm25_search(index, asked, 3)) == best == flat(lexical.bm25_search(index, asked, 3, limit=0))
+        other = spark.createDataFrame([(1, "ozone water")], "query_id long, text string")  # with a term that was not matched
+        assert flat(lexical.bm25_search(index, other, 3)) == flat(lexical.bm25_search(plain, other, 3)) != []
+
+
+def test_search_for_known_questions_reads_no_terms(spark):
+    texts = spark.createDataFrame([(0, "water catalyst"), (1, "ozone")], "row_id long, text string")
+    asked = spark.createDataFrame([(7, "water")], "query_id long, text string")
+    index, _ = lexical.build_index_and_vectors(texts, asked)
+    held = index.rows.drop("terms")  # the search fails if it needs them
+    assert lexical.bm25_search(replace(index, rows=held), asked, 1).first()["row_id"] == 0
