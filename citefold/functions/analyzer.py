@@ -110,13 +110,15 @@ class Analyzer:
         self.terms = _Terms()
         self.vocabulary: list[str] = []  # terms by number, as ``tally`` counts them
         self._numbers: dict[str, int] = {}
-        self._pieces: dict[str, list[int]] = {}
+        self._pieces: dict[str, tuple[int, ...]] = {}
 
     def _words(self, text: str) -> list[str]:
         if len(self.terms) > self.CACHE_WORDS:
             self.terms.clear()
         if not text.isascii():
-            text = unicodedata.normalize("NFKC", text).translate(self.dashes)
+            text = unicodedata.normalize("NFKC", text)
+            if any(map(text.__contains__, DASHES)):
+                text = text.translate(self.dashes)
         return self.words(text)
 
     def sequence(self, text: str) -> list[str]:
@@ -130,9 +132,10 @@ class Analyzer:
                 total[term] = seen(term, 0) + n
         return total
 
-    def _number(self, piece: str) -> list[int]:
+    def _number(self, piece: str) -> tuple[int, ...]:
         """Numbers of the terms of a piece of text, new ones given in the order of their coming."""
         core = piece.rstrip(".,;:!?)\"'")  # characters that never belong to a word before them
+        number, vocabulary = self._numbers.get, self.vocabulary
         if core.isascii() and core.isalnum() and core[0] >= "A":
             if core[0] >= "a":  # no formula
                 folded = core.lower()
@@ -141,7 +144,6 @@ class Analyzer:
                 terms = self.terms[core]
         else:
             terms = self.sequence(piece)
-        number, vocabulary = self._numbers.get, self.vocabulary
         found = []
         for term in terms:
             n = number(term)
@@ -149,6 +151,7 @@ class Analyzer:
                 n = self._numbers[term] = len(vocabulary)
                 vocabulary.append(term)
             found.append(n)
+        found = tuple(found)  # of numbers alone, which the collector soon leaves out
         if len(piece) <= self.CACHE_LENGTH:
             self._pieces[piece] = found
         return found
@@ -163,7 +166,7 @@ class Analyzer:
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = split.flatten().dictionary_encode()
         known = self._pieces.get
-        numbers = [self._number(p) if (n := known(p)) is None else n for p in coded.dictionary.to_pylist()]
+        numbers = [self._number(p) if (n := known(p)) is None else n for p in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
         sizes = np.fromiter(map(len, numbers), np.int64, len(numbers))
         code = coded.indices.to_numpy(zero_copy_only=False)
         repeats = sizes[code]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from citefold.functions.analyzer import nfkc
 from citefold.functions.text import SPACE
 from citefold.operators.citations import resolve
 from citefold.session import stage
@@ -39,7 +42,6 @@ QUANTITY = (
     "(mol%|(?:μmol|mmol|mA|A)(?:(?:" + _S + "*cm" + _S + "*\\^?" + _S + "*-?2)|(?:" + _S + "*/" + _S + "*cm\\^?2))?"
     "(?:" + _S + "*h" + _S + "*\\^?" + _S + "*-1)?|equiv|mM|mV|min|°" + _S + "*C|V|M|mol|%|K|h|s)(?![A-Za-z])"
 )
-NUMBER = "^[+−-]?\\p{Nd}+(?:\\.\\p{Nd}+)?(?:[eE][+-]?\\p{Nd}+)?"
 ABSENCE = (
     "(?i)(?:全文|整篇论文|整个语料).{0,16}(?:没有|不存在|未报告|未提供)"
     "|(?:原文|论文).{0,8}(?:没有|不存在).{0,8}(?:对照|证据)"
@@ -52,50 +54,70 @@ PERCENT_TOPIC = "(?i)\\bFE\\b|efficiency|selectivity|选择性|收率|效率"
 CHANGE_WORDS = "(?i)变化|下降|降低|change|decreas|relative|delta|百分点"
 SENTENCE_END = "[。！？;；\\n]|(?<![0-9])\\.(?![0-9])"
 LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
+ABSENCE_WORDS = ("全文", "整篇论文", "整个语料", "原文", "论文", "paper", "article", "no control")  # every absence claim has one
 ARROW = "→|⟶|->|\\\\(?:long)?rightarrow"
+ARROWS = ("→", "⟶", "->", "\\rightarrow", "\\longrightarrow")  # the same one by one
 PLUS = "[+•·]|\\\\(?:bullet|cdot)"
 ASKS_EQUATION = "(?i)方程|反应式|equation|reaction scheme"
 CANONICAL_MARKER = "\\[Ref (chunk_[a-f0-9]{64})\\]"
 
 
-def comparable(text: Column) -> Column:
-    return F.replace(nfkc(text), F.lit("−"), F.lit("-"))
+def contains_any(text: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, f"^{_S}+|{_S}+$", "")
 
 
-def quantities(normalized: Column) -> Column:
-    """array<struct<value, shown, unit>> of an already comparable text, all of them strings.
+_quantity = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{m[1]:>04}", QUANTITY).replace("\\p{Nd}", "\\d"))
+_number = re.compile("([+-]?)(\\d+)(?:\\.(\\d+))?(?:[eE]([+-]?\\d+))?")
+_spaces = re.compile(r"\s+")
+KEPT_QUANTITIES = 50_000
 
-    ``value`` is sign, digits without outer zeros and exponent: equal for equal numbers of any size and precision, and
-    it starts with "-" only where the number is below zero.
-    """
-    whole = F.regexp_extract_all(normalized, F.lit(QUANTITY), 0)
 
-    def entry(found):
-        shown = F.replace(F.regexp_extract(found, NUMBER, 0), F.lit("−"), F.lit("-"))
-        unit = F.regexp_replace(F.regexp_replace(found, NUMBER, ""), f"{_S}+", "")
-        unit = F.replace(F.replace(unit, F.lit("^"), F.lit("")), F.lit("/cm2"), F.lit("cm-2"))
-        return F.struct(shown.alias("shown"), unit.alias("unit"))
+def _amount(found: str) -> tuple[str, str, str]:
+    """(value, shown, unit) of one match of ``QUANTITY`` in a comparable text."""
+    m = _number.match(found)
+    sign, whole, fraction, power = m.groups("")
+    unit = _spaces.sub("", found[m.end():]).replace("^", "").replace("/cm2", "cm-2")
+    digits = (whole + fraction).lstrip("0")
+    short = digits.rstrip("0")
+    power = ("-" if power.startswith("-") else "") + (power.lstrip("+-").lstrip("0") or "0")
+    if not short:
+        value = "0"
+    elif len(power.lstrip("-")) > 28:  # such powers are compared as they are written
+        value = m.group()
+    else:
+        value = f"{'-' if sign == '-' else ''}{short}E{int(power) + len(digits) - len(short) - len(fraction)}"
+    return value, m.group(), unit
 
-    def parts(q):
-        part = lambda pattern: F.regexp_extract(q["shown"], pattern, 1)
-        fraction = part("\\.(\\p{Nd}+)")
-        return F.struct(q["shown"].alias("shown"), q["unit"].alias("unit"), F.length(fraction).alias("places"),
-                        F.ltrim(F.concat(part("^[+-]?(\\p{Nd}+)"), fraction), F.lit("0")).alias("digits"),
-                        part("[eE]([+-]?\\p{Nd}+)$").alias("power"))
 
-    def valued(q):
-        digits = F.rtrim(q["digits"], F.lit("0"))
-        power = F.when(q["power"] == "", F.lit("0")).otherwise(q["power"]).try_cast("decimal(28,0)")
-        exponent = power + (F.length(q["digits"]) - F.length(digits) - q["places"])
-        value = F.when(digits == "", F.lit("0")).otherwise(F.concat(
-            F.when(F.startswith(q["shown"], F.lit("-")), "-").otherwise(""), digits, F.lit("E"), exponent.cast("string")))
-        return F.struct(F.coalesce(value, q["shown"]).alias("value"), q["shown"].alias("shown"), q["unit"].alias("unit"))
+@F.arrow_udf(ArrayType(StructType([StructField(name, StringType()) for name in ("value", "shown", "unit")])))
+def quantities(text: pa.Array) -> pa.Array:
+    """array<struct<value, shown, unit>> of a text in its comparable form, all of them strings.
 
-    return F.transform(F.transform(F.transform(whole, entry), parts), valued)
+    ``value`` is sign, digits without outer zeros and exponent: equal for equal numbers of any size and precision, and
+    it starts with "-" only where the number is below zero.
+    """
+    known: dict[str, tuple[str, str, str]] = {}
+    amounts, ends = [], [0]
+    for t in text.to_pylist():
+        if t is not None:
+            if not t.isascii():
+                t = unicodedata.normalize("NFKC", t).replace("−", "-")
+            for m in _quantity.finditer(t):
+                found = m.group()
+                amount = known.get(found)
+                if amount is None:
+                    if len(known) >= KEPT_QUANTITIES:
+                        known.clear()
+                    amount = known[found] = _amount(found)
+                amounts.append(amount)
+        ends.append(len(amounts))
+    parts = [pa.array(c, pa.string()) for c in zip(*amounts)] or [pa.array([], pa.string())] * 3
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["value", "shown", "unit"]),
+                                    mask=text.is_null())
 
 
 def negative_percentage(found: Column) -> Column:
@@ -133,14 +155,15 @@ def audit(answers: DataFrame, context: DataFrame, keys: list[str]) -> DataFrame:
         F.posexplode(F.split("answer", f"\\n{_S}*\\n", -1)).alias("_p", "paragraph"))
     whole = F.col("paragraph")
     paragraphs = stage(
-        cut.withColumn("_quantities", quantities(comparable(whole)))
+        cut.withColumn("_quantities", quantities(whole))
         .withColumn("negative", negative_percentage(F.col("_quantities")) & whole.rlike(PERCENT_TOPIC))
-        .withColumn("absent", whole.rlike(ABSENCE)).withColumn("reaction", whole.rlike(ARROW)), "paragraphs")
+        .withColumn("absent", contains_any(F.lower(whole), ABSENCE_WORDS) & whole.rlike(ABSENCE))
+        .withColumn("reaction", contains_any(whole, ARROWS)), "paragraphs")
     at = [*keys, "_p"]
     named = paragraphs.filter((F.size("_quantities") > 0) | F.col("reaction")).select(*at, "reaction", F.explode(
         F.array_distinct(F.regexp_extract_all("paragraph", F.lit(CANONICAL_MARKER), 1))).alias("chunk_id"))
     quoted = context.select(*keys, "chunk_id", "text")  # repeated chunks only repeat what is made distinct below
-    amounts = quoted.select(*keys, "chunk_id", F.explode(quantities(comparable(F.col("text")))).alias("_quantity")).select(
+    amounts = quoted.select(*keys, "chunk_id", F.explode(quantities(F.col("text"))).alias("_quantity")).select(
         *keys, "chunk_id", F.col("_quantity.value").alias("amount"), F.col("_quantity.unit").alias("unit"))
     supported = named.join(amounts, [*keys, "chunk_id"]).select(*at, "amount", "unit").distinct()
     claimed = paragraphs.select(*at, "scopes", F.inline("_quantities")).withColumnsRenamed({"value": "amount", "shown": "value"})
@@ -155,7 +178,7 @@ def audit(answers: DataFrame, context: DataFrame, keys: list[str]) -> DataFrame:
     s = F.col("sentence")
     negative = prose(
         sentences("negative").filter(s.rlike(PERCENT_TOPIC) & ~s.rlike(CHANGE_WORDS) & ~s.rlike(ANOMALY))
-        .filter(negative_percentage(quantities(comparable(s)))),
+        .filter(negative_percentage(quantities(s))),
         "unflagged_negative_percentage")
     absence = prose(sentences("absent").filter(s.rlike(ABSENCE) & ~s.rlike(SCOPED_ABSENCE)), "unbounded_evidence_absence")
 

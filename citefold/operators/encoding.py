@@ -33,8 +33,8 @@ class HashingEncoder:
         if term not in self._places:
             if len(self._places) >= self.CACHE_TERMS:
                 self._places.clear()
-            code = hashlib.md5(term.encode("utf-8"), usedforsecurity=False).hexdigest()
-            self._places[term] = int(code[:2], 16) % self.dimension, 1 if code[2] < "8" else -1
+            code = hashlib.md5(term.encode("utf-8"), usedforsecurity=False).digest()
+            self._places[term] = code[0] % self.dimension, 1 if code[1] < 128 else -1
         return self._places[term]
 
     def encode(self, texts: list[str]) -> np.ndarray:

@@ -255,3 +255,27 @@ def test_audit_rules(spark):
     assert codes == {i: case[3] for i, case in enumerate(AUDIT_CASES)}
     status = {r["q"]: r["status"] for r in audit.audit_status(answers, found, ["q"]).collect()}
     assert status == {i: "blocked" if case[3] else "passed_lexical_checks" for i, case in enumerate(AUDIT_CASES)}
+
+
+def test_quantities_are_extracted_in_one_pass_without_rules_per_match(spark, capsys):
+    texts = ["It ran at −2.50 mA cm^-2, 1e3 ° C and 5\u00a0mA / cm2.", "x1 V, 3 volts", None, "1e00000000000000000000000000000000004 h", "0.0 % ８０%",
+             "1e99999999999999999999999999999 h"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    made = df.select("i", audit.quantities(F.col("t")).alias("q"))
+    assert [None if r["q"] is None else [tuple(x) for x in r["q"]] for r in made.orderBy("i").collect()] == [
+        [("-25E-1", "-2.50", "mAcm-2"), ("1E3", "1e3", "°C"), ("5E0", "5", "mAcm-2")], [], None,
+        [("1E4", "1e00000000000000000000000000000000004", "h")], [("0", "0.0", "%"), ("8E1", "80", "%")],
+        [("1e99999999999999999999999999999", "1e99999999999999999999999999999", "h")]]
+    made.explain()
+    plan = capsys.readouterr().out
+    assert "regexp" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_cheap_words_find_every_absence_claim_and_arrow(spark):
+    texts = ["全文x没有", "整篇论文没有", "整个语料 不存在", "原文没有对照", "论文不存在证据", "The PAPER  has no controls", "Article contains no evidence",
+             "NO control experiments exist", "a -> b", "a \\longrightarrow b", "a \\rightarrow b", "a → b", "a ⟶ b", "plain", "a paper", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    got = df.select((audit.contains_any(F.lower(t), audit.ABSENCE_WORDS) & t.rlike(audit.ABSENCE)).alias("a"), t.rlike(audit.ABSENCE).alias("b"),
+                    audit.contains_any(t, audit.ARROWS).alias("c"), t.rlike(audit.ARROW).alias("d")).collect()
+    assert all(r["a"] == r["b"] and r["c"] == r["d"] for r in got) and sum(r["a"] for r in got) == 8 and sum(r["c"] for r in got) == 5
