@@ -16,22 +16,60 @@ def _pattern(strict: bool) -> Column:
     return F.lit(STRICT_MARKER if strict else LEGACY_MARKER)
 
 
+def is_bare(marker: Column) -> Column:
+    return ~F.startswith(marker, F.lit("[Ref"))
+
+
+def label_of(marker: Column) -> Column:
+    body = F.when(is_bare(marker), F.substring(marker, F.lit(2), F.length(marker) - 2)).otherwise(
+        F.regexp_replace(marker, "^\\[Ref\\s+|\\]$", ""))
+    return F.trim(body)
+
+
 def markers(answers: DataFrame, keys: list[str], strict: bool = True) -> DataFrame:
     """(keys, position, marker, label, bare): one row per marker in reading order."""
     found = answers.select(*keys, F.posexplode(F.regexp_extract_all("answer", _pattern(strict), 0)).alias("position", "marker"))
-    bare = ~F.startswith("marker", F.lit("[Ref"))
-    body = F.when(bare, F.expr("substring(marker, 2, length(marker) - 2)")).otherwise(
-        F.regexp_replace("marker", "^\\[Ref\\s+|\\]$", ""))
-    return found.select("*", F.trim(body).alias("label"), bare.alias("bare"))
+    return found.select("*", label_of(F.col("marker")).alias("label"), is_bare(F.col("marker")).alias("bare"))
 
 
 def aliases(context: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, label, candidates): chunk id, local index and every source path name a chunk."""
-    labels = F.concat(F.array(F.col("chunk_id"), F.col("chunk_index").cast("string")), F.col("sources"))
-    return (context.select(*keys, "chunk_id", F.explode(F.array_distinct(labels)).alias("label"))
+    labels = F.array_distinct(_labels(F.col("chunk_id"), F.col("chunk_index"), F.col("sources")))
+    return (context.select(*keys, "chunk_id", F.explode(labels).alias("label"))
             .groupBy(*keys, "label").agg(F.array_sort(F.collect_set("chunk_id")).alias("candidates")))
 
 
+def _labels(chunk_id: Column, chunk_index: Column, sources: Column) -> Column:
+    return F.concat(F.array(chunk_id, chunk_index.cast("string")), sources)
+
+
+def _strict_reason(bare: Column, known: Column, canonical: Column) -> Column:
+    return F.when(F.coalesce(known & canonical, F.lit(False)), F.lit(None).cast("string")).when(
+        bare | known, "noncanonical").otherwise("unknown")
+
+
+def gather(answers: DataFrame, context: DataFrame, keys: list[str]) -> DataFrame:
+    """``answers`` with ``context``, the list of their own chunks: array<struct<chunk_id, chunk_index, sources, text>>.
+
+    Whatever sets an answer beside its context, which the selection bounds, then stays inside the row.
+    """
+    part = F.struct("chunk_id", "chunk_index", "sources", "text")
+    kind = context.select(F.array(part).alias("c")).schema["c"].dataType
+    held = context.groupBy(*keys).agg(F.collect_list(part).alias("context"))
+    return answers.join(held, keys, "left").withColumn("context", F.coalesce("context", F.array().cast(kind)))
+
+
+def unresolved(answer: Column, context: Column) -> Column:
+    """array<struct<marker, reason>> of the markers that ``resolve`` gives a reason, for a gathered answer; strict reading."""
+    read = F.transform(F.regexp_extract_all(answer, _pattern(True), 0), lambda m: F.struct(
+        m.alias("marker"), label_of(m).alias("label"), is_bare(m).alias("bare")))
+    named = F.transform(read, lambda m: F.struct(m["marker"].alias("marker"), m["bare"].alias("bare"), m["label"].alias("label"), F.filter(
+        context, lambda c: F.array_contains(_labels(c["chunk_id"], c["chunk_index"], c["sources"]), m["label"]))["chunk_id"].alias("ids")))
+    judged = F.transform(named, lambda m: F.struct(m["marker"].alias("marker"), _strict_reason(
+        m["bare"], F.size(m["ids"]) > 0, F.array_contains(m["ids"], m["label"])).alias("reason")))
+    return F.filter(judged, lambda m: m["reason"].isNotNull())
+
+
 def resolve(answers: DataFrame, context: DataFrame, keys: list[str], strict: bool = True) -> DataFrame:
     """(keys, position, marker, label, chunk_id, reason, candidates).
 
@@ -44,8 +82,7 @@ def resolve(answers: DataFrame, context: DataFrame, keys: list[str], strict: boo
     if strict:
         canonical = F.array_contains("candidates", F.col("label"))
         usable = F.when(known & canonical, F.array("label")).otherwise(none)
-        reason = F.when(F.coalesce(known & canonical, F.lit(False)), F.lit(None).cast("string")).when(
-            F.col("bare") | known, "noncanonical").otherwise("unknown")
+        reason = _strict_reason(F.col("bare"), known, canonical)
     else:
         usable = F.coalesce("candidates", none)
         reason = F.when(F.size(usable) == 1, F.lit(None).cast("string")).when(

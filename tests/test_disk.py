@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from citefold import session
-from citefold.operators import chunking, encoding, scale
-from citefold.plans import audits
+from citefold.operators import audit, chunking, citations, encoding, scale
+from citefold.plans import audits, evaluation
 
 
 def say(rng, n):
@@ -99,3 +99,52 @@ def test_a_large_small_side_moves_the_large_side_once(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") == 1
+
+
+def staged_since(spark, before=()):
+    return {p.name.rsplit("-", 1)[0] for p in Path(urllib.parse.urlparse(session.staging_root(spark)).path).iterdir() if p.name not in before}
+
+
+def test_an_audit_stages_neither_answers_nor_contexts(spark, tmp_path):
+    """Two orders: own quantities, altered ones, uncited and numbered citations, minus signs."""
+    items = [(1, 1, 5.0, .04, .02, "N", "O"), (1, 2, 7.0, .05, .08, "R", "F"), (2, 1, 9.0, .03, .07, "A", "F"), (2, 2, 3.0, .00, .08, "N", "F")]
+    spark.createDataFrame([(k, n, 10, 20, q, 1.5, d, t, r, s) for k, n, q, d, t, r, s in items], """l_orderkey long, l_linenumber int, l_partkey long,
+        l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string""").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "3-MEDIUM"), (2, "5-LOW"), (3, "1-URGENT")], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    root = Path(urllib.parse.urlparse(session.staging_root(spark)).path)
+    before = {p.name for p in root.iterdir()}
+    got = {(r.question_id, r.code): r.findings for r in evaluation.answer_audit(spark, str(tmp_path)).collect()}
+    assert got == {(1, "quantity_not_in_cited_excerpt"): 2, (1, "unflagged_negative_percentage"): 1, (2, "unresolved_citation"): 1,
+                   (2, "unrequested_quantity"): 4, (2, "quantity_not_in_cited_excerpt"): 4, (2, "unflagged_negative_percentage"): 1}
+    assert staged_since(spark, before) == {"paragraphs"}
+    status = {r.question_id: (r.status, r.findings) for r in evaluation.audit_status(spark, str(tmp_path)).collect()}
+    assert status == {1: ("blocked", 3), 2: ("blocked", 10)}
+
+
+def test_cited_texts_support_one_by_one(spark, monkeypatch):
+    """A quantity must stand in one cited text; texts stay in the staged paragraphs only where a rule reads their wording."""
+    a, b = ("chunk_" + c * 64 for c in "ab")
+    answers = spark.createDataFrame([(1, "Which potential, equation?", f"At 5 V [Ref {a}] [Ref {b}].\n\nX + Y -> Z [Ref {b}]\n\nNone [Ref {a}].")],
+                                    "k int, question string, answer string")
+    context = spark.createDataFrame([(1, a, 0, ["s"], "It was 5"), (1, b, 1, ["s"], "V fell; X + Y  -> Z"), (1, b, 1, ["s"], "V fell; X + Y  -> Z")],
+                                    "k int, chunk_id string, chunk_index int, sources array<string>, text string")
+    kept = []
+    monkeypatch.setattr(audit, "stage", lambda df, label, codec=None: kept.append((label, session.stage(df, label, codec))) or kept[-1][1])
+    found = [(r.code, r.value, r.unit) for r in audit.audit(answers, context, ["k"]).collect()]
+    assert found == [("quantity_not_in_cited_excerpt", "5", "V")]
+    (label, paragraphs), = kept
+    assert label == "paragraphs" and {r._p: r.paragraph is None for r in paragraphs.collect()} == {0: True, 1: False, 2: True}
+
+
+def test_gathered_markers_are_those_of_the_joined_reading(spark):
+    rng = random.Random(11)
+    ids = [f"chunk_{c * 64}" for c in "abc"]
+    marks = [*(f"[Ref {x}]" for x in [*ids, "p.pdf", "q.pdf", "0", "1", " 1 ", "none"]), "[1]", "[12]", "[x]"]
+    answers = spark.createDataFrame([(k if k < 8 else None, " ".join(rng.choices(marks, k=6))) for k in range(10)] + [(11, None), (12, "")], "k int, answer string")
+    context = spark.createDataFrame([(rng.choice([*range(8), None]), rng.choice([*ids, None]), rng.choice([0, 1, None]), rng.choice([["p.pdf"], ["q.pdf", None], [], None]), "t")
+                                     for _ in range(30)], "k int, chunk_id string, chunk_index int, sources array<string>, text string")
+    joined = citations.resolve(answers, context, ["k"]).filter("reason is not null").select("k", "marker", "reason").collect()
+    held = citations.gather(answers, context, ["k"])
+    row = held.select("k", F.inline(citations.unresolved(F.col("answer"), F.col("context")))).collect()
+    assert len(joined) > 20 and sorted(map(repr, map(tuple, row))) == sorted(map(repr, map(tuple, joined)))
