@@ -2,11 +2,14 @@
 
 Within a document, runs of words that occur once on either side are anchors. Pairs of an old and a new chunk are weighed
 by their anchors; the heaviest chain that rises on both sides is the alignment. Only hashes and chunk numbers are joined
-and grouped, texts meet once at the end.
+and grouped, texts meet once at the end. Documents whose chunks all stand unchanged at their places need no alignment, and
+the others are aligned in parts, so that the hashes of one part lie on the disks at a time.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,9 +17,13 @@ from pyspark.sql import functions as F
 
 from citefold.functions.runs import word_runs
 from citefold.operators.chunking import LOCATION_VERSION
+from citefold.operators.scale import BROADCAST_LIMIT, measured_bytes
 from citefold.session import stage
 
 SHINGLE = 5
+PART_BYTES = 256 << 20  # text of both sides that is aligned at a time; the hashes take about twice as much
+MOST_PARTS = 8          # every part reads the texts once more
+PLACE = ("location_status", "location_version", "page_numbers", "source_spans")
 STATES = ("same", "shifted", "changed", "lost", "document_not_replayed")
 # Why a replayed location is not available.
 REASONS = {"changed": "chunk_text_differs_from_current_pdf_extraction", "lost": "chunk_not_found_in_current_pdf_extraction",
@@ -70,14 +77,40 @@ def _align(table: pa.Table) -> pa.Table:
     return table.select(["doc_id", "old", "new"]).take(pa.array(chain))
 
 
-def alignment(stored: DataFrame, recut: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, old, new): chunks that correspond, by the heaviest rising chain of each document.
+def alignment(stored: DataFrame, recut: DataFrame, size: int = SHINGLE, parts: int = 1) -> DataFrame:
+    """(doc_id, old, new): chunks that correspond, by the heaviest rising chain of each document; staged.
 
-    A document's pairs are about as many as its chunks, three numbers each, and are chained in one group.
+    A document's pairs are about as many as its chunks, three numbers each, and are chained in one group. The documents
+    are dealt to ``parts``, which are worked out one after the other.
     """
-    pairs = anchors(stored, recut, size).groupBy("doc_id", "old", "new").agg(F.count("*").alias("n"))
     key = dict(stored.dtypes)["doc_id"]
-    return pairs.groupBy("doc_id").applyInArrow(_align, f"doc_id {key}, old int, new int")
+    part, made = F.pmod(F.xxhash64("doc_id"), F.lit(parts)), []
+    for i in range(parts):
+        of = lambda df: df.filter(part == i) if parts > 1 else df  # noqa: B023, E731
+        pairs = anchors(of(stored), of(recut), size).groupBy("doc_id", "old", "new").agg(F.count("*").alias("n"))
+        made.append(stage(pairs.groupBy("doc_id").applyInArrow(_align, f"doc_id {key}, old int, new int"), "aligned-chunks"))
+    return reduce(DataFrame.unionByName, made)
+
+
+def altered_documents(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(doc_id, n): replayed documents of which some old chunk has no equal at its place, with the text bytes of old chunks.
+
+    In all others every chunk is the same whatever the alignment says. ``old`` is doc_id, old, t, n and ``new`` doc_id, new, t.
+    """
+    there = new.select("doc_id", F.col("new").alias("old"), "t").distinct().withColumn("_same", F.lit(True))
+    judged = old.join(there, ["doc_id", "old", "t"], "left").groupBy("doc_id").agg(
+        F.bool_and(F.col("_same").isNotNull()).alias("_all"), F.sum("n").alias("n"))
+    return judged.filter("not _all").select("doc_id", "n").join(new.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def aligned_chunks(stored: DataFrame, recut: DataFrame, old: DataFrame, new: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``alignment`` of the altered documents, in parts where they are many."""
+    altered = stage(altered_documents(old, new), "altered-documents")
+    total = altered.agg(F.sum("n")).first()[0] or 0
+    names = altered.select("doc_id")
+    if measured_bytes(names) <= BROADCAST_LIMIT:  # more names than that are not worth moving the texts for
+        stored, recut = (df.join(F.broadcast(names), "doc_id", "left_semi") for df in (stored, recut))
+    return alignment(stored, recut, size, min(MOST_PARTS, 1 + 2 * total // PART_BYTES))
 
 
 def replay(stored: DataFrame, recut: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -88,25 +121,25 @@ def replay(stored: DataFrame, recut: DataFrame, size: int = SHINGLE) -> DataFram
     chunk of another text), lost, or its document was not replayed. Only same and shifted chunks take a location, and
     only from chunks of the current location version.
     """
-    place = ["location_status", "location_version", "page_numbers", "source_spans"]
     kept = stored.drop("location_status", "location_reason", "location_version", "page_numbers", "source_spans", "state", "new_index")
-    old = stored.select("doc_id", F.col("chunk_index").alias("old"), F.xxhash64("text").alias("a"), F.sha2(F.col("text").cast("binary"), 256).alias("t"))
-    new = recut.select("doc_id", F.col("chunk_index").alias("new"), F.sha2(F.col("text").cast("binary"), 256).alias("u"))
-    aligned = stage(alignment(stored, recut, size), "aligned-chunks")
-    equal = old.select("doc_id", "old", "t").join(new.withColumnRenamed("u", "t"), ["doc_id", "t"]).select("doc_id", "old", "new")
+    digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("t")
+    old = stage(stored.select("doc_id", F.col("chunk_index").alias("old"), digest, F.octet_length("text").cast("long").alias("n")), "stored-digests")
+    new = stage(recut.select("doc_id", F.col("chunk_index").alias("new"), digest), "cut-digests")
+    aligned = aligned_chunks(stored, recut, old, new, size)
+    equal = old.select("doc_id", "old", "t").join(new, ["doc_id", "t"]).select("doc_id", "old", "new")
     marked = equal.join(aligned.withColumn("chained", F.lit(True)), ["doc_id", "old", "new"], "left")
     # the same place first, then the aligned one, then the first of equal text
     rank = F.struct(F.when(F.col("old") == F.col("new"), 0).when(F.col("chained"), 1).otherwise(2), "new")
     exact = marked.groupBy("doc_id", "old").agg(F.min_by("new", rank).alias("equal"))
     other = aligned.groupBy("doc_id", "old").agg(F.min("new").alias("aligned"))
-    known = recut.select("doc_id").distinct().withColumn("known", F.lit(True))
+    known = new.select("doc_id").distinct().withColumn("known", F.lit(True))
     judged = (old.select("doc_id", "old").join(exact, ["doc_id", "old"], "left").join(other, ["doc_id", "old"], "left")
               .join(known, "doc_id", "left"))
     state = (F.when(F.col("known").isNull(), "document_not_replayed").when(F.col("equal") == F.col("old"), "same")
              .when(F.col("equal").isNotNull(), "shifted").when(F.col("aligned").isNotNull(), "changed").otherwise("lost"))
     judged = stage(judged.select("doc_id", F.col("old").alias("chunk_index"), state.alias("state"),
                                  F.coalesce("equal", "aligned").alias("new_index")), "replayed-chunks")
-    there = recut.select("doc_id", F.col("chunk_index").alias("new_index"), F.struct(*place).alias("_there"))
+    there = recut.select("doc_id", F.col("chunk_index").alias("new_index"), F.struct(*PLACE).alias("_there"))
     found = kept.join(judged, ["doc_id", "chunk_index"]).join(there, ["doc_id", "new_index"], "left")
     equal_text = F.col("state").isin("same", "shifted")
     current = F.coalesce(F.col("_there.location_version") == LOCATION_VERSION, F.lit(False))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citefold import session
-from citefold.operators import audit, chunking, citations, encoding, scale
+from citefold.operators import audit, chunking, citations, encoding, replay, scale
 from citefold.plans import audits, evaluation
 
 
@@ -148,3 +148,30 @@ def test_gathered_markers_are_those_of_the_joined_reading(spark):
     held = citations.gather(answers, context, ["k"])
     row = held.select("k", F.inline(citations.unresolved(F.col("answer"), F.col("context")))).collect()
     assert len(joined) > 20 and sorted(map(repr, map(tuple, row))) == sorted(map(repr, map(tuple, joined)))
+
+
+def test_only_altered_documents_are_aligned_part_by_part(spark, monkeypatch):
+    """The states do not depend on the parts, nor on leaving out documents whose chunks all stand at their places."""
+    rng = random.Random(5)
+    before, after = [], []
+    for k in range(24):
+        words = say(rng, rng.choice([0, 9, 40, 75])).split()
+        before.append((f"d{k}" if k else None, " ".join(words)))
+        again = {0: words, 1: ["new", *words], 2: words[::-1], 3: words[:20] + ["x"] + words[21:], 4: None}[k % 6 if k % 6 < 5 else 0]
+        if again is not None:
+            after.append((f"d{k}" if k else None, " ".join(again)))
+    before += before[6:8]  # documents that come twice
+    frame = lambda docs: chunking.word_windows(spark.createDataFrame(docs, "doc_id string, text string").withColumn(
+        "page_lengths", chunking.page_lengths(F.col("text"), 4)).repartition(2), 12, 3)
+    stored, recut = session.stage(frame(before), "before"), session.stage(frame(after), "after")
+    rows = lambda: sorted(map(repr, replay.replay(stored, recut).collect()))
+    seen, whole = [], replay.alignment
+    monkeypatch.setattr(replay, "alignment", lambda a, b, size, parts: seen.append(
+        ({r.doc_id for r in a.unionByName(b, True).collect()}, parts)) or whole(a, b, size, parts))
+    here = rows()
+    documents, parts = seen[0]
+    assert parts == 1 and documents and not documents & {f"d{k}" for k in range(24) if k % 6 in (0, 4, 5)}
+    monkeypatch.setattr(replay, "PART_BYTES", 200)
+    assert rows() == here and seen[1][1] > 1
+    monkeypatch.setattr(replay, "aligned_chunks", lambda a, b, *rest: whole(a, b))
+    assert rows() == here and len({r.split("state='")[1].split("'")[0] for r in here}) >= 4
