@@ -9,9 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from citefold import session
-from citefold.operators import audit, chunking, citations, encoding, replay, scale
-from citefold.plans import audits, evaluation
+from citefold import search, session
+from citefold.operators import audit, chunking, citations, encoding, lexical, postings, replay, scale
+from citefold.plans import audits, base, evaluation
 
 
 def say(rng, n):
@@ -175,3 +175,35 @@ def test_only_altered_documents_are_aligned_part_by_part(spark, monkeypatch):
     assert rows() == here and seen[1][1] > 1
     monkeypatch.setattr(replay, "aligned_chunks", lambda a, b, *rest: whole(a, b))
     assert rows() == here and len({r.split("state='")[1].split("'")[0] for r in here}) >= 4
+
+
+def test_an_index_inverted_in_passes_is_the_same(spark, rows, monkeypatch):
+    rng = random.Random(9)
+    index = lexical.build_index(spark.createDataFrame([(i, say(rng, rng.randint(0, 25))) for i in range(150)], "row_id long, text string").repartition(4))
+    whole = postings.invert(index, buckets=8, block_rows=40)
+    monkeypatch.setattr(postings, "PASS_TERMS", 1)
+    writes, inner = [], session.shuffles_removed
+    monkeypatch.setattr(postings, "shuffles_removed", lambda s: writes.append(s) or inner(s))
+    passes = postings.invert(index, buckets=8, block_rows=40)
+    assert len(writes) == postings.MOST_PASSES and rows(passes.lists) == rows(whole.lists) and rows(passes.terms) == rows(whole.terms)
+    assert all(r.violations == 0 for r in postings.rule_violations(passes).collect())
+
+
+def test_publishing_leaves_the_published_folder_only(spark, tmp_path):
+    """Chunks are not joined with their vectors and not written beside the published copy; what was staged on the way is gone."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(k, f"doc_{k:064d}", say(rng, 150)) for k in range(6)], "doc_key long, doc_id string, text string").withColumn(
+        "page_lengths", chunking.page_lengths(F.col("text"), 8))
+    chunks = base.chunk_table(docs)
+    wanted = {r.row_id: (r.chunk_id, r.text, r.source_spans) for r in chunks.collect()}
+    root = Path(urllib.parse.urlparse(session.staging_root(spark)).path)
+    before, held = {p.name for p in root.iterdir()}, folder_of(chunks)
+    profile = {"model": "hashing", "dimension": 64}
+    folder = search.publish(spark, f"{tmp_path}/index", chunks, profile, temporary=True)
+    assert not held.exists() and not staged_since(spark, before) & {"embedded-chunks", "lexical-rows", "posting-lists", "terms"}
+    index = search.open_index(spark, folder, profile)
+    assert {r.row_id: (r.chunk_id, r.text, r.source_spans) for r in index.chunks.collect()} == wanted
+    vectors = {r.row_id: r.vector for r in encoding.encode_texts(index.chunks).collect()}
+    assert {r.row_id: r.embedding for r in index.chunks.collect()} == vectors
+    asked = spark.createDataFrame([(1, wanted[3][1])], "query_id int, text string")
+    assert index.search(asked, 1).first().row_id == 3
