@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citefold.functions.identity import IDENTITY_VERSION, chunk_id, document_id
 from citefold.operators.scale import dense_row_ids, measured_join
-from citefold.session import stage
+from citefold.session import TEXT_CODEC, release, stage
 
 _LOCATION = ("location_status", "location_reason", "location_version", "page_numbers", "source_spans")
 
@@ -67,13 +67,16 @@ def unique_chunks(chunks: DataFrame, position: str = "row_id") -> DataFrame:
         *[F.when(F.col("_there").isNotNull(), F.col(f"_there.{c}")).otherwise(F.col(c)).alias(c) for c in place])
 
 
-def upsert_chunks(stored: DataFrame, incoming: DataFrame, encode, next_row: int) -> DataFrame:
+def upsert_chunks(stored: DataFrame, incoming: DataFrame, encode, next_row: int, temporary: bool = False) -> DataFrame:
     """Add unseen chunks; merge aliases and locations of known ones by the rules of ``unique_chunks``.
 
     ``encode`` maps a DataFrame of chunks to the same rows with an ``embedding`` column; only unseen chunks pass it.
-    These are numbered from ``next_row`` without gaps, in the order of their incoming row ids.
+    These are numbered from ``next_row`` without gaps, in the order of their incoming row ids. ``temporary`` says that the
+    staged tables that ``incoming`` reads are of no further use, so that they go once it is merged.
     """
-    fresh = stage(unique_chunks(incoming), "incoming-chunks")
+    fresh = stage(unique_chunks(incoming), "incoming-chunks", TEXT_CODEC)
+    if temporary:
+        release(incoming)
     unseen = fresh.join(stored.select("chunk_id"), "chunk_id", "left_anti").withColumnRenamed("row_id", "_order")
     numbered = dense_row_ids(unseen, ["_order", "chunk_id"]).drop("_order")
     new = encode(numbered.withColumn("row_id", F.col("row_id") + F.lit(next_row)))

@@ -78,7 +78,7 @@ def dense_row_ids(df: DataFrame, order: list[str], name: str = "row_id") -> Data
     Range-partition and sort, write that layout once, then add each partition's offset; only
     one row per partition is ever brought together.
     """
-    from citefold.session import stage
+    from citefold.session import TEXT_CODEC, stage
 
     sorted_parts = (
         df.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -87,7 +87,7 @@ def dense_row_ids(df: DataFrame, order: list[str], name: str = "row_id") -> Data
         .withColumn("_local", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
         .drop("_m")
     )
-    laid_out = stage(sorted_parts, "row-order")
+    laid_out = stage(sorted_parts, "row-order", TEXT_CODEC)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (laid_out.groupBy("_part").agg(F.count("*").alias("_n"))
                .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))

@@ -35,9 +35,15 @@ def frozen_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_pages(corpus.freeze_documents(raw_documents(spark, sf_dir), "doc_key", "source"))
 
 
-def chunk_table(documents: DataFrame) -> DataFrame:
-    """Identified word-window chunks, numbered from 0 in document order, then chunk order."""
-    made = stage(chunking.identify(chunking.word_windows(documents, SIZE, OVERLAP)), "chunks", TEXT_CODEC)
+def chunk_table(documents: DataFrame, passages: bool = True) -> DataFrame:
+    """Identified word-window chunks, numbered from 0 in document order, then chunk order.
+
+    Without ``passages`` their places are written without the passages of the source.
+    """
+    made = chunking.identify(chunking.word_windows(documents, SIZE, OVERLAP))
+    if not passages:
+        made = made.withColumn("source_spans", chunking.places(F.col("source_spans")))
+    made = stage(made, "chunks", TEXT_CODEC)
     return number_rows(made, ["doc_key"], "chunk_index").withColumn(
         "title", F.concat(F.lit("document "), F.col("doc_key").cast("string")))
 

@@ -14,7 +14,7 @@ from citefold.plans.base import (
     ANCHORS, CHUNKS, CORPUS, PAGES, SPANS, TOKEN_PATTERN_SQL, benchmark_questions, chunk_table,
     frozen_documents, raw_documents, with_pages)
 from citefold.plans.registry import query
-from citefold.session import spread, stage, table
+from citefold.session import TEXT_CODEC, release, spread, stage, table
 
 _CLEAN = f"trim(regexp_replace(text, '[{SPACE}]+', ' ', 'g'))"
 
@@ -142,7 +142,10 @@ def upsert_new_only(spark, sf_dir):
     """
     every = with_pages(raw_documents(spark, sf_dir)).withColumns({
         "doc_id": document_id(F.col("text")), "sources": F.array("source")})
-    chunks = stage(chunk_table(every).drop("page_lengths", "block_lengths"), "all-chunks")
+    made = chunk_table(every, passages=False)
+    chunks = stage(made.select("chunk_id", "row_id", "lang", "text", "sources", "location_status", "location_reason", "location_version",
+                               "page_numbers", "source_spans"), "all-chunks", TEXT_CODEC)
+    release(made)
     none = F.lit(None).cast("array<float>")
 
     def losing(rows, lost):
@@ -152,15 +155,14 @@ def upsert_new_only(spark, sf_dir):
             "location_reason": F.when(lost, "not_replayed").otherwise(F.col("location_reason")),
             "page_numbers": without("page_numbers"), "source_spans": without("source_spans")})
 
-    english = corpus.unique_chunks(losing(chunks.filter("lang = 'en'"), F.col("row_id") % 3 == 0))
+    english = corpus.unique_chunks(losing(chunks.filter("lang = 'en'").drop("lang", "text"), F.col("row_id") % 3 == 0))  # stored ones are encoded
     stored = dense_row_ids(english.withColumnRenamed("row_id", "_order"), ["_order"]).drop("_order").withColumn("embedding", none)
     held = stored.count()
 
     def encode(new):
-        vectors = encoding.encode_texts(new, unusable="drop").withColumnRenamed("vector", "embedding")
-        return new.join(vectors, "row_id", "left")
+        return encoding.encode_texts(new, unusable="null", kept=new.columns).withColumnRenamed("vector", "embedding")
 
-    merged = corpus.upsert_chunks(stored, losing(chunks, F.col("row_id") % 2 == 0), encode, held)
+    merged = corpus.upsert_chunks(stored, losing(chunks.drop("lang"), F.col("row_id") % 2 == 0), encode, held, temporary=True)
     return merged.select("chunk_id", (F.col("row_id") >= held).alias("is_new"), "row_id", "location_status",
                          F.array_join("sources", ",").alias("sources"))
 

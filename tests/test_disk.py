@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from citefold import search, session
+from citefold.functions.identity import document_id
 from citefold.operators import audit, chunking, citations, encoding, lexical, postings, replay, scale
-from citefold.plans import audits, base, evaluation
+from citefold.plans import audits, base, evaluation, text
 
 
 def say(rng, n):
@@ -207,3 +208,34 @@ def test_publishing_leaves_the_published_folder_only(spark, tmp_path):
     assert {r.row_id: r.embedding for r in index.chunks.collect()} == vectors
     asked = spark.createDataFrame([(1, wanted[3][1])], "query_id int, text string")
     assert index.search(asked, 1).first().row_id == 3
+
+
+def test_an_upsert_keeps_one_copy_of_the_incoming_texts(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [say(rng, n) for n in (260, 130, 20, 340)]
+    docs = [(1, texts[0], "en", "a"), (2, texts[1], "de", "b"), (3, texts[0], "de", "c"), (4, texts[2], "en", "a"), (5, texts[3], "fr", "b"), (6, texts[1], "fr", "a"),
+            (7, "", "en", "a")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    root = Path(urllib.parse.urlparse(session.staging_root(spark)).path)
+    before = {p.name for p in root.iterdir()}
+    out = text.upsert_new_only(spark, str(tmp_path))
+    assert not staged_since(spark, before) & {"chunks", "all-chunks"}
+    for folder in root.glob("incoming-chunks-*"):
+        if folder.name not in before:
+            spans = spark.read.parquet(str(folder)).schema["source_spans"].dataType.elementType
+            assert spans.names == ["page_number", "char_start", "char_end"]
+    for folder in root.glob("row-order-*"):
+        if folder.name not in before and "embedding" in (names := spark.read.parquet(str(folder)).columns):
+            assert "text" not in names
+    got = {r.chunk_id: r for r in out.collect()}
+    every = base.with_pages(frame.withColumnsRenamed({"doc_id": "doc_key"})).withColumn("doc_id", document_id(F.col("text")))
+    made = chunking.identify(chunking.word_windows(every, base.SIZE, base.OVERLAP)).collect()
+    holders = {}
+    for r in made:
+        holders.setdefault(r.chunk_id, []).append((r.lang, r.source))
+    assert set(got) == set(holders) and len(holders) == len({(t, i) for t in texts for i in range(-(-len(t.split()) // 100))})
+    for c, held in holders.items():
+        assert got[c].is_new == all(lang != "en" for lang, _ in held) and got[c].sources == ",".join(sorted({s for _, s in held}))
+    assert sorted(r.row_id for r in got.values()) == list(range(len(got)))
+    assert max(r.row_id for r in got.values() if not r.is_new) < min(r.row_id for r in got.values() if r.is_new)
