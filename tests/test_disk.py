@@ -13,6 +13,7 @@ from citefold import search, session
 from citefold.functions.identity import document_id
 from citefold.operators import audit, chunking, citations, encoding, lexical, postings, replay, scale
 from citefold.plans import audits, base, evaluation, text
+from citefold.sources import store
 
 
 def say(rng, n):
@@ -239,3 +240,12 @@ def test_an_upsert_keeps_one_copy_of_the_incoming_texts(spark, tmp_path):
         assert got[c].is_new == all(lang != "en" for lang, _ in held) and got[c].sources == ",".join(sorted({s for _, s in held}))
     assert sorted(r.row_id for r in got.values()) == list(range(len(got)))
     assert max(r.row_id for r in got.values() if not r.is_new) < min(r.row_id for r in got.values() if r.is_new)
+
+
+def test_checked_rules_leave_no_shuffle_files(spark):
+    rule = spark.range(4_000).groupBy((F.col("id") % 1_000).alias("k")).count().repartition(4, "k").groupBy("count").agg(
+        F.count("*").alias("n")).select(F.lit("r").alias("rule"), (F.col("n") - 1_000).alias("violations"))
+    _, left = left_by(spark, lambda: store.require_clean(rule, rule))
+    assert not left
+    with pytest.raises(ValueError, match="broken: r$"):
+        store.require_clean(rule, rule.withColumn("violations", F.lit(2)))
